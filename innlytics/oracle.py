@@ -56,7 +56,8 @@ pembayaran AS (
 invoice AS (
   SELECT o_orderkey AS id_invoice, o_orderkey AS reservasi_id,
          'INV-' || strftime(o_orderdate, '%Y%m') || '-' ||
-           lpad(CAST(o_orderkey AS VARCHAR), greatest(3, length(CAST(o_orderkey AS VARCHAR))), '0')
+           lpad(CAST(o_orderkey AS VARCHAR),
+                CAST(greatest(3, length(CAST(o_orderkey AS VARCHAR))) AS INTEGER), '0')
            AS nomor_invoice,
          o_orderdate AS tanggal_terbit
   FROM orders WHERE o_orderkey % 5 <> 0 AND o_orderkey % 7 <> 0),

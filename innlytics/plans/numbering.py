@@ -48,16 +48,16 @@ def new_ids(df: DataFrame, order_cols: Sequence[str | Column], start: Column, ou
 
 
 def top_k(df: DataFrame, group_cols: Sequence[str], order_cols: Sequence[Column], k: int,
-          salts: int = 16, salt_of: Column | None = None) -> DataFrame:
+          salt_cols: Sequence[str], salts: int = 16) -> DataFrame:
     """Top ``k`` rows per group under ``order_cols`` (a total order).
 
     Stage 1 keeps the top k of each (group, salt) slice, so a hot group is cut
     into ``salts`` parallel windows; stage 2 ranks the at most k*salts
-    survivors of each group. The salt must be a deterministic function of
-    the row (default: hash of the ordering columns).
+    survivors of each group. The salt is a hash of ``salt_cols``, so it is a
+    deterministic function of the row (safe under task retries).
     """
     group_cols = list(group_cols)
-    salt = salt_of if salt_of is not None else F.pmod(F.hash(*order_cols), F.lit(salts))
+    salt = F.pmod(F.hash(*[F.col(c) for c in salt_cols]), F.lit(salts))
     w1 = Window.partitionBy(*group_cols, "_salt").orderBy(*order_cols)
     w2 = Window.partitionBy(*group_cols).orderBy(*order_cols)
     stage1 = (df.withColumn("_salt", salt).withColumn("_r", F.row_number().over(w1))
