@@ -81,6 +81,31 @@ def payment_requests(t: Tables) -> DataFrame:
                     F.coalesce(F.col("_s"), F.lit(0)).cast("decimal(20,2)").alias("total")))
 
 
+def room_insert_requests(t: Tables) -> DataFrame:
+    """One insert per room; maintenance rooms ask for a new number
+    (suffix 'A'), the others repeat an existing number (refused)."""
+    return t.kamar.select(
+        F.col("id_kamar").alias("req_seq"),
+        F.when(F.col("status_id") == C.ROOM_MAINTENANCE, F.concat(F.col("nomor_kamar"), F.lit("A")))
+        .otherwise(F.col("nomor_kamar")).alias("nomor_kamar"),
+        "tipe_id", F.lit(None).cast("bigint").alias("status_id"))
+
+
+def room_update_patches(t: Tables) -> DataFrame:
+    """Maintenance rooms back to Tersedia; other rooms send an empty
+    patch (refused)."""
+    return t.kamar.select(
+        F.col("id_kamar").alias("req_seq"), "id_kamar",
+        F.lit(None).cast("string").alias("nomor_kamar"), F.lit(None).cast("bigint").alias("tipe_id"),
+        F.when(F.col("status_id") == C.ROOM_MAINTENANCE, F.lit(C.ROOM_FREE).cast("bigint")).alias("status_id"))
+
+
+def room_delete_keys(t: Tables) -> DataFrame:
+    """Delete every maintenance room."""
+    return t.kamar.where(F.col("status_id") == C.ROOM_MAINTENANCE).select(
+        F.col("id_kamar").alias("req_seq"), "id_kamar")
+
+
 def registration_requests(events: DataFrame, n_customers_hint: int = 0) -> DataFrame:
     """B11 requests: one per signup event; usernames cycle over event ids so
     some collide with existing logins and with each other."""
