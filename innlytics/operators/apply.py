@@ -90,43 +90,59 @@ def _flag_existing(df: DataFrame, key, existing: DataFrame, ekey, reason: str) -
 # ---------------------------------------------------------------------------
 # B7 bookings
 # ---------------------------------------------------------------------------
-def _greedy(pdf: pd.DataFrame) -> pd.DataFrame:
-    """First come, first served inside one overlap cluster of one room.
-    Accepted stays are disjoint, kept sorted by start: each request is
-    one bisect against its two neighbours."""
-    pdf = pdf.sort_values("req_seq", kind="mergesort")
+def _greedy_stream(batches):
+    """First come, first served per (room, cluster), over a partition sorted
+    by (room, cluster, req_seq). Only the accepted stays of the current
+    cluster are held (disjoint, sorted by start: one bisect per request), so
+    a cluster of any size streams through without being materialised."""
+    key = None
     starts: list[int] = []
     ends: list[int] = []
-    won = []
-    for ci, co in zip(pdf["_ci"].tolist(), pdf["_co"].tolist()):
-        i = bisect_right(starts, ci)
-        ok = not (i > 0 and ends[i - 1] > ci) and not (i < len(starts) and starts[i] < co)
-        if ok:
-            starts.insert(i, ci)
-            ends.insert(i, co)
-        won.append(ok)
-    return pd.DataFrame({"req_seq": pdf["req_seq"].to_numpy(), "_won": won})
+    for pdf in batches:
+        won = []
+        for room, blk, ci, co in zip(pdf["kamar_id"].tolist(), pdf["_blk"].tolist(),
+                                     pdf["_ci"].tolist(), pdf["_co"].tolist()):
+            if (room, blk) != key:
+                key, starts, ends = (room, blk), [], []
+            i = bisect_right(starts, ci)
+            ok = not (i > 0 and ends[i - 1] > ci) and not (i < len(starts) and starts[i] < co)
+            if ok:
+                starts.insert(i, ci)
+                ends.insert(i, co)
+            won.append(ok)
+        yield pd.DataFrame({"req_seq": pdf["req_seq"].to_numpy(), "_won": won})
 
 
 def arbitrate(requests: DataFrame) -> DataFrame:
     """In-batch conflicts: per room, requests in request order; a request is
     accepted iff it overlaps no earlier accepted request of that room.
-    Requests of a room that can never interact (different overlap clusters)
-    are arbitrated in different groups. Returns (req_seq, _won)."""
+
+    Requests that can never interact (other room, or another overlap cluster
+    of the same room) are hashed to different partitions; each partition is
+    sorted by (room, cluster, req_seq) by Spark (external sort, spills) and
+    streamed through ``mapInPandas``. Returns (req_seq, _won)."""
     days = requests.select("req_seq", "kamar_id", CI, CO,
                            F.datediff(CI, F.lit("1970-01-01")).alias("_ci"),
                            F.datediff(CO, F.lit("1970-01-01")).alias("_co"))
-    clustered = IV.block_of(days, "kamar_id", CI, CO, merge_touching=False)
-    return (clustered.select("kamar_id", "block_start", "req_seq", "_ci", "_co")
-            .groupBy("kamar_id", "block_start")
-            .applyInPandas(_greedy, schema="req_seq long, _won boolean"))
+    clustered = (IV.block_of(days, "kamar_id", CI, CO, merge_touching=False)
+                 .select("kamar_id", F.datediff("block_start", F.lit("1970-01-01")).alias("_blk"),
+                         "req_seq", "_ci", "_co"))
+    n = int(requests.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return (clustered.repartition(n, "kamar_id", "_blk")
+            .sortWithinPartitions("kamar_id", "_blk", "req_seq")
+            .mapInPandas(_greedy_stream, schema="req_seq long, _won boolean"))
 
 
 def apply_bookings(t: Tables, requests: DataFrame, as_of: str | dt.date, actor_id: int = 1,
-                   check_conflicts: bool = True, checkpoint: bool = False) -> Applied:
+                   check_conflicts: bool = True, checkpoint: bool = True) -> Applied:
     """B7. requests: req_seq, tamu_id, kamar_id, [tanggal_checkin],
     [tanggal_checkout], [promo_id]. ``check_conflicts=False`` is the SQL
-    procedure's behaviour (no conflict check, NULL price)."""
+    procedure's behaviour (no conflict check, NULL price).
+
+    With ``checkpoint`` (default) the checked batch and the id-stamped rows
+    are written to the shared checkpoint folder: later steps read them back
+    instead of re-running the whole check lineage once per consumer, and a
+    lost executor does not send the job back to the start."""
     r = B.stay_defaults(requests, as_of)
     if "promo_id" not in r.columns:
         r = r.withColumn("promo_id", F.lit(None).cast("bigint"))
