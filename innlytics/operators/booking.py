@@ -64,15 +64,14 @@ def booking_conflicts(t: Tables, requests: DataFrame, request_id: str = "request
     good_stays, bad_stays = _valid(stays), stays.where(~(F.col(CO) > F.col(CI)))
     req = requests.select(request_id, "kamar_id", CI, CO)
     good_req = _valid(req)
-    ones = good_stays.withColumn("_one", F.lit(1))
-    a = IV.count_before(ones, good_req, ["kamar_id"], CI, "_one", request_id, CO, out="_a")
-    b = IV.count_before(ones, good_req.withColumn("_x", F.date_add(CI, 1)), ["kamar_id"], CO, "_one",
-                        request_id, "_x", out="_b")
-    valid_counts = a.join(b, request_id).select(request_id, (F.col("_a") - F.col("_b")).alias("_n"))
-    # Remainders: invalid requests against all stays covering night q.co..q.ci,
-    # and valid requests against invalid stays. Both sides are rare.
+    valid_counts = IV.overlap_count(good_stays, good_req, ["kamar_id"], request_id, CI, CO, out="_n")
+    # Remainders: invalid requests against the stays covering night q.ci
+    # (only rooms that have such a request are exploded), and requests
+    # against invalid stays. Both sides are rare.
     bad_req = req.where(~(F.col(CO) > F.col(CI)))
-    s_n = IV.nights(good_stays, CI, CO).select(F.col("kamar_id").alias("_k"), F.col(CI).alias("_sci"), "night")
+    bad_rooms = bad_req.select("kamar_id").distinct()
+    s_n = (IV.nights(good_stays.join(bad_rooms, "kamar_id", "left_semi"), CI, CO)
+           .select(F.col("kamar_id").alias("_k"), F.col(CI).alias("_sci"), "night"))
     rem1 = (bad_req.join(s_n, (F.col("kamar_id") == F.col("_k")) & (F.col("night") == F.col(CI)), "inner")
             .where(F.col("_sci") < F.col(CO)).groupBy(request_id).agg(F.count(F.lit(1)).alias("_n")))
     rem2 = (req.join(bad_stays.select(F.col("kamar_id").alias("_k"), F.col(CI).alias("_sci"),
@@ -113,9 +112,18 @@ def available_rooms(t: Tables, requests: DataFrame, request_id: str = "request_i
             .withColumn("_one", F.lit(1)))
     req = requests.select(request_id, "tipe_id", CI, CO)
     good = _valid(req)
-    p = IV.count_before(gaps, good.withColumn("_x", F.date_add(CI, 1)), ["tipe_id"], "gap_start", "_one",
-                        request_id, "_x", out="_p")
-    q = IV.count_before(gaps, good, ["tipe_id"], "gap_end", "_one", request_id, CO, out="_q")
+    # kind 0: gap starts <= ci (i.e. < ci + 1); kind 1: gap ends < co
+    ev = gaps.select("tipe_id", F.explode(F.array(
+        F.struct(F.col("gap_start").alias("_ed"), F.lit(0).alias("_kind")),
+        F.struct(F.col("gap_end").alias("_ed"), F.lit(1).alias("_kind")))).alias("_e")).select(
+        "tipe_id", "_e._ed", "_e._kind", F.lit(1).alias("_one"))
+    pts = good.select(request_id, "tipe_id", F.explode(F.array(
+        F.struct(F.date_add(CI, 1).alias("_px"), F.lit(0).alias("_kind")),
+        F.struct(F.col(CO).alias("_px"), F.lit(1).alias("_kind")))).alias("_q")).select(
+        request_id, "tipe_id", "_q._px", "_q._kind")
+    pq = (IV.count_before(ev, pts, ["tipe_id", "_kind"], "_ed", "_one", [request_id], "_px", out="_c")
+          .groupBy(request_id).agg(F.sum(F.when(F.col("_kind") == 0, F.col("_c"))).alias("_p"),
+                                   F.sum(F.when(F.col("_kind") == 1, F.col("_c"))).alias("_q")))
     inner_gaps = gaps.groupBy("tipe_id", "gap_start", "gap_end").agg(F.count(F.lit(1)).alias("_g"))
     # Day pairs ci < s < e < co of the request itself: C(nights - 1, 2) rows.
     starts = F.when(F.datediff(CO, CI) >= 3, F.sequence(F.date_add(CI, 1), F.date_sub(CO, 2)))
@@ -123,12 +131,15 @@ def available_rooms(t: Tables, requests: DataFrame, request_id: str = "request_i
              .withColumn("gap_end", F.explode(F.sequence(F.date_add("gap_start", 1), F.date_sub(CO, 1)))))
     r = (pairs.join(inner_gaps, ["tipe_id", "gap_start", "gap_end"], "inner")
          .groupBy(request_id).agg(F.sum("_g").alias("_r")))
-    free_valid = (p.join(q, request_id).join(r, request_id, "left")
+    free_valid = (pq.join(r, request_id, "left")
                   .select(request_id, (F.col("_p") - F.col("_q") + F.coalesce("_r", F.lit(0))).alias("_free")))
     # Invalid ranges (checkout <= checkin): busy rooms are those with a stay
     # covering night q.checkin and starting before q.checkout; counted exactly.
     bad = req.where(~(F.col(CO) > F.col(CI)))
-    n = IV.nights(room_stays, CI, CO).select("kamar_id", F.col(CI).alias("_sci"), "night")
+    bad_type_rooms = (rooms.join(bad.select("tipe_id").distinct(), "tipe_id", "left_semi")
+                      .select(F.col("id_kamar").alias("kamar_id")))
+    n = (IV.nights(room_stays.join(bad_type_rooms, "kamar_id", "left_semi"), CI, CO)
+         .select("kamar_id", F.col(CI).alias("_sci"), "night"))
     busy_bad = (bad.join(n, n["night"] == bad[CI], "inner").where(F.col("_sci") < F.col(CO))
                 .join(rooms.select(F.col("id_kamar").alias("kamar_id"), F.col("tipe_id").alias("_rt")),
                       "kamar_id", "inner").where(F.col("_rt") == F.col("tipe_id"))
@@ -148,13 +159,11 @@ def available_rooms(t: Tables, requests: DataFrame, request_id: str = "request_i
 def _zero_on_null_room(t: Tables, out: DataFrame, requests: DataFrame, request_id: str) -> DataFrame:
     """Requests hit by an overlapping active stay whose room is NULL get 0."""
     null_stays = active_stays(t).where(F.col("kamar_id").isNull()).select(CI, CO)
-    good_null = _valid(null_stays).withColumn("_one", F.lit(1))
+    good_null = _valid(null_stays)
     req = requests.select(request_id, CI, CO)
     good = _valid(req)
-    a = IV.count_before(good_null, good, [], CI, "_one", request_id, CO, out="_a")
-    b = IV.count_before(good_null, good.withColumn("_x", F.date_add(CI, 1)), [], CO, "_one", request_id, "_x",
-                        out="_b")
-    hit_valid = a.join(b, request_id).where(F.col("_a") - F.col("_b") > 0).select(request_id)
+    hit_valid = (IV.overlap_count(good_null, good, [], request_id, CI, CO, calendar_keys=True, out="_h")
+                 .where(F.col("_h") > 0).select(request_id))
     # Invalid stays / ranges with a NULL room: direct residual test (rare rows,
     # the stay side is bounded by V1 having rejected such stays at insert).
     odd = null_stays.where(~(F.col(CO) > F.col(CI))).select(F.col(CI).alias("_sci"), F.col(CO).alias("_sco"))

@@ -20,31 +20,71 @@ POS_INF_DAY = "9999-12-31"
 
 
 def count_before(events: DataFrame, points: DataFrame, keys: Sequence[str], ev_day: str, weight: str,
-                 pid: str, pt_day: str, out: str = "cnt") -> DataFrame:
-    """For every point (pid, keys, pt_day): sum of ``weight`` over events of
-    the same keys with ``ev_day < pt_day``. Returns (pid, out) for every
-    point (0 when nothing precedes)."""
+                 pid: str | Sequence[str], pt_day: str, out: str = "cnt",
+                 calendar_keys: bool = False) -> DataFrame:
+    """For every point (pid..., keys, pt_day): sum of ``weight`` over events
+    of the same keys with ``ev_day < pt_day``. Returns (pid..., out) for
+    every point (0 when nothing precedes).
+
+    ``calendar_keys=True`` declares that the keys take a fixed handful of
+    values (e.g. a kind tag), so the summaries are bounded by the calendar
+    and are broadcast instead of shuffling all points onto few keys."""
     keys = list(keys)
-    ev = events.select(*keys, F.col(ev_day).alias("_d"), F.col(weight).alias("_w"))
-    by_year = ev.groupBy(*keys, F.year("_d").alias("_y")).agg(F.sum("_w").alias("_w"))
-    by_month = ev.groupBy(*keys, F.year("_d").alias("_y"), F.month("_d").alias("_m")).agg(
-        F.sum("_w").alias("_w"))
-    by_day = ev.groupBy(*keys, F.trunc("_d", "MM").alias("_mon"), "_d").agg(F.sum("_w").alias("_w"))
-    if not keys:
-        # Constant key: the summaries are bounded by the calendar (years,
-        # months, days), so broadcasting them is safe.
-        by_year, by_month, by_day = F.broadcast(by_year), F.broadcast(by_month), F.broadcast(by_day)
-    p = points.select(F.col(pid).alias("_pid"), *keys, F.col(pt_day).alias("_x"))
-    py = p.select("_pid", *keys, F.year("_x").alias("_py"))
-    pm = p.select("_pid", *keys, F.year("_x").alias("_y"), F.month("_x").alias("_pm"))
-    pd_ = p.select("_pid", *keys, F.trunc("_x", "MM").alias("_mon"), F.col("_x"))
-    part_y = py.join(by_year, keys, "inner") if keys else py.crossJoin(by_year)
-    part_y = part_y.where(F.col("_y") < F.col("_py")).select("_pid", "_w")
-    part_m = pm.join(by_month, [*keys, "_y"], "inner").where(F.col("_m") < F.col("_pm")).select("_pid", "_w")
-    part_d = pd_.join(by_day, [*keys, "_mon"], "inner").where(F.col("_d") < F.col("_x")).select("_pid", "_w")
-    sums = part_y.unionByName(part_m).unionByName(part_d).groupBy("_pid").agg(F.sum("_w").alias("_s"))
-    return (p.select("_pid").join(sums, "_pid", "left")
-            .select(F.col("_pid").alias(pid), F.coalesce("_s", F.lit(0)).cast("bigint").alias(out)))
+    pids = [pid] if isinstance(pid, str) else list(pid)
+    ident = [*pids, *keys]  # a point is identified by its id and its keys
+    # One day-level aggregation of the events; month and year levels are
+    # aggregated from it. Level rows: (keys, _lvl, _b bucket, _o order, _w)
+    #   year  : bucket 0,          order = year
+    #   month : bucket = year,     order = month
+    #   day   : bucket = yyyymm,   order = day of month
+    day = events.groupBy(*keys, F.col(ev_day).alias("_d")).agg(F.sum(weight).alias("_w"))
+    lvl_y = day.groupBy(*keys, F.year("_d").alias("_o")).agg(F.sum("_w").alias("_w")).select(
+        *keys, F.lit(0).alias("_lvl"), F.lit(0).alias("_b"), "_o", "_w")
+    lvl_m = day.groupBy(*keys, F.year("_d").alias("_b"), F.month("_d").alias("_o")).agg(
+        F.sum("_w").alias("_w")).select(*keys, F.lit(1).alias("_lvl"), "_b", "_o", "_w")
+    lvl_d = day.select(*keys, F.lit(2).alias("_lvl"), (F.year("_d") * 100 + F.month("_d")).alias("_b"),
+                       F.dayofmonth("_d").alias("_o"), "_w")
+    summ = lvl_y.unionByName(lvl_m).unionByName(lvl_d)
+    if calendar_keys or not keys:
+        summ = F.broadcast(summ)
+    # Each point probes the three levels: full years before its year, full
+    # months before its month in its year, days before its day in its month.
+    x = F.col(pt_day)
+    probes = points.select(*ident, F.explode(F.array(
+        F.struct(F.lit(0).alias("_lvl"), F.lit(0).alias("_b"), F.year(x).alias("_lim")),
+        F.struct(F.lit(1).alias("_lvl"), F.year(x).alias("_b"), F.month(x).alias("_lim")),
+        F.struct(F.lit(2).alias("_lvl"), (F.year(x) * 100 + F.month(x)).alias("_b"), F.dayofmonth(x).alias("_lim")),
+    )).alias("_p")).select(*ident, "_p._lvl", "_p._b", "_p._lim")
+    s = summ.select(*[F.col(k).alias(f"_s_{k}") for k in keys], F.col("_lvl").alias("_s_lvl"),
+                    F.col("_b").alias("_s_b"), "_o", "_w")
+    cond = [F.col(k) == F.col(f"_s_{k}") for k in keys] + [
+        F.col("_lvl") == F.col("_s_lvl"), F.col("_b") == F.col("_s_b"), F.col("_o") < F.col("_lim")]
+    return (probes.join(s, cond, "left").groupBy(*ident)
+            .agg(F.coalesce(F.sum("_w"), F.lit(0)).cast("bigint").alias(out)))
+
+
+def overlap_count(stays: DataFrame, requests: DataFrame, keys: Sequence[str], rid: str, ci: str, co: str,
+                  s_ci: str | None = None, s_co: str | None = None, calendar_keys: bool = False,
+                  out: str = "n") -> DataFrame:
+    """Per valid request (rid, keys, [ci, co)), the number of valid stays of
+    the same keys with ``s.ci < co AND s.co > ci``, as
+    #(s.ci < co) - #(s.co <= ci): one ``count_before`` pass over both
+    boundaries (tagged by kind). Both sides must satisfy co > ci."""
+    s_ci, s_co = s_ci or ci, s_co or co
+    keys = list(keys)
+    ev = stays.select(*keys, F.explode(F.array(
+        F.struct(F.col(s_ci).alias("_ed"), F.lit(0).alias("_kind")),
+        F.struct(F.col(s_co).alias("_ed"), F.lit(1).alias("_kind")))).alias("_e")).select(
+        *keys, "_e._ed", "_e._kind", F.lit(1).alias("_one"))
+    pts = requests.select(rid, *keys, F.explode(F.array(
+        F.struct(F.col(co).alias("_px"), F.lit(0).alias("_kind")),
+        F.struct(F.date_add(F.col(ci), 1).alias("_px"), F.lit(1).alias("_kind")))).alias("_q")).select(
+        rid, *keys, "_q._px", "_q._kind")
+    c = count_before(ev, pts, [*keys, "_kind"], "_ed", "_one", [rid], "_px", out="_c",
+                     calendar_keys=calendar_keys)
+    return c.groupBy(rid).agg(
+        (F.sum(F.when(F.col("_kind") == 0, F.col("_c"))) - F.sum(F.when(F.col("_kind") == 1, F.col("_c"))))
+        .cast("bigint").alias(out))
 
 
 def day_summary(stays: DataFrame, key: str, ci: str, co: str) -> DataFrame:
