@@ -17,6 +17,10 @@ from innlytics.sources.tables import Tables
 
 d = dt.date.fromisoformat
 
+# ---------------------------------------------------------------------------
+# The seed rows, in their published order (ids = position, 1..n).
+# Staff e-mail domains are replaced by a neutral one (no rule reads them).
+# ---------------------------------------------------------------------------
 GUESTS = [
     ("Andi Pratama", "andi@email.com", "085111111111", "Jl. Sudirman No.10", 6),
     ("Budi Santoso", "budi@email.com", "085111111112", "Jl. Thamrin No.20", 7),
@@ -29,9 +33,9 @@ GUESTS = [
     ("Irfan Hakim", "irfan@email.com", "085111111119", "Jl. Veteran No.18", None),
     ("Joko Widianto", "joko@email.com", "085111111120", "Jl. Merdeka No.5", None),
 ]
-USERS = [("admin1", "admin1@hotelku.com", 1), ("admin2", "admin2@hotelku.com", 1),
-         ("resepsionis1", "resepsionis1@hotelku.com", 2), ("resepsionis2", "resepsionis2@hotelku.com", 2),
-         ("resepsionis3", "resepsionis3@hotelku.com", 2), ("andi_tamu", "andi@email.com", 3),
+USERS = [("admin1", "admin1@staff.example", 1), ("admin2", "admin2@staff.example", 1),
+         ("resepsionis1", "resepsionis1@staff.example", 2), ("resepsionis2", "resepsionis2@staff.example", 2),
+         ("resepsionis3", "resepsionis3@staff.example", 2), ("andi_tamu", "andi@email.com", 3),
          ("budi_tamu", "budi@email.com", 3), ("citra_tamu", "citra@email.com", 3)]
 ROOM_TYPES = [("Standard", Dec("350000.00"), 2), ("Deluxe", Dec("600000.00"), 2),
               ("Superior", Dec("850000.00"), 3), ("Suite", Dec("1500000.00"), 4)]
