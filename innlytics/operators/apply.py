@@ -4,8 +4,9 @@ Each ``apply_*`` takes the current ``Tables`` and a request batch and returns
 an ``Applied``: the new rows, the rejected requests with their reasons, the
 audit lines and the updated tables. All checks are set operations over the
 whole batch (anti/semi joins, grouped first-wins); the only Python is the
-per-room greedy arbitration of B7 (``applyInPandas``), run per overlap
-cluster of one room so unrelated requests never share a group.
+per-room greedy arbitration of B7 (``mapInPandas`` over partitions sorted by
+(room, overlap cluster, request order)), so unrelated requests never wait on
+each other and no group is materialised.
 """
 
 from __future__ import annotations

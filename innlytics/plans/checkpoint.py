@@ -1,9 +1,11 @@
 """Lineage cuts that survive executor loss.
 
-Reliable ``DataFrame.checkpoint()`` writes to the shared folder named by
-``spark.checkpoint.dir`` (never ``localCheckpoint``, whose blocks die with the
-executor). ``persist_table`` writes a parquet table under the same folder for
-results that later jobs or micro-batches read back.
+A cut writes the DataFrame once as a parquet table under the shared folder
+named by ``spark.checkpoint.dir`` and reads it back, so later steps (and
+task retries after a lost executor) start from durable files instead of
+re-running the lineage. ``localCheckpoint`` is never used: its blocks die
+with the executor. (A reliable ``DataFrame.checkpoint()`` would compute the
+plan twice unless cached first; the table write computes it once.)
 """
 
 from __future__ import annotations
@@ -15,13 +17,12 @@ from pyspark.sql import DataFrame
 from innlytics.session import checkpoint_dir
 
 
-def cut(df: DataFrame) -> DataFrame:
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def persist_table(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     spark = df.sparkSession
     target = path or f"{checkpoint_dir(spark).rstrip('/')}/tables/{name}-{uuid.uuid4().hex}"
     df.write.mode("overwrite").parquet(target)
     return spark.read.parquet(target)
+
+
+def cut(df: DataFrame, name: str = "cut") -> DataFrame:
+    return persist_table(df, name)
