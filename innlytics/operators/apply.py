@@ -210,7 +210,14 @@ def apply_status_action(t: Tables, requests: DataFrame, kind: str, as_of, actor_
     changed = ok.select(F.col("reservasi_id").alias("_chg"), F.lit(new_status).cast("bigint").alias("_new"))
     res = (t.reservasi.join(changed, F.col("id_reservasi") == F.col("_chg"), "left")
            .withColumn("status_reservasi_id", F.coalesce("_new", "status_reservasi_id")).drop("_chg", "_new"))
-    transitions = CH.transitions_between(t.reservasi, res).withColumnRenamed("id_reservasi", "reservasi_id")
+    # Transitions from the batch's own rows (not a before/after diff of the
+    # whole table): the UPDATE fires only where the status really changes.
+    transitions = (ok.select("reservasi_id")
+                   .join(t.reservasi.select(F.col("id_reservasi").alias("reservasi_id"),
+                                            F.col("status_reservasi_id").alias("old_status")),
+                         "reservasi_id", "inner")
+                   .withColumn("new_status", F.lit(new_status).cast("bigint"))
+                   .where(F.col("new_status") != F.col("old_status")))
     trig = CH.audit_transitions(transitions.withColumn("ts", _ts(as_of)))
     api = CH.audit_actions(kind, ok, user_id=actor_id, when=as_of)
     kamar = CH.room_status_after(t.kamar, transitions.withColumn("ts", _ts(as_of))
