@@ -107,16 +107,17 @@ def available_rooms(t: Tables, requests: DataFrame, request_id: str = "request_i
     room_stays = _valid(act.where(F.col("kamar_id").isNotNull())).join(
         rooms.select(F.col("id_kamar").alias("kamar_id")), "kamar_id", "left_semi")
     blocks = IV.busy_blocks(room_stays, "kamar_id", CI, CO)
-    gaps = (IV.free_gaps(blocks, rooms.select(F.col("id_kamar").alias("kamar_id")), "kamar_id")
-            .join(rooms.select(F.col("id_kamar").alias("kamar_id"), "tipe_id"), "kamar_id", "inner")
-            .withColumn("_one", F.lit(1)))
+    gaps = IV.free_gaps(blocks, rooms.select(F.col("id_kamar").alias("kamar_id"), "tipe_id"), "kamar_id")
+    # One aggregation of the gaps per (type, start, end) feeds both the
+    # prefix counts and the exact inner-gap lookup (one shuffle of the gaps).
+    gap_counts = gaps.groupBy("tipe_id", "gap_start", "gap_end").agg(F.count(F.lit(1)).alias("_g"))
     req = requests.select(request_id, "tipe_id", CI, CO)
     good = _valid(req)
     # kind 0: gap starts <= ci (i.e. < ci + 1); kind 1: gap ends < co
-    ev = gaps.select("tipe_id", F.explode(F.array(
+    ev = gap_counts.select("tipe_id", "_g", F.explode(F.array(
         F.struct(F.col("gap_start").alias("_ed"), F.lit(0).alias("_kind")),
         F.struct(F.col("gap_end").alias("_ed"), F.lit(1).alias("_kind")))).alias("_e")).select(
-        "tipe_id", "_e._ed", "_e._kind", F.lit(1).alias("_one"))
+        "tipe_id", "_e._ed", "_e._kind", F.col("_g").alias("_one"))
     pts = good.select(request_id, "tipe_id", F.explode(F.array(
         F.struct(F.date_add(CI, 1).alias("_px"), F.lit(0).alias("_kind")),
         F.struct(F.col(CO).alias("_px"), F.lit(1).alias("_kind")))).alias("_q")).select(
@@ -124,7 +125,7 @@ def available_rooms(t: Tables, requests: DataFrame, request_id: str = "request_i
     pq = (IV.count_before(ev, pts, ["tipe_id", "_kind"], "_ed", "_one", [request_id], "_px", out="_c")
           .groupBy(request_id).agg(F.sum(F.when(F.col("_kind") == 0, F.col("_c"))).alias("_p"),
                                    F.sum(F.when(F.col("_kind") == 1, F.col("_c"))).alias("_q")))
-    inner_gaps = gaps.groupBy("tipe_id", "gap_start", "gap_end").agg(F.count(F.lit(1)).alias("_g"))
+    inner_gaps = gap_counts
     # Day pairs ci < s < e < co of the request itself: C(nights - 1, 2) rows.
     starts = F.when(F.datediff(CO, CI) >= 3, F.sequence(F.date_add(CI, 1), F.date_sub(CO, 2)))
     pairs = (good.withColumn("gap_start", F.explode(starts))

@@ -46,16 +46,26 @@ def booking_list(t: Tables, user=None, ordered: bool = True) -> DataFrame:
 
 def booking_detail(t: Tables, reservation_id=None) -> DataFrame:
     """L2: booking with contact, room, type and (optional) payment + method."""
-    b = _bookings(t)
-    if reservation_id is not None:
-        b = b.where(F.col("id_reservasi") == F.lit(reservation_id))
+    # Payment (0..1 per reservation) is attached to the reservation heads
+    # *before* the stay lines, so the heads, payments and stays all meet on
+    # the reservation key and the wide stay rows are shuffled once for it.
+    heads = (t.reservasi.select("id_reservasi", "tamu_id", "status_reservasi_id", "tanggal_pesan")
+             .join(joins.lookup(t.status_reservasi),
+                   F.col("status_reservasi_id") == F.col("id_status_reservasi"), "inner")
+             .join(t.tamu.select("id_tamu", F.col("nama").alias("tamu"), "email", "telepon"),
+                   F.col("tamu_id") == F.col("id_tamu"), "inner"))
     pay = (t.pembayaran.select(F.col("reservasi_id").alias("_p_res"), F.col("total").alias("total_bayar"),
                                "tanggal_bayar", "metode_id")
            .join(joins.lookup(t.metode_pembayaran), F.col("metode_id") == F.col("id_metode"), "left"))
+    lines = t.detail_reservasi.select("reservasi_id", "kamar_id", "tanggal_checkin", "tanggal_checkout", "harga")
+    if reservation_id is not None:
+        heads = heads.where(F.col("id_reservasi") == F.lit(reservation_id))
+        lines = lines.where(F.col("reservasi_id") == F.lit(reservation_id))
+    b = (heads.join(pay, F.col("id_reservasi") == F.col("_p_res"), "left")
+         .join(lines, F.col("id_reservasi") == F.col("reservasi_id"), "inner"))
     return (b.join(t.kamar.select("id_kamar", "nomor_kamar", "tipe_id"),
                    F.col("kamar_id") == F.col("id_kamar"), "inner")
             .join(t.tipe_kamar.select("id_tipe", "nama_tipe"), F.col("tipe_id") == F.col("id_tipe"), "inner")
-            .join(pay, F.col("id_reservasi") == F.col("_p_res"), "left")
             .select("id_reservasi", "tamu", "email", "telepon", "status", "tanggal_pesan",
                     "tanggal_checkin", "tanggal_checkout", "harga", "nomor_kamar", "nama_tipe",
                     "total_bayar", "tanggal_bayar", "nama_metode"))

@@ -135,17 +135,23 @@ def block_of(stays: DataFrame, key: str, ci: str, co: str, merge_touching: bool
 def free_gaps(blocks: DataFrame, keys_df: DataFrame, key: str) -> DataFrame:
     """Free ranges [gap_start, gap_end) of every key in ``keys_df``: before the
     first block, between blocks, after the last; keys without blocks get one
-    unbounded gap. Open ends use sentinel days."""
+    unbounded gap. Open ends use sentinel days. Other columns of ``keys_df``
+    are carried along.
+
+    One left join of keys to their blocks and one window (per key, over its
+    blocks only) emit all gaps through an explode, so ``blocks`` is read once."""
+    neg, pos = F.lit(NEG_INF_DAY).cast("date"), F.lit(POS_INF_DAY).cast("date")
+    j = keys_df.join(blocks.select(key, "blk_start", "blk_end"), key, "left")
     w = Window.partitionBy(key).orderBy("blk_start")
-    inner = (blocks.withColumn("_prev_end", F.lag("blk_end").over(w))
-             .select(key, F.coalesce("_prev_end", F.lit(NEG_INF_DAY).cast("date")).alias("gap_start"),
-                     F.col("blk_start").alias("gap_end")))
-    last = (blocks.groupBy(key).agg(F.max("blk_end").alias("gap_start"))
-            .select(key, "gap_start", F.lit(POS_INF_DAY).cast("date").alias("gap_end")))
-    idle = (keys_df.select(key).join(blocks.select(key), key, "left_anti")
-            .select(key, F.lit(NEG_INF_DAY).cast("date").alias("gap_start"),
-                    F.lit(POS_INF_DAY).cast("date").alias("gap_end")))
-    return inner.unionByName(last).unionByName(idle)
+    j = j.withColumn("_prev_end", F.lag("blk_end").over(w)).withColumn("_next", F.lead("blk_start").over(w))
+    gap = lambda s, e: F.struct(s.alias("gap_start"), e.alias("gap_end"))
+    gaps = F.when(F.col("blk_start").isNull(), F.array(gap(neg, pos))).otherwise(
+        F.when(F.col("_next").isNull(),
+               F.array(gap(F.coalesce("_prev_end", neg), F.col("blk_start")), gap(F.col("blk_end"), pos)))
+        .otherwise(F.array(gap(F.coalesce("_prev_end", neg), F.col("blk_start")))))
+    carry = [c for c in keys_df.columns if c != key]
+    return (j.select(key, *carry, F.explode(gaps).alias("_g"))
+            .select(key, *carry, "_g.gap_start", "_g.gap_end"))
 
 
 def nights(stays: DataFrame, ci: str, co: str, out: str = "night") -> DataFrame:

@@ -96,8 +96,20 @@ def _named(spark: SparkSession, table: str, names: list[str]) -> DataFrame:
     return spark.createDataFrame([(i + 1, n) for i, n in enumerate(names)], SCHEMAS[table])
 
 
+_LOOKUP_CACHE: dict[int, dict[str, DataFrame]] = {}
+
+
 def lookup_tables(spark: SparkSession) -> dict[str, DataFrame]:
-    """The fixed small tables, as DataFrames (one local relation each)."""
+    """The fixed small tables, as DataFrames (one local relation each); built
+    once per session (they are constants, and building local relations costs
+    a driver round trip each)."""
+    key = id(spark._jsparkSession)
+    if key not in _LOOKUP_CACHE:
+        _LOOKUP_CACHE[key] = _build_lookup_tables(spark)
+    return dict(_LOOKUP_CACHE[key])
+
+
+def _build_lookup_tables(spark: SparkSession) -> dict[str, DataFrame]:
     return {
         "roles": _named(spark, "roles", ROLE_NAMES),
         "jabatan": _named(spark, "jabatan", JOB_TITLES),
