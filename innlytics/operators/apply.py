@@ -40,6 +40,7 @@ MSG_NOTHING_TO_UPDATE = "Tidak ada data yang diupdate"
 MSG_ID_REQUIRED = "ID diperlukan"
 MSG_DUPLICATE = "Duplicate entry"          # UNIQUE constraint at commit
 MSG_FK = "Foreign key constraint fails ({})"
+MSG_PRICE_NULL = "Column 'harga' cannot be null"
 
 
 @dataclass
@@ -163,10 +164,13 @@ def apply_bookings(t: Tables, requests: DataFrame, as_of: str | dt.date, actor_i
         won = arbitrate(r.where(F.size("reasons") == 0))
         r = r.join(won, "req_seq", "left")
         r = Q.with_reasons(r, [(F.col("_won") == F.lit(False), MSG_BOOKED)]).drop("_won")
-    ok, rejected = Q.split(r)
+    # Price: the API falls back to 0 for a room without type; the SQL
+    # procedure reads NULL and the NOT NULL column refuses the stay line.
     price_mode = "api" if check_conflicts else "sql"
-    priced = ok.join(B.room_price(t, mode=price_mode).select(F.col("id_kamar").alias("_pk"), "harga"),
-                     F.col("kamar_id") == F.col("_pk"), "left").drop("_pk")
+    r = r.join(B.room_price(t, mode=price_mode).select(F.col("id_kamar").alias("_pk"), "harga"),
+               F.col("kamar_id") == F.col("_pk"), "left").drop("_pk")
+    r = Q.with_reasons(r, [(F.col("harga").isNull() & (F.size("reasons") == 0), MSG_PRICE_NULL)])
+    priced, rejected = Q.split(r)
     with_res = _assign_ids(priced, t.reservasi, "id_reservasi", "id_reservasi")
     with_ids = _assign_ids(with_res, t.detail_reservasi, "id_detail", "id_detail")
     if checkpoint:

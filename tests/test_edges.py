@@ -178,3 +178,29 @@ def test_q2_q4_q5(spark, seed):
     assert Q.in_range(seed.ulasan, "rating", 1, 5).count() == 0
     assert Q.orphans(seed.detail_reservasi, "kamar_id", seed.kamar, "id_kamar").count() == 0
     assert Q.exists(seed.pembayaran, "reservasi_id", seed.reservasi, "id_reservasi").count() == 8
+
+
+def test_b7_procedure_mode(spark, seed):
+    # no conflict check; a room without type has a NULL price and is refused
+    kamar = seed.kamar.unionByName(spark.createDataFrame([(17, "501", None, 1)], seed.kamar.schema))
+    t = seed.with_(kamar=kamar)
+    req = spark.createDataFrame(
+        [(1, 1, 6, D(2026, 1, 15), D(2026, 1, 16), None), (2, 2, 17, D(2026, 3, 1), D(2026, 3, 2), None)],
+        "req_seq long, tamu_id long, kamar_id long, tanggal_checkin date, tanggal_checkout date, promo_id long")
+    res = A.apply_bookings(t, req, "2026-02-20", check_conflicts=False)
+    assert [r["req_seq"] for r in res.accepted.collect()] == [1]
+    assert [list(r["reasons"]) for r in res.rejected.collect()] == [[A.MSG_PRICE_NULL]]
+
+
+def test_s1_s2_write_and_read_tables(spark, seed, tmp_path):
+    from innlytics.sources import files
+    root = str(tmp_path / "db")
+    for name in ("reservasi", "detail_reservasi", "pembayaran", "kamar", "tamu"):
+        rej = files.write_table(getattr(seed, name), root, name, mode="overwrite")
+        assert rej.count() == 0
+    back = files.read_tables(spark, root)
+    assert back.detail_reservasi.count() == 12 and back.kamar.count() == 16
+    assert back.ulasan.count() == 0 and back.status_reservasi.count() == 4
+    # month partitions prune: one folder per check-in month
+    assert sorted(p.name for p in (tmp_path / "db" / "detail_reservasi").iterdir() if p.is_dir()) == [
+        "bulan=2025-12", "bulan=2026-01"]
