@@ -165,11 +165,14 @@ def _zero_on_null_room(t: Tables, out: DataFrame, requests: DataFrame, request_i
     good = _valid(req)
     hit_valid = (IV.overlap_count(good_null, good, [], request_id, CI, CO, calendar_keys=True, out="_h")
                  .where(F.col("_h") > 0).select(request_id))
-    # Invalid stays / ranges with a NULL room: direct residual test (rare rows,
-    # the stay side is bounded by V1 having rejected such stays at insert).
-    odd = null_stays.where(~(F.col(CO) > F.col(CI))).select(F.col(CI).alias("_sci"), F.col(CO).alias("_sco"))
-    hit_odd = (req.join(F.broadcast(odd), (F.col("_sci") < F.col(CO)) & (F.col("_sco") > F.col(CI)), "inner")
-               .select(request_id))
+    # Invalid NULL-room stays (co <= ci; V1 refuses them at insert, so rare):
+    # one hits a valid request iff q.ci < s.co <= s.ci < q.co, so s.co is one
+    # of the request's inner days -> exact-key join on that day (fan-out
+    # bounded by the request length). An invalid request never hits one.
+    odd = null_stays.where(~(F.col(CO) > F.col(CI))).select(F.col(CI).alias("_sci"), F.col(CO).alias("_day"))
+    inner_days = F.when(F.datediff(CO, CI) >= 2, F.sequence(F.date_add(CI, 1), F.date_sub(CO, 1)))
+    hit_odd = (good.select(request_id, CO, F.explode(inner_days).alias("_day"))
+               .join(odd, "_day", "inner").where(F.col("_sci") < F.col(CO)).select(request_id))
     bad_req = req.where(~(F.col(CO) > F.col(CI)))
     n = IV.nights(good_null, CI, CO).select(F.col(CI).alias("_sci"), "night")
     hit_bad = (bad_req.join(n, n["night"] == bad_req[CI], "inner").where(F.col("_sci") < F.col(CO))

@@ -143,3 +143,20 @@ def test_c2_replay_equals_final_status(spark):
         assert final[res_id] == st
     # block size does not change the answer
     assert sorted(rows(tr)) == sorted(rows(CH.status_transitions(feed, block_seconds=86400 * 365)))
+
+
+def test_b2_invalid_null_room_stays(spark):
+    # reversed NULL-room stays (which V1 would refuse) still follow NOT IN
+    t, kamar, res, stays = _random_book(spark, 11, n_stays=40, null_rooms=4)
+    for j in range(2):
+        s = stays[j]
+        stays[j] = (s[0], s[1], None, s[4], s[3], s[5])
+    t = t.with_(detail_reservasi=spark.createDataFrame(stays, C.SCHEMAS["detail_reservasi"]))
+    req = _requests(random.Random(11), 40, 2)
+    df = spark.createDataFrame(req, "request_id string, tipe_id long, tanggal_checkin date, tanggal_checkout date")
+    got = dict(rows(B.available_rooms(t, df), "request_id", "tersedia"))
+    act = _active(res, stays)
+    for rid, typ, ci, co in req:
+        sub = [s[2] for s in act if s[3] < co and s[4] > ci]
+        want = 0 if None in sub else sum(1 for k in kamar if k[2] == typ and k[3] == 1 and k[0] not in sub)
+        assert got[rid] == want, (rid, typ, ci, co)
