@@ -149,7 +149,12 @@ def available_rooms(t: Tables, requests: DataFrame, request_id: str = "request_i
     per_type = rooms.groupBy(F.col("tipe_id").alias("_tt")).agg(F.count(F.lit(1)).alias("_rooms"))
     free_bad = (bad.join(per_type, F.col("tipe_id") == F.col("_tt"), "inner").join(busy_bad, request_id, "left")
                 .select(request_id, (F.col("_rooms") - F.coalesce("_busy", F.lit(0))).alias("_free")))
-    free = free_valid.unionByName(free_bad)
+    # A NULL date makes the overlap predicate NULL: the subquery is empty and
+    # every eligible room of the type counts.
+    free_null = (req.where(F.col(CI).isNull() | F.col(CO).isNull())
+                 .join(per_type, F.col("tipe_id") == F.col("_tt"), "inner")
+                 .select(request_id, F.col("_rooms").alias("_free")))
+    free = free_valid.unionByName(free_bad).unionByName(free_null)
     out = requests.join(free, request_id, "left").withColumn(
         "tersedia", F.coalesce("_free", F.lit(0)).cast("bigint")).drop("_free")
     if null_mode == "mysql":

@@ -204,3 +204,9 @@ def test_s1_s2_write_and_read_tables(spark, seed, tmp_path):
     # month partitions prune: one folder per check-in month
     assert sorted(p.name for p in (tmp_path / "db" / "detail_reservasi").iterdir() if p.is_dir()) == [
         "bulan=2025-12", "bulan=2026-01"]
+
+
+def test_b2_null_dates_count_every_free_room(spark, seed):
+    req = spark.createDataFrame([("n", 1, None, D(2026, 1, 17))],
+                                "request_id string, tipe_id long, tanggal_checkin date, tanggal_checkout date")
+    assert rows(B.available_rooms(seed, req), "tersedia") == [(3,)]
