@@ -145,6 +145,19 @@ def test_c2_replay_equals_final_status(spark):
     assert sorted(rows(tr)) == sorted(rows(CH.status_transitions(feed, block_seconds=86400 * 365)))
 
 
+def test_b7_adds_no_overlap_on_standins(spark):
+    # accepted bookings + the existing book: every overlapping active stay
+    # was already overlapping before the batch
+    from innlytics.sources import requests as RQ
+    t = standins.load(spark, SMOKE)
+    res = A.apply_bookings(t, RQ.booking_requests(t), "2026-02-15")
+    assert res.accepted.count() > 0
+    cols = ["reservasi_id", "kamar_id", "tanggal_checkin", "tanggal_checkout"]
+    before = set(rows(B.overlapping_stays(t), *cols))
+    after = set(rows(B.overlapping_stays(res.tables), *cols))
+    assert after == before
+
+
 def test_b2_invalid_null_room_stays(spark):
     # reversed NULL-room stays (which V1 would refuse) still follow NOT IN
     t, kamar, res, stays = _random_book(spark, 11, n_stays=40, null_rooms=4)
