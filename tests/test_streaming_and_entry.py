@@ -51,6 +51,26 @@ def test_transitions_stream_equals_batch(spark):
     assert last == want
 
 
+def test_c1_v1_on_a_stream(spark):
+    # stateless trigger operators run unchanged on a streaming DataFrame
+    from innlytics.operators import quality as Q
+    t = standins.load(spark, SMOKE)
+    work = tempfile.mkdtemp(prefix="innlytics-c1-", dir="/tmp")
+    t.reservasi.write.parquet(os.path.join(work, "res"))
+    t.detail_reservasi.drop("id_detail").write.parquet(os.path.join(work, "stays"))
+    res_stream = spark.readStream.schema(t.reservasi.schema).parquet(os.path.join(work, "res"))
+    lines, _ = CH.audit_new_reservations(res_stream)
+    feeds.run_to_tables(lines, os.path.join(work, "c1"), os.path.join(work, "ck1"))
+    got = spark.read.parquet(os.path.join(work, "c1")).drop("batch")
+    want, _ = CH.audit_new_reservations(t.reservasi)
+    assert sorted(rows(got)) == sorted(rows(want))
+    stay_stream = spark.readStream.schema(t.detail_reservasi.drop("id_detail").schema).parquet(
+        os.path.join(work, "stays"))
+    checked = Q.validate_stays(stay_stream).withColumn("n_reasons", F.size("reasons")).drop("reasons")
+    feeds.run_to_tables(checked, os.path.join(work, "v1"), os.path.join(work, "ck2"))
+    assert spark.read.parquet(os.path.join(work, "v1")).count() == t.detail_reservasi.count()
+
+
 def test_json_documents_roundtrip(spark, seed):
     from innlytics.operators import listings as L
     docs = files.to_documents(L.room_list(seed, ordered=False))
