@@ -76,15 +76,31 @@ def checkpoint_dir(spark: SparkSession) -> str:
     On a cluster that setting names a shared (HDFS/object store) folder and is
     used as is. Only when it is unset (local tests) a scratch folder is made.
     """
+    sc = _context(spark)
     current = spark.conf.get("spark.checkpoint.dir", None)
-    if not current:
-        current = spark.sparkContext.getCheckpointDir()
+    if not current and sc is not None:
+        current = sc.getCheckpointDir()
     if not current:
         current = tempfile.mkdtemp(prefix="innlytics-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
         try:
             spark.conf.set("spark.checkpoint.dir", current)
         except Exception:  # noqa: BLE001 - core conf not settable at runtime
             pass
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(current)
-    return spark.sparkContext.getCheckpointDir() or current
+    if sc is None:
+        return current
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(current)
+    return sc.getCheckpointDir() or current
+
+
+def _context(spark: SparkSession):
+    """The SparkContext, or None on a Spark Connect session."""
+    try:
+        return spark.sparkContext
+    except Exception:  # noqa: BLE001 - Spark Connect has no SparkContext
+        return None
+
+
+def session_key(spark: SparkSession) -> int:
+    """Stable identity of a session (classic or Spark Connect)."""
+    return id(getattr(spark, "_jsparkSession", None) or spark)

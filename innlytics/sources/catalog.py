@@ -103,7 +103,8 @@ def lookup_tables(spark: SparkSession) -> dict[str, DataFrame]:
     """The fixed small tables, as DataFrames (one local relation each); built
     once per session (they are constants, and building local relations costs
     a driver round trip each)."""
-    key = id(spark._jsparkSession)
+    from innlytics.session import session_key
+    key = session_key(spark)
     if key not in _LOOKUP_CACHE:
         _LOOKUP_CACHE[key] = _build_lookup_tables(spark)
     return dict(_LOOKUP_CACHE[key])
