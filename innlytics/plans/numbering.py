@@ -29,12 +29,17 @@ def numbered(df: DataFrame, group_cols: Sequence[str], order_cols: Sequence[str
     local = Window.partitionBy(*group_cols, "_blk").orderBy(*order_cols)
     counts = tagged.groupBy(*group_cols, "_blk").agg(F.count(F.lit(1)).alias("_n"))
     running = Window.partitionBy(*group_cols).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(*group_cols, "_blk",
+    renamed = [f"_g{i}" for i in range(len(group_cols))]
+    offsets = counts.select(*[F.col(g).alias(r) for g, r in zip(group_cols, renamed)],
+                            F.col("_blk").alias("_ob"),
                             F.coalesce(F.sum("_n").over(running), F.lit(0)).alias("_off"))
+    # NULL group values form a group of their own (null-safe join).
+    cond = [F.col(g).eqNullSafe(F.col(r)) for g, r in zip(group_cols, renamed)] + [
+        F.col("_blk").eqNullSafe(F.col("_ob"))]
     return (tagged.withColumn("_local", F.row_number().over(local))
-            .join(offsets, [*group_cols, "_blk"], "inner")
+            .join(offsets, cond, "inner")
             .withColumn(out, (F.col("_off") + F.col("_local")).cast("bigint"))
-            .drop("_blk", "_local", "_off"))
+            .drop("_blk", "_local", "_off", "_ob", *renamed))
 
 
 def new_ids(df: DataFrame, order_cols: Sequence[str | Column], start: Column, out: str,
