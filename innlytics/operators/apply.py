@@ -155,7 +155,8 @@ def apply_bookings(t: Tables, requests: DataFrame, as_of: str | dt.date, actor_i
     r = Q.flag_missing_parent(r, "promo_id", t.promo, "id_promo", MSG_FK.format("promo"))
     if check_conflicts:
         probe = r.where(F.size("reasons") == 0).select(F.col("req_seq").alias("request_id"), "kamar_id", CI, CO)
-        hits = B.booking_conflicts(t, probe).where(F.col("jumlah_konflik") > 0).select(
+        # probe rows passed V1 above, so the invalid-request branch is skipped
+        hits = B.booking_conflicts(t, probe, requests_valid=True).where(F.col("jumlah_konflik") > 0).select(
             F.col("request_id").alias("_hit_seq"), F.lit(True).alias("_hit"))
         r = r.join(hits, F.col("req_seq") == F.col("_hit_seq"), "left")
         r = Q.with_reasons(r, [(F.col("_hit").isNotNull(), MSG_BOOKED)]).drop("_hit_seq", "_hit")

@@ -52,14 +52,16 @@ def _valid(df: DataFrame) -> DataFrame:
     return df.where(F.col(CO) > F.col(CI))
 
 
-def booking_conflicts(t: Tables, requests: DataFrame, request_id: str = "request_id") -> DataFrame:
+def booking_conflicts(t: Tables, requests: DataFrame, request_id: str = "request_id",
+                      requests_valid: bool = False) -> DataFrame:
     """Per request (request_id, kamar_id, checkin, checkout), the number
     of active stays of that room with ``ci < q.co AND co > q.ci``.
 
     Valid requests and stays use prefix counts:
     #(ci < q.co) - #(co <= q.ci). The rare remainder (a request or stay with
     checkout <= checkin, which V1 rejects) is counted exactly by an
-    equi-join on the room over those rows only."""
+    equi-join on the room over those rows only. ``requests_valid=True``
+    (the caller already applied V1) skips the invalid-request branch."""
     stays = active_stays(t).where(F.col("kamar_id").isNotNull()).select("kamar_id", CI, CO)
     good_stays, bad_stays = _valid(stays), stays.where(~(F.col(CO) > F.col(CI)))
     req = requests.select(request_id, "kamar_id", CI, CO)
@@ -79,8 +81,11 @@ def booking_conflicts(t: Tables, requests: DataFrame, request_id: str = "request
                      (F.col("kamar_id") == F.col("_k")) & (F.col("_sci") < F.col(CO)) & (F.col("_sco") > F.col(CI)),
                      "inner")
             .groupBy(request_id).agg(F.count(F.lit(1)).alias("_n")))
-    total = (valid_counts.unionByName(rem1).unionByName(rem2)
-             .groupBy(request_id).agg(F.sum("_n").alias("_n")))
+    parts = [valid_counts, rem2] if requests_valid else [valid_counts, rem1, rem2]
+    total = parts[0]
+    for p in parts[1:]:
+        total = total.unionByName(p)
+    total = total.groupBy(request_id).agg(F.sum("_n").alias("_n"))
     return (requests.join(total, request_id, "left")
             .withColumn("jumlah_konflik", F.coalesce("_n", F.lit(0)).cast("bigint")).drop("_n"))
 
