@@ -33,7 +33,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from innlytics.functions import scalar
 from innlytics.sources import catalog
@@ -218,5 +217,3 @@ def load(spark: SparkSession, sf_dir: str) -> Tables:
 def load_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return status_feed(read_raw(spark, sf_dir, "events"))
 
-
-__all__ = ["load", "load_feed", "read_raw", "RAW_SCHEMAS", "T"]
