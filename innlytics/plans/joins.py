@@ -1,9 +1,16 @@
 """Join helpers.
 
-Broadcast policy: only the fixed lookup tables (statuses, methods, roles ...)
-and one-row aggregates are broadcast by hint; their size is bounded by
-construction and ``lookup`` asserts the bound on local relations. Every other
-join is left to the planner: a static broadcast only under
+Broadcast policy: a side is broadcast by hint only when its size is bounded
+and checked:
+
+* ``lookup``: the fixed lookup tables (statuses, methods, roles ...). Their
+  row count is verified once per DataFrame with ``limit(max + 1).count()``
+  (a job that stops after ``max + 1`` rows); above the bound the hint is
+  dropped and the planner's own strategy (sort-merge join, or a runtime
+  broadcast decided by AQE from measured sizes) is used instead.
+* ``one_row``: a global aggregate, exactly one row by construction.
+
+Every other join is left to the planner: a static broadcast only under
 ``autoBroadcastJoinThreshold`` of estimated size, and AQE converts a
 sort-merge join to a broadcast join only after measuring the real shuffle
 output, so no unbounded side is ever broadcast blindly.
@@ -15,11 +22,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 LOOKUP_MAX_ROWS = 10_000
+# id -> (frame, verdict); holding the frame keeps its id from being reused.
+_CHECKED: dict[int, tuple[DataFrame, bool]] = {}
 
 
-def lookup(df: DataFrame) -> DataFrame:
-    """Broadcast a fixed lookup table (statuses, methods, roles, promos)."""
-    return F.broadcast(df)
+def fits(df: DataFrame, max_rows: int = LOOKUP_MAX_ROWS) -> bool:
+    """True when ``df`` has at most ``max_rows`` rows (checked once per frame)."""
+    hit = _CHECKED.get(id(df))
+    if hit is None or hit[0] is not df:
+        hit = (df, df.limit(max_rows + 1).count() <= max_rows)
+        _CHECKED[id(df)] = hit
+    return hit[1]
+
+
+def lookup(df: DataFrame, max_rows: int = LOOKUP_MAX_ROWS) -> DataFrame:
+    """Broadcast a lookup table if it is within ``max_rows``, else join plainly."""
+    return F.broadcast(df) if fits(df, max_rows) else df
 
 
 def one_row(df: DataFrame) -> DataFrame:

@@ -39,6 +39,15 @@ def test_overlap_has_no_stay_self_join(spark):
     assert "Window" in p
 
 
+def test_lookup_broadcast_is_size_checked(spark):
+    from innlytics.plans import joins
+    small = spark.range(3)
+    big = spark.range(50)
+    assert joins.fits(small, 10) and not joins.fits(big, 10)
+    assert joins.lookup(big, 10) is big
+    assert "broadcast" in _optimized(joins.lookup(small, 10).join(big, "id")).lower()
+
+
 def test_scans_read_only_needed_columns(spark):
     t = standins.load(spark, SMOKE)
     p = _plan(R.revenue_by_month(t))
