@@ -32,19 +32,25 @@ def count_before(events: DataFrame, points: DataFrame, keys: Sequence[str], ev_d
     keys = list(keys)
     pids = [pid] if isinstance(pid, str) else list(pid)
     ident = [*pids, *keys]  # a point is identified by its id and its keys
-    # One day-level aggregation of the events; month and year levels are
-    # aggregated from it. Level rows: (keys, _lvl, _b bucket, _o order, _w)
+    # All three levels in ONE aggregation (grouping sets: one shuffle, partial
+    # aggregation map-side). Level rows: (keys, _lvl, _b bucket, _o order, _w)
     #   year  : bucket 0,          order = year
     #   month : bucket = year,     order = month
     #   day   : bucket = yyyymm,   order = day of month
-    day = events.groupBy(*keys, F.col(ev_day).alias("_d")).agg(F.sum(weight).alias("_w"))
-    lvl_y = day.groupBy(*keys, F.year("_d").alias("_o")).agg(F.sum("_w").alias("_w")).select(
-        *keys, F.lit(0).alias("_lvl"), F.lit(0).alias("_b"), "_o", "_w")
-    lvl_m = day.groupBy(*keys, F.year("_d").alias("_b"), F.month("_d").alias("_o")).agg(
-        F.sum("_w").alias("_w")).select(*keys, F.lit(1).alias("_lvl"), "_b", "_o", "_w")
-    lvl_d = day.select(*keys, F.lit(2).alias("_lvl"), (F.year("_d") * 100 + F.month("_d")).alias("_b"),
-                       F.dayofmonth("_d").alias("_o"), "_w")
-    summ = lvl_y.unionByName(lvl_m).unionByName(lvl_d)
+    ev = events.select(*keys, F.year(ev_day).alias("_y"), F.month(ev_day).alias("_m"),
+                       F.dayofmonth(ev_day).alias("_dd"), F.col(weight).alias("_w"))
+    kc = [F.col(k) for k in keys]
+    y, m, dd = F.col("_y"), F.col("_m"), F.col("_dd")
+    agg = (ev.groupingSets([[*kc, y], [*kc, y, m], [*kc, y, m, dd]], *kc, y, m, dd)
+           .agg(F.sum("_w").alias("_w"), F.grouping_id().alias("_gid")))
+    # grouping_id bits follow (keys..., _y, _m, _dd): day level = 0,
+    # month level = 1 (_dd rolled up), year level = 3 (_m, _dd rolled up)
+    lvl = F.when(F.col("_gid") == 0, F.lit(2)).when(F.col("_gid") == 1, F.lit(1)).otherwise(F.lit(0))
+    summ = agg.select(
+        *keys, lvl.alias("_lvl"),
+        F.when(F.col("_gid") == 0, y * 100 + m).when(F.col("_gid") == 1, y).otherwise(F.lit(0)).alias("_b"),
+        F.when(F.col("_gid") == 0, dd).when(F.col("_gid") == 1, m).otherwise(y).alias("_o"),
+        "_w")
     if calendar_keys or not keys:
         summ = F.broadcast(summ)
     # Each point probes the three levels: full years before its year, full
