@@ -53,12 +53,13 @@ def _valid(df: DataFrame) -> DataFrame:
 
 
 def booking_conflicts(t: Tables, requests: DataFrame, request_id: str = "request_id",
-                      requests_valid: bool = False) -> DataFrame:
+                      requests_valid: bool = False, light_max: int = 64) -> DataFrame:
     """Per request (request_id, kamar_id, checkin, checkout), the number
     of active stays of that room with ``ci < q.co AND co > q.ci``.
 
-    Valid requests and stays use prefix counts:
-    #(ci < q.co) - #(co <= q.ci). The rare remainder (a request or stay with
+    Valid requests and stays: rooms with at most ``light_max`` active stays
+    by an equi-join on the room (bounded partners), hotter rooms by prefix
+    counts #(ci < q.co) - #(co <= q.ci) (no pairs). The rare remainder (a request or stay with
     checkout <= checkin, which V1 rejects) is counted exactly by an
     equi-join on the room over those rows only. ``requests_valid=True``
     (the caller already applied V1) skips the invalid-request branch."""
@@ -66,7 +67,8 @@ def booking_conflicts(t: Tables, requests: DataFrame, request_id: str = "request
     good_stays, bad_stays = _valid(stays), stays.where(~(F.col(CO) > F.col(CI)))
     req = requests.select(request_id, "kamar_id", CI, CO)
     good_req = _valid(req)
-    valid_counts = IV.overlap_count(good_stays, good_req, ["kamar_id"], request_id, CI, CO, out="_n")
+    valid_counts = IV.overlap_count(good_stays, good_req, ["kamar_id"], request_id, CI, CO, out="_n",
+                                    light_max=light_max)
     # Remainders: invalid requests against the stays covering night q.ci
     # (only rooms that have such a request are exploded), and requests
     # against invalid stays. Both sides are rare.

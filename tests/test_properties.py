@@ -72,6 +72,18 @@ def test_b3_matches_brute_force(spark, seed):
         assert got[rid] == want, (rid, room, ci, co)
 
 
+@pytest.mark.parametrize("light_max", [0, 8, 1000])
+def test_b3_light_and_hot_rooms_agree(spark, light_max):
+    # 0: every room by prefix counts; 8: mixed; 1000: every room by equi-join
+    t, kamar, res, stays = _random_book(spark, 21, n_rooms=4, n_stays=80)
+    req = _requests(random.Random(21), 50, 4, invalid=False)
+    df = spark.createDataFrame(req, "request_id string, kamar_id long, tanggal_checkin date, tanggal_checkout date")
+    got = dict(rows(B.booking_conflicts(t, df, light_max=light_max), "request_id", "jumlah_konflik"))
+    act = _active(res, stays)
+    for rid, room, ci, co in req:
+        assert got[rid] == sum(1 for s in act if s[2] == room and s[3] < co and s[4] > ci), (rid, light_max)
+
+
 @pytest.mark.parametrize("seed,null_rooms", [(4, 0), (5, 2), (6, 0)])
 def test_b2_matches_not_in(spark, seed, null_rooms):
     t, kamar, res, stays = _random_book(spark, seed, null_rooms=null_rooms, invalid=2)
