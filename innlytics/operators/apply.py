@@ -138,8 +138,10 @@ def arbitrate(requests: DataFrame) -> DataFrame:
 def apply_bookings(t: Tables, requests: DataFrame, as_of: str | dt.date, actor_id: int = 1,
                    check_conflicts: bool = True, checkpoint: bool = True) -> Applied:
     """B7. requests: req_seq, tamu_id, kamar_id, [tanggal_checkin],
-    [tanggal_checkout], [promo_id]. ``check_conflicts=False`` is the SQL
-    procedure's behaviour (no conflict check, NULL price).
+    [tanggal_checkout], [promo_id]; ``req_seq`` is the batch's arrival order
+    and must be unique (it decides who wins a room and keeps task retries
+    deterministic). ``check_conflicts=False`` is the SQL procedure's
+    behaviour (no conflict check, NULL price).
 
     With ``checkpoint`` (default) the checked batch and the id-stamped rows
     are written to the shared checkpoint folder: later steps read them back
