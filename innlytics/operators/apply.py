@@ -81,6 +81,23 @@ def _first_wins(df: DataFrame, keys: list, reason: str, order: str = "req_seq")
     return Q.with_reasons(j, [(nn & (F.col(order) != F.col("_first")), reason)]).drop("_first", *names)
 
 
+def _key_flags(df: DataFrame, key: str, sources: list[tuple[DataFrame, str, str]]) -> DataFrame:
+    """Attach one boolean per source: does ``key`` occur in that source's
+    column? All sources are unioned and aggregated once per key (partial
+    aggregation), then joined to ``df`` once."""
+    tags = [tag for _, _, tag in sources]
+    parts = [src.select(F.col(col).alias("_fk"), *[F.lit(t == tag).alias(t) for t in tags])
+             for src, col, tag in sources]
+    keys = parts[0]
+    for p in parts[1:]:
+        keys = keys.unionByName(p)
+    facts = keys.where(F.col("_fk").isNotNull()).groupBy("_fk").agg(*[F.max(t).alias(t) for t in tags])
+    j = df.join(facts, F.col(key) == F.col("_fk"), "left").drop("_fk")
+    for t_ in tags:
+        j = j.withColumn(t_, F.coalesce(F.col(t_), F.lit(False)))
+    return j
+
+
 def _flag_existing(df: DataFrame, key, existing: DataFrame, ekey, reason: str) -> DataFrame:
     k = F.col(key) if isinstance(key, str) else key
     ek = F.col(ekey) if isinstance(ekey, str) else ekey
@@ -242,10 +259,15 @@ def apply_payments(t: Tables, requests: DataFrame, as_of, actor_id: int = 1) ->
     reservation and a second payment are refused; the amount is not
     compared with the reservation total (see X1)."""
     r = Q.required(requests, ["reservasi_id", "metode_id", "total"])
-    r = Q.flag_missing_parent(r, "reservasi_id", t.reservasi, "id_reservasi", MSG_NOT_FOUND_RES)
+    # One join answers all three reservation-keyed questions (exists, already
+    # paid, already invoiced) instead of one join per question.
+    r = _key_flags(r, "reservasi_id", [(t.reservasi, "id_reservasi", "_is_res"),
+                                       (t.pembayaran, "reservasi_id", "_paid"),
+                                       (t.invoice, "reservasi_id", "_invoiced")])
+    r = Q.with_reasons(r, [(F.col("reservasi_id").isNotNull() & ~F.col("_is_res"), MSG_NOT_FOUND_RES)])
     r = Q.flag_missing_parent(r, "metode_id", t.metode_pembayaran, "id_metode", MSG_FK.format("metode"))
-    r = _flag_existing(r, "reservasi_id", t.pembayaran, "reservasi_id", MSG_DUPLICATE)
-    r = _flag_existing(r, "reservasi_id", t.invoice, "reservasi_id", MSG_DUPLICATE)
+    r = Q.with_reasons(r, [(F.col("_paid"), MSG_DUPLICATE), (F.col("_invoiced"), MSG_DUPLICATE)])
+    r = r.drop("_is_res", "_paid", "_invoiced")
     r = r.withColumn("nomor_invoice", E.invoice_number(F.col("reservasi_id"), as_of))
     r = _flag_existing(r, "nomor_invoice", t.invoice, "nomor_invoice", MSG_DUPLICATE)
     r = _first_wins(r, ["reservasi_id"], MSG_DUPLICATE)
