@@ -24,7 +24,6 @@ from innlytics.operators import booking as B
 from innlytics.operators import changes as CH
 from innlytics.operators import quality as Q
 from innlytics.plans import intervals as IV
-from innlytics.plans import joins
 from innlytics.plans.checkpoint import cut
 from innlytics.plans.numbering import new_ids
 from innlytics.sources import catalog as C
@@ -56,14 +55,15 @@ def _ts(as_of) -> F.Column:
     return F.lit(as_of).cast("timestamp_ntz")
 
 
-def _max_id(df: DataFrame, col: str) -> DataFrame:
-    return joins.one_row(df.agg(F.coalesce(F.max(col), F.lit(0)).cast("bigint").alias("_max")))
+def _max_id(df: DataFrame, col: str) -> F.Column:
+    """Current max id as an uncorrelated scalar subquery (0 on an empty table)."""
+    return df.agg(F.coalesce(F.max(col), F.lit(0)).cast("bigint")).scalar()
 
 
 def _assign_ids(df: DataFrame, base: DataFrame, base_col: str, out: str, order: str = "req_seq") -> DataFrame:
     """AUTO_INCREMENT for a batch: max(existing id) + rank in request order,
     numbered in blocks of the order key (no single-task global window)."""
-    with_max = df.crossJoin(_max_id(base, base_col))
+    with_max = df.withColumn("_max", _max_id(base, base_col))
     return new_ids(with_max, [order], F.col("_max"), out, F.floor(F.col(order) / 65536)).drop("_max")
 
 
@@ -328,8 +328,9 @@ def apply_registrations(t: Tables, requests: DataFrame, as_of=None, max_rounds:
     refused = (state.where(F.col("_state") != "accepted").drop("_state")
                .withColumn("reasons", F.array(F.lit(MSG_REGISTERED))))
     rejected = pre_rej.unionByName(refused)
-    role = joins.lookup(t.roles.where(F.col("nama_role") == "tamu").select(F.col("id_role").alias("role_id")))
-    with_uid = _assign_ids(acc, t.users, "id_user", "id_user").crossJoin(role)
+    # SELECT id_role FROM roles WHERE nama_role = 'tamu' (first match)
+    role = t.roles.where(F.col("nama_role") == "tamu").agg(F.min("id_role")).scalar()
+    with_uid = _assign_ids(acc, t.users, "id_user", "id_user").withColumn("role_id", role.cast("bigint"))
     with_tid = _assign_ids(with_uid, t.tamu, "id_tamu", "id_tamu")
     new_users = with_tid.select("id_user", "username", "email", "role_id")
     new_guests = with_tid.select("id_tamu", "nama", "email", "telepon",

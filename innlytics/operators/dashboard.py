@@ -1,7 +1,7 @@
 """Dashboards D1-D6.
 
 The staff dashboard's nine separate queries become one aggregation pass per
-table whose one-row results are cross joined (each side is exactly one row).
+table, combined as uncorrelated scalar subqueries (no joins at all).
 Per-guest dashboards compute every guest in one job; ``user`` narrows to one
 login's guest row when given.
 """
@@ -40,12 +40,15 @@ def staff_kpis(t: Tables) -> DataFrame:
     rooms = t.kamar.agg(F.count(F.lit(1)).alias("total_kamar"),
                         F.count_if(F.col("status_id") == C.ROOM_OCCUPIED).alias("kamar_terisi"),
                         F.count_if(F.col("status_id") == C.ROOM_FREE).alias("kamar_tersedia"))
-    res = _with_active_flag(t).agg(F.count(F.lit(1)).alias("total_reservasi"),
-                                   F.count_if("_active").alias("reservasi_aktif"))
-    guests = t.tamu.agg(F.count(F.lit(1)).alias("total_tamu"))
-    revenue = t.pembayaran.agg(E.ifnull0(E.money_sum("total")).cast(E.MONEY_SUM).alias("total_pendapatan"))
-    return (rooms.crossJoin(joins.one_row(res)).crossJoin(joins.one_row(guests))
-            .crossJoin(joins.one_row(revenue)))
+    # The other tables' one-pass aggregates as uncorrelated scalar subqueries
+    # (Spark merges those over the same table into one pass).
+    res = _with_active_flag(t)
+    return rooms.select(
+        "total_kamar", "kamar_terisi", "kamar_tersedia",
+        res.agg(F.count(F.lit(1))).scalar().alias("total_reservasi"),
+        res.agg(F.count_if("_active")).scalar().alias("reservasi_aktif"),
+        t.tamu.agg(F.count(F.lit(1))).scalar().alias("total_tamu"),
+        t.pembayaran.agg(E.ifnull0(E.money_sum("total")).cast(E.MONEY_SUM)).scalar().alias("total_pendapatan"))
 
 
 def _reservation_heads(t: Tables) -> DataFrame:

@@ -14,7 +14,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from innlytics.functions import scalar as E
-from innlytics.plans import joins
 from innlytics.plans.numbering import numbered
 from innlytics.sources import catalog as C
 from innlytics.sources.tables import Tables
@@ -31,8 +30,9 @@ def occupancy_by_month(t: Tables) -> DataFrame:
                    F.col("reservasi_id") == F.col("id_reservasi"), "left_semi"))
     by_month = stays.groupBy(E.month_key("tanggal_checkin").alias("bulan")).agg(
         F.countDistinct("kamar_id").alias("kamar_terisi"))
-    total = joins.one_row(t.kamar.agg(F.count(F.lit(1)).alias("total_kamar")))
-    return (by_month.crossJoin(total)
+    # uncorrelated scalar subquery: evaluated once, its value inlined
+    total = t.kamar.agg(F.count(F.lit(1))).scalar()
+    return (by_month.withColumn("total_kamar", total)
             .select("bulan", "kamar_terisi", "total_kamar",
                     E.pct_2dp("kamar_terisi", "total_kamar").alias("persentase"))
             .orderBy("bulan"))

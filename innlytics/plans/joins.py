@@ -8,7 +8,9 @@ and checked:
   (a job that stops after ``max + 1`` rows); above the bound the hint is
   dropped and the planner's own strategy (sort-merge join, or a runtime
   broadcast decided by AQE from measured sizes) is used instead.
-* ``one_row``: a global aggregate, exactly one row by construction.
+One-row values (room count, current max id, KPI totals) are not joined at
+all: they are uncorrelated scalar subqueries (``DataFrame.scalar()``),
+evaluated once and inlined.
 
 Every other join is left to the planner: a static broadcast only under
 ``autoBroadcastJoinThreshold`` of estimated size, and AQE converts a
@@ -38,8 +40,3 @@ def fits(df: DataFrame, max_rows: int = LOOKUP_MAX_ROWS) -> bool:
 def lookup(df: DataFrame, max_rows: int = LOOKUP_MAX_ROWS) -> DataFrame:
     """Broadcast a lookup table if it is within ``max_rows``, else join plainly."""
     return F.broadcast(df) if fits(df, max_rows) else df
-
-
-def one_row(df: DataFrame) -> DataFrame:
-    """Broadcast a global aggregate (exactly one row)."""
-    return F.broadcast(df)
