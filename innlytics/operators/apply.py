@@ -171,7 +171,7 @@ def apply_bookings(t: Tables, requests: DataFrame, as_of: str | dt.date, actor_i
     r = Q.with_reasons(r, [(F.col(CO) <= F.col(CI), Q.MSG_CHECKOUT)])
     r = Q.flag_missing_parent(r, "tamu_id", t.tamu, "id_tamu", MSG_FK.format("tamu"))
     r = Q.flag_missing_parent(r, "kamar_id", t.kamar, "id_kamar", MSG_FK.format("kamar"))
-    r = Q.flag_missing_parent(r, "promo_id", t.promo, "id_promo", MSG_FK.format("promo"))
+    r = Q.flag_missing_parent(r, "promo_id", t.promo, "id_promo", MSG_FK.format("promo"), lookup=True)
     if check_conflicts:
         probe = r.where(F.size("reasons") == 0).select(F.col("req_seq").alias("request_id"), "kamar_id", CI, CO)
         # probe rows passed V1 above, so the invalid-request branch is skipped
@@ -225,7 +225,7 @@ def apply_status_action(t: Tables, requests: DataFrame, kind: str, as_of, actor_
     r = Q.with_reasons(r, [(E.php_empty("reservasi_id", requests.schema["reservasi_id"].dataType),
                             MSG_ID_REQUIRED)])
     r = Q.flag_missing_parent(r, "reservasi_id", t.reservasi, "id_reservasi", MSG_FK.format("reservasi"))
-    r = Q.flag_missing_parent(r, "pegawai_id", t.pegawai, "id_pegawai", MSG_FK.format("pegawai"))
+    r = Q.flag_missing_parent(r, "pegawai_id", t.pegawai, "id_pegawai", MSG_FK.format("pegawai"), lookup=True)
     r = _flag_existing(r, "reservasi_id", table, "reservasi_id", MSG_DUPLICATE)
     r = _first_wins(r, ["reservasi_id"], MSG_DUPLICATE)
     ok, rejected = Q.split(r)
@@ -265,7 +265,7 @@ def apply_payments(t: Tables, requests: DataFrame, as_of, actor_id: int = 1) ->
                                        (t.pembayaran, "reservasi_id", "_paid"),
                                        (t.invoice, "reservasi_id", "_invoiced")])
     r = Q.with_reasons(r, [(F.col("reservasi_id").isNotNull() & ~F.col("_is_res"), MSG_NOT_FOUND_RES)])
-    r = Q.flag_missing_parent(r, "metode_id", t.metode_pembayaran, "id_metode", MSG_FK.format("metode"))
+    r = Q.flag_missing_parent(r, "metode_id", t.metode_pembayaran, "id_metode", MSG_FK.format("metode"), lookup=True)
     r = Q.with_reasons(r, [(F.col("_paid"), MSG_DUPLICATE), (F.col("_invoiced"), MSG_DUPLICATE)])
     r = r.drop("_is_res", "_paid", "_invoiced")
     r = r.withColumn("nomor_invoice", E.invoice_number(F.col("reservasi_id"), as_of))
@@ -351,7 +351,7 @@ def apply_room_inserts(t: Tables, requests: DataFrame, actor_id: int = 1, as_of=
     r = Q.required(r, ["nomor_kamar", "tipe_id"])
     r = r.withColumn("status_id", F.coalesce("status_id", F.lit(C.ROOM_FREE).cast("bigint")))
     r = Q.flag_missing_parent(r, "tipe_id", t.tipe_kamar, "id_tipe", MSG_FK.format("tipe_kamar"))
-    r = Q.flag_missing_parent(r, "status_id", t.status_kamar, "id_status", MSG_FK.format("status_kamar"))
+    r = Q.flag_missing_parent(r, "status_id", t.status_kamar, "id_status", MSG_FK.format("status_kamar"), lookup=True)
     r = _flag_existing(r, F.lower("nomor_kamar"), t.kamar, F.lower("nomor_kamar"), MSG_DUPLICATE)
     r = _first_wins(r, [F.lower("nomor_kamar")], MSG_DUPLICATE)
     ok, rejected = Q.split(r)
@@ -374,7 +374,7 @@ def apply_room_updates(t: Tables, patches: DataFrame, actor_id: int = 1, as_of=N
     if "tipe_id" in fields_:
         r = Q.flag_missing_parent(r, "tipe_id", t.tipe_kamar, "id_tipe", MSG_FK.format("tipe_kamar"))
     if "status_id" in fields_:
-        r = Q.flag_missing_parent(r, "status_id", t.status_kamar, "id_status", MSG_FK.format("status_kamar"))
+        r = Q.flag_missing_parent(r, "status_id", t.status_kamar, "id_status", MSG_FK.format("status_kamar"), lookup=True)
     if "nomor_kamar" in fields_:
         others = t.kamar.select(F.lower("nomor_kamar").alias("_n"), F.col("id_kamar").alias("_owner"))
         j = r.join(others, F.lower(F.col("nomor_kamar")) == F.col("_n"), "left")

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from innlytics.functions import scalar as E
+from innlytics.plans import joins
 
 # Fixed messages (the API's own wording).
 MSG_REQUIRED = "Field '{}' wajib diisi"
@@ -81,10 +82,16 @@ def exists(requests: DataFrame, fk: str, parent: DataFrame, pk: str) -> DataFram
 
 
 def flag_missing_parent(df: DataFrame, fk: str, parent: DataFrame, pk: str, reason: str,
-                        out: str = "reasons", nullable: bool = True) -> DataFrame:
+                        out: str = "reasons", nullable: bool = True, lookup: bool = False) -> DataFrame:
     """Add ``reason`` to rows whose ``fk`` has no parent (NULL passes when
-    ``nullable``), as the FK constraint would refuse the insert."""
+    ``nullable``), as the FK constraint would refuse the insert.
+
+    ``lookup=True`` marks the parent as a fixed lookup table: its keys are
+    broadcast (size-checked), so the check stays a map-side probe even when
+    the foreign key is a constant default that leaves no equi-join key."""
     keys = parent.select(F.col(pk).alias("_fkp")).distinct().withColumn("_hit", F.lit(True))
+    if lookup:
+        keys = joins.lookup(keys)
     j = df.join(keys, F.col(fk) == F.col("_fkp"), "left")
     bad = F.col("_hit").isNull() & (F.col(fk).isNotNull() if nullable else F.lit(True))
     return with_reasons(j, [(bad, reason)], out).drop("_fkp", "_hit")
