@@ -39,6 +39,23 @@ def test_overlap_has_no_stay_self_join(spark):
     assert "Window" in p
 
 
+def test_no_registered_query_pairs_rows_blindly(spark):
+    # no cartesian product anywhere, and no nested-loop join that broadcasts
+    # the data side (one-row values are scalar subqueries instead)
+    import importlib.util
+    import os
+    from conftest import ROOT
+    spec = importlib.util.spec_from_file_location("spark_entry_plans", os.path.join(ROOT, "__spark_entry__.py"))
+    mod = importlib.util.module_from_spec(spec)
+    spec.loader.exec_module(mod)
+    bad = []
+    for name, fn in mod.queries().items():
+        p = _plan(fn(spark, SMOKE))
+        if "CartesianProduct" in p or "NestedLoopJoin BuildLeft" in p:
+            bad.append(name)
+    assert bad == []
+
+
 def test_lookup_broadcast_is_size_checked(spark):
     from innlytics.plans import joins
     small = spark.range(3)
