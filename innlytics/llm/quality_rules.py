@@ -32,9 +32,11 @@ SYMBOLS = b"#*$%&|<>"
 CONTINUATION = bytes(range(0x80, 0xC0))  # bytes that do not start a code point
 UPPER = bytes(range(0x41, 0x5B))
 LOWER = bytes(range(0x61, 0x7B))
+NO_LETTER = bytes(x for x in range(0x80) if not chr(x).isalpha())
+TRIPLES = tuple(bytes([x]) * 3 for x in SYMBOLS)
 
 FEATURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_lower",
-            "n_bangs", "n_stops")
+            "n_bangs", "n_stops", "n_letters", "n_triples")
 
 
 def repeat_words(words: list) -> int:
@@ -66,7 +68,8 @@ def count_features(b: bytes) -> tuple:
     n = len(b)
     return (len(words), len(b.translate(None, CONTINUATION + b" \t\n\v\f\r")), n - len(b.translate(None, SYMBOLS)),
             len(lines) - len(set(lines)), repeat_words(words), len(lines), n - len(b.translate(None, UPPER)),
-            n - len(b.translate(None, LOWER)), b.count(b"!"), b.count(b".") + b.count(b",") + b.count(b"\xe3\x80\x82"))
+            n - len(b.translate(None, LOWER)), b.count(b"!"), b.count(b".") + b.count(b",") + b.count(b"\xe3\x80\x82"),
+            len(b.translate(None, CONTINUATION + NO_LETTER)), sum(map(b.count, TRIPLES)))
 
 
 def features(docs: DataFrame) -> DataFrame:
@@ -94,11 +97,13 @@ class Rule:
 
 RULES = (
     Rule("symbols", "n_symbols * 50 < n_words", "n_symbols * 10 > n_words"),
+    Rule("letters", "n_letters * 100 > word_chars * 92", "n_letters * 100 < word_chars * 86"),
+    Rule("symbol_runs", "n_triples = 0", "n_triples * 50 > n_words"),
     Rule("capitals", "n_upper * 8 < n_lower", "n_upper * 2 > n_lower AND n_upper > 20"),
     Rule("word_length", "word_chars BETWEEN 3 * n_words AND 10 * n_words",
          "word_chars < 2 * n_words OR word_chars > 15 * n_words"),
     Rule("lines", "n_lines > 3 AND n_dup_lines = 0", "n_dup_lines * 10 > 3 * n_lines AND n_lines > 3"),
-    Rule("repeats", "n_repeat_words * 20 < n_words", "n_repeat_words * 4 > n_words"),
+    Rule("repeats", "n_repeat_words * 20 < n_words", "n_repeat_words * 5 > n_words * 2"),
     Rule("shouting", "n_bangs * 50 < n_words", "n_bangs * 10 > n_words"),
     Rule("stops", "n_stops * 60 > n_words", "n_stops * 300 < n_words AND n_words > 100"),
 )
@@ -113,36 +118,40 @@ def votes(feats: DataFrame, rules=RULES) -> DataFrame:
 
 @dataclass
 class LabelModel:
-    """Prior of good, and P(vote | class) as an array (rule, class, vote),
-    class 0 bad and 1 good, votes -1, 0, 1."""
+    """Prior of good, and ``good_vote[rule, class]``: the chance that a rule
+    which votes says good (class 0 bad, 1 good). Abstaining says nothing."""
 
     prior: float
-    p: np.ndarray
+    good_vote: np.ndarray
 
     def accuracies(self) -> np.ndarray:
         """Estimated share of right votes among each rule's votes."""
-        w = np.array([1 - self.prior, self.prior])
-        right = w[0] * self.p[:, 0, 0] + w[1] * self.p[:, 1, 2]
-        return right / (right + w[0] * self.p[:, 0, 2] + w[1] * self.p[:, 1, 0])
+        return (1 - self.prior) * (1 - self.good_vote[:, 0]) + self.prior * self.good_vote[:, 1]
 
+    def weights(self) -> np.ndarray:
+        """Log-odds that a bad and a good vote of each rule add."""
+        g = self.good_vote
+        return np.stack([np.log((1 - g[:, 1]) / (1 - g[:, 0])), np.log(g[:, 1] / g[:, 0])], axis=1)
 
-def fit(patterns: np.ndarray, counts: np.ndarray, steps: int = 200) -> LabelModel:
+    def odds(self, patterns: np.ndarray) -> np.ndarray:
+        w = self.weights()
+        return (np.log(self.prior / (1 - self.prior)) + (patterns == -1) @ w[:, 0] + (patterns == 1) @ w[:, 1])
+
+
+def fit(patterns: np.ndarray, counts: np.ndarray, steps: int = 500) -> LabelModel:
     """EM over vote patterns (rows of -1, 0, 1) with their counts. It starts
-    from 'good unless a rule says bad'; pseudo-counts keep each rule better
-    than chance, so the classes cannot swap."""
-    n_rules = patterns.shape[1]
-    onehot = np.stack([patterns == v for v in (-1, 0, 1)], axis=2).astype(float)
-    q = np.where((patterns == -1).any(axis=1), 0.1, 0.95)
-    base = np.array([[0.6, 0.3, 0.1], [0.05, 0.3, 0.65]]) * 2
-    model = LabelModel(0.8, np.tile(base / base.sum(axis=1, keepdims=True), (n_rules, 1, 1)))
+    from 'good unless a rule says bad'; pseudo-counts (a bad document gets a
+    good vote in two of three cases, a good one in 19 of 20) keep the classes
+    from swapping and every chance inside (0, 1)."""
+    good, bad = (patterns == 1).astype(float), (patterns == -1).astype(float)
+    q = np.where(bad.any(axis=1), 0.1, 0.95)
+    model = LabelModel(0.8, np.full((patterns.shape[1], 2), 0.5))
     for _ in range(steps):
         prior = (float((counts * q).sum()) + 8) / (float(counts.sum()) + 10)
-        soft = np.stack([counts * (1 - q), counts * q], axis=1)
-        p = np.einsum("nc,nrv->rcv", soft, onehot) + base
-        p /= p.sum(axis=2, keepdims=True)
-        model = LabelModel(prior, p)
-        log = np.einsum("nrv,rcv->nc", onehot, np.log(p)) + np.log([1 - prior, prior])
-        new = 1 / (1 + np.exp(np.clip(log[:, 0] - log[:, 1], -700, 700)))
+        chance = [((w @ good) + 10 * g) / (w @ (good + bad) + 10)
+                  for w, g in ((counts * (1 - q), 2 / 3), (counts * q, 0.95))]
+        model = LabelModel(prior, np.stack(chance, axis=1))
+        new = 1 / (1 + np.exp(-np.clip(model.odds(patterns), -700, 700)))
         if np.abs(new - q).max(initial=0) < 1e-9:
             break
         q = new
@@ -151,10 +160,9 @@ def fit(patterns: np.ndarray, counts: np.ndarray, steps: int = 200) -> LabelMode
 
 def posterior(model: LabelModel, rules=RULES) -> Column:
     odds = F.lit(float(np.log(model.prior / (1 - model.prior))))
-    for r, p in zip(rules, model.p):
-        w = [float(x) for x in np.log(p[1] / p[0])]
+    for r, (bad, good) in zip(rules, model.weights()):
         v = F.col(f"v_{r.name}")
-        odds = odds + F.when(v == -1, F.lit(w[0])).when(v == 1, F.lit(w[2])).otherwise(F.lit(w[1]))
+        odds = odds + F.when(v == -1, F.lit(float(bad))).when(v == 1, F.lit(float(good))).otherwise(F.lit(0.0))
     return 1 / (1 + F.exp(-odds))
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from innlytics import session
-from innlytics.llm import (classifier, exact_dedup, packing, pieces, quality_rules, sharding, url_filter, warc)
+from innlytics.llm import (classifier, exact_dedup, ngram_join, packing, pieces, quality_rules, sharding, url_filter, warc)
 from innlytics.llm.common import read
 
 
@@ -29,6 +29,10 @@ def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classifier.classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_duplicates(read(spark, sf_dir, "documents"))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"), _file("word_bpe_49k.json")).drop("ids")
 
@@ -59,7 +63,7 @@ def _tuned(fn: Callable) -> Callable[[SparkSession, str], DataFrame]:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: _tuned(f) for f in (
-        op1_quality_rules, op2_exact_dedup, op3_quality_classifier, op5_packing, op7_url_filters, op8_sentencepiece,
+        op1_quality_rules, op2_exact_dedup, op3_quality_classifier, op4_ngram_jaccard_join, op5_packing, op7_url_filters, op8_sentencepiece,
         op9_warc, op10_sharding)}
 
 ORACLES: dict[str, str] = {

@@ -28,7 +28,6 @@ from innlytics.llm.common import cut, drop
 
 ROUNDS = 6
 ROWS_PER_BLOCK = 20_000
-SLACK = 1.05
 
 
 def _hash_share(*cols) -> Column:
@@ -65,9 +64,9 @@ def propagate(rows: DataFrame, n_shards: int, rounds: int = ROUNDS) -> DataFrame
     state = cut(rows.join(many, "link", "left").select(
         "rid", F.when(F.col("members").isNotNull(), F.col("link")).alias("link"), "members", start.alias("shard")),
         "shards")
-    sizes = _sizes(state, n_shards)
-    total = sum(sizes)
-    cap = max(1.0, SLACK * total / n_shards)
+    total = sum(_sizes(state, n_shards))
+    cap = max(1, total // n_shards)  # of linked rows: the others make room for them at last
+    sizes = _sizes(state.where("link IS NOT NULL"), n_shards)
     for turn in range(rounds):
         linked = state.where("link IS NOT NULL")
         held = linked.groupBy("link", "shard").agg(F.count(F.lit(1)).alias("c"), F.first("members").alias("members"))
@@ -89,10 +88,10 @@ def propagate(rows: DataFrame, n_shards: int, rounds: int = ROUNDS) -> DataFrame
         old, state = state, cut(state.join(moved, "rid", "left").select(
             "rid", "link", "members", F.coalesce("new", "shard").alias("shard")), "shards")
         drop(old)
-        before, sizes = sizes, _sizes(state, n_shards)
-        if before == sizes and not any(share.values()):
+        sizes = _sizes(state.where("link IS NOT NULL"), n_shards)
+        if not any(share.values()):
             break
-    return _even(state, n_shards, sizes)
+    return _even(state, n_shards, _sizes(state, n_shards))
 
 
 def _sizes(state: DataFrame, n_shards: int) -> list[int]:

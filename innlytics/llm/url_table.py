@@ -40,6 +40,10 @@ http://www.link-spam.example.com/en/233?utm_source=feed
 https://m.free-casino.example.org/en/610
 http://blog.cheap-viagra.example.net/en/47?page=2&ref=x
 https://spam-network.example.com/en/12
+http://ads-tracker.example.net/en/404
+https://www.ads-click.example.org/en/9.html
+http://m.track-banner.example.com/en/77
+https://blog.win-casino.example.net/en/218
 """
 
 ALLOWED = """
@@ -85,6 +89,26 @@ https://blog.bleand.example.net/fr/649.html
 http://www.shthor.example.com/en/58?utm_source=feed
 https://ousther.example.net/es/333/
 http://nderly.example.net/en/987?page=2&ref=x
+https://www.therol.example.net/en/471
+http://m.thathen.example.net/en/25#top
+https://blog.ththere.example.net/en/369
+http://ththing.example.net/es/797.html
+https://www.thonder.example.org/en/148
+http://m.thenthe.example.org/fr/414/
+https://blog.thther.example.org/en/777?page=2&ref=x
+http://thersh.example.org/de/534.html
+https://www.therin.example.org/es/978
+http://m.thinst.example.com/en/450
+https://blog.thnded.example.net/en/960
+http://therle.example.net/en/770#top
+https://www.thwhere.example.net/en/612?utm_source=feed
+http://blog.therean.example.net/en/455
+https://m.ththat.example.net/de/83/
+http://www.theati.example.org/en/334/
+https://thouon.example.net/en/201
+http://m.therwhen.example.org/en/19
+https://www.thtion.example.net/en/540/
+http://blog.theanha.example.net/fr/730
 """
 
 
