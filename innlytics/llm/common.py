@@ -52,6 +52,14 @@ def text_bytes(col: str = "text") -> Column:
     return F.coalesce(F.col(col).cast("binary"), F.lit(b"").cast("binary"))
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 

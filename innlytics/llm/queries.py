@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from innlytics import session
-from innlytics.llm import (classifier, exact_dedup, ngram_join, packing, pieces, quality_rules, sharding, url_filter, warc)
+from innlytics.llm import (classifier, exact_dedup, ngram_join, packing, pieces, quality_rules, sharding, suffix_dedup,
+                           url_filter, warc)
 from innlytics.llm.common import read
 
 
@@ -37,6 +38,10 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"), _file("word_bpe_49k.json")).drop("ids")
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.repeats(read(spark, sf_dir, "documents")).drop("spans")
+
+
 def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(read(spark, sf_dir, "pages"))
 
@@ -63,7 +68,8 @@ def _tuned(fn: Callable) -> Callable[[SparkSession, str], DataFrame]:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: _tuned(f) for f in (
-        op1_quality_rules, op2_exact_dedup, op3_quality_classifier, op4_ngram_jaccard_join, op5_packing, op7_url_filters, op8_sentencepiece,
+        op1_quality_rules, op2_exact_dedup, op3_quality_classifier, op4_ngram_jaccard_join, op5_packing, op6_suffix_dedup,
+        op7_url_filters, op8_sentencepiece,
         op9_warc, op10_sharding)}
 
 ORACLES: dict[str, str] = {
