@@ -3,8 +3,8 @@
 Every document starts in the shard its id hashes to. In each round a Spark
 job counts, for each group of linked documents, the members in each shard
 (map-side combined: at most shards rows a group), names the group's target
-shards (the fullest ones, as many as the group needs room for) and lets the
-members elsewhere ask to move there. The flows between shards (at most
+shards (those with most members and room, as many as the group needs) and
+lets the members elsewhere ask to move there. The flows between shards (at most
 shards**2 numbers) are held against the shards' capacity, and each flow is
 let through up to its quota. Rounds end when no member moves. At last the
 counts are made at most one apart: each shard's rows are numbered with its
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from innlytics.llm.common import cut, drop
 
-ROUNDS = 6
+ROUNDS = 8
 ROWS_PER_BLOCK = 20_000
 
 
@@ -70,21 +70,26 @@ def propagate(rows: DataFrame, n_shards: int, rounds: int = ROUNDS) -> DataFrame
     for turn in range(rounds):
         linked = state.where("link IS NOT NULL")
         held = linked.groupBy("link", "shard").agg(F.count(F.lit(1)).alias("c"), F.first("members").alias("members"))
-        # the fullest shards of a group; the array has n_shards entries at most
-        targets = (held.groupBy("link").agg(
-            F.sort_array(F.collect_list(F.struct("c", "shard")), asc=False).alias("by"), F.first("members").alias("m"))
-            .select("link", F.slice("by.shard", F.lit(1), F.ceil(F.col("m") / F.lit(max(1.0, total / n_shards)))
-                                    .cast("int")).alias("to")))
+        # a shard draws a group by its members there and by the room it has left
+        room = F.element_at(F.array(*[F.lit(0.05 + max(0.0, 1 - x / cap)) for x in sizes]), F.col("shard") + 1)
+        pull = F.struct((F.col("c") * room).alias("pull"), F.xxhash64("link", "shard", F.lit(turn)).alias("tie"), "shard")
+        # the array has n_shards entries at most
+        targets = cut(held.groupBy("link").agg(F.sort_array(F.collect_list(pull), asc=False).alias("by"),
+                                            F.first("members").alias("m"))
+                   .select("link", F.slice("by.shard", F.lit(1), F.ceil(F.col("m") / F.lit(cap)).cast("int")).alias("to")),
+            "targets")
         pick = F.element_at("to", (F.pmod(F.xxhash64("rid", F.lit(turn)), F.size("to")) + 1).cast("int"))
         wants = cut(linked.join(targets, "link").where(~F.array_contains("to", F.col("shard")))
-                    .select("rid", F.col("shard").alias("f"), pick.alias("t")), "moves")
+                    .select("rid", "link", "members", F.col("shard").alias("f"), pick.alias("t")), "moves")
         flows = {(r["f"], r["t"]): r["c"] for r in wants.groupBy("f", "t").agg(F.count(F.lit(1)).alias("c")).collect()}
         if not flows:
             break
         share = _allowed(flows, sizes, cap)
         quota = F.element_at(F.array(*[F.lit(share.get((f, t), 0.0)) for f in range(n_shards) for t in range(n_shards)]),
                              F.col("f") * n_shards + F.col("t") + 1)
-        moved = wants.where(_hash_share("rid", F.lit(turn + 100)) < quota).select("rid", F.col("t").alias("new"))
+        # a group goes as a whole, or row by row if it is larger than a shard
+        draw = F.when(F.col("members") > cap, _hash_share("rid", F.lit(turn))).otherwise(_hash_share("link", F.lit(turn)))
+        moved = wants.where(draw < quota).select("rid", F.col("t").alias("new"))
         old, state = state, cut(state.join(moved, "rid", "left").select(
             "rid", "link", "members", F.coalesce("new", "shard").alias("shard")), "shards")
         drop(old)
