@@ -25,6 +25,7 @@ from innlytics.operators import changes as CH
 from innlytics.operators import quality as Q
 from innlytics.plans import intervals as IV
 from innlytics.plans.checkpoint import cut
+from innlytics.plans.components import components
 from innlytics.plans.numbering import new_ids
 from innlytics.sources import catalog as C
 from innlytics.sources.tables import Tables
@@ -60,25 +61,25 @@ def _max_id(df: DataFrame, col: str) -> F.Column:
     return df.agg(F.coalesce(F.max(col), F.lit(0)).cast("bigint")).scalar()
 
 
-def _assign_ids(df: DataFrame, base: DataFrame, base_col: str, out: str, order: str = "req_seq") -> DataFrame:
-    """AUTO_INCREMENT for a batch: max(existing id) + rank in request order,
-    numbered in blocks of the order key (no single-task global window)."""
-    with_max = df.withColumn("_max", _max_id(base, base_col))
-    return new_ids(with_max, [order], F.col("_max"), out, F.floor(F.col(order) / 65536)).drop("_max")
+def _assign_ids(df: DataFrame, bases: dict[str, DataFrame], order: str = "req_seq") -> DataFrame:
+    """AUTO_INCREMENT for a batch: for each id column, max(existing id) of its
+    table + rank in request order. The batch is ranked once for all ids."""
+    return new_ids(df, order, {col: _max_id(base, col) for col, base in bases.items()})
 
 
 def _first_wins(df: DataFrame, keys: list, reason: str, order: str = "req_seq") -> DataFrame:
-    """Add ``reason`` to every request that is not the first (by ``order``)
-    among requests sharing ``keys`` (rows with a NULL key part are exempt)."""
+    """Add ``reason`` to every request that is not the first (by ``order``) of
+    the requests not refused so far that share ``keys``: a refused request
+    stores nothing, so it blocks nobody. Rows with a NULL key part are exempt."""
     kcols = [F.col(k) if isinstance(k, str) else k for k in keys]
     names = [f"_k{i}" for i in range(len(kcols))]
     tagged = df.select("*", *[c.alias(n) for c, n in zip(kcols, names)])
-    firsts = tagged.groupBy(*names).agg(F.min(order).alias("_first"))
+    firsts = tagged.where(F.size("reasons") == 0).groupBy(*names).agg(F.min(order).alias("_first"))
     j = tagged.join(firsts, names, "left")
     nn = F.lit(True)
     for n in names:
         nn = nn & F.col(n).isNotNull()
-    return Q.with_reasons(j, [(nn & (F.col(order) != F.col("_first")), reason)]).drop("_first", *names)
+    return Q.with_reasons(j, [(nn & (F.col(order) > F.col("_first")), reason)]).drop("_first", *names)
 
 
 def _key_flags(df: DataFrame, key: str, sources: list[tuple[DataFrame, str, str]]) -> DataFrame:
@@ -91,7 +92,8 @@ def _key_flags(df: DataFrame, key: str, sources: list[tuple[DataFrame, str, str]
     keys = parts[0]
     for p in parts[1:]:
         keys = keys.unionByName(p)
-    facts = keys.where(F.col("_fk").isNotNull()).groupBy("_fk").agg(*[F.max(t).alias(t) for t in tags])
+    asked = df.select(F.col(key).alias("_ask")).where(F.col("_ask").isNotNull()).distinct()
+    facts = keys.join(asked, F.col("_fk") == F.col("_ask"), "left_semi").groupBy("_fk").agg(*[F.max(t).alias(t) for t in tags])
     j = df.join(facts, F.col(key) == F.col("_fk"), "left").drop("_fk")
     for t_ in tags:
         j = j.withColumn(t_, F.coalesce(F.col(t_), F.lit(False)))
@@ -101,7 +103,9 @@ def _key_flags(df: DataFrame, key: str, sources: list[tuple[DataFrame, str, str]
 def _flag_existing(df: DataFrame, key, existing: DataFrame, ekey, reason: str) -> DataFrame:
     k = F.col(key) if isinstance(key, str) else key
     ek = F.col(ekey) if isinstance(ekey, str) else ekey
-    keys = existing.select(ek.alias("_ek")).where(F.col("_ek").isNotNull()).distinct().withColumn("_eh", F.lit(True))
+    asked = df.select(k.alias("_ask")).where(F.col("_ask").isNotNull()).distinct()
+    keys = (existing.select(ek.alias("_ek")).join(asked, F.col("_ek") == F.col("_ask"), "left_semi").distinct()
+            .withColumn("_eh", F.lit(True)))
     j = df.withColumn("_dk", k).join(keys, F.col("_dk") == F.col("_ek"), "left")
     return Q.with_reasons(j, [(F.col("_eh").isNotNull(), reason)]).drop("_dk", "_ek", "_eh")
 
@@ -191,10 +195,7 @@ def apply_bookings(t: Tables, requests: DataFrame, as_of: str | dt.date, actor_i
                F.col("kamar_id") == F.col("_pk"), "left").drop("_pk")
     r = Q.with_reasons(r, [(F.col("harga").isNull() & (F.size("reasons") == 0), MSG_PRICE_NULL)])
     priced, rejected = Q.split(r)
-    with_res = _assign_ids(priced, t.reservasi, "id_reservasi", "id_reservasi")
-    with_ids = _assign_ids(with_res, t.detail_reservasi, "id_detail", "id_detail")
-    if checkpoint:
-        with_ids = cut(with_ids)
+    with_ids = _assign_ids(priced, {"id_reservasi": t.reservasi, "id_detail": t.detail_reservasi})
     new_res = with_ids.select("id_reservasi", "tamu_id", _ts(as_of).alias("tanggal_pesan"),
                               F.lit(C.RES_NEW).cast("bigint").alias("status_reservasi_id"), "promo_id")
     new_stays = with_ids.select("id_detail", F.col("id_reservasi").alias("reservasi_id"), "kamar_id", CI, CO,
@@ -229,7 +230,7 @@ def apply_status_action(t: Tables, requests: DataFrame, kind: str, as_of, actor_
     r = _flag_existing(r, "reservasi_id", table, "reservasi_id", MSG_DUPLICATE)
     r = _first_wins(r, ["reservasi_id"], MSG_DUPLICATE)
     ok, rejected = Q.split(r)
-    rows = _assign_ids(ok, table, id_col, id_col)
+    rows = _assign_ids(ok, {id_col: table})
     new_rows = rows.select(id_col, "reservasi_id", "pegawai_id", _ts(as_of).alias(time_col))
     changed = ok.select(F.col("reservasi_id").alias("_chg"), F.lit(new_status).cast("bigint").alias("_new"))
     res = (t.reservasi.join(changed, F.col("id_reservasi") == F.col("_chg"), "left")
@@ -272,8 +273,7 @@ def apply_payments(t: Tables, requests: DataFrame, as_of, actor_id: int = 1) ->
     r = _flag_existing(r, "nomor_invoice", t.invoice, "nomor_invoice", MSG_DUPLICATE)
     r = _first_wins(r, ["reservasi_id"], MSG_DUPLICATE)
     ok, rejected = Q.split(r)
-    rows = _assign_ids(ok, t.pembayaran, "id_pembayaran", "id_pembayaran")
-    rows = _assign_ids(rows, t.invoice, "id_invoice", "id_invoice")
+    rows = _assign_ids(ok, {"id_pembayaran": t.pembayaran, "id_invoice": t.invoice})
     pay = rows.select("id_pembayaran", "reservasi_id", "metode_id", F.col("total").cast(C.MONEY).alias("total"),
                       _ts(as_of).alias("tanggal_bayar"))
     inv = rows.select("id_invoice", "reservasi_id", "nomor_invoice", _ts(as_of).alias("tanggal_terbit"))
@@ -286,52 +286,49 @@ def apply_payments(t: Tables, requests: DataFrame, as_of, actor_id: int = 1) ->
 # ---------------------------------------------------------------------------
 # B11 registrations
 # ---------------------------------------------------------------------------
-def apply_registrations(t: Tables, requests: DataFrame, as_of=None, max_rounds: int = 64) -> Applied:
+def apply_registrations(t: Tables, requests: DataFrame, as_of=None) -> Applied:
     """B11. requests: req_seq, username, email, password, nama, telepon,
-    [alamat]. A request is refused when its username or email (case-
-    insensitive) already exists, including among earlier *accepted* requests
-    of the batch; a guest row with that email also refuses it (UNIQUE at
-    commit). The password is never stored.
-
-    In-batch order is resolved in rounds: refuse pending requests that clash
-    with an accepted one, then accept every pending request that is the
-    earliest pending for both its keys. Each round's state is checkpointed."""
+    [alamat]. A request is refused when its username is a stored username or
+    its email a stored email (case-insensitive, each against its own column),
+    including those of earlier *accepted* requests of the batch; a guest row
+    with that email also refuses it (UNIQUE at commit). The password is never
+    stored.
+
+    In-batch order is resolved in rounds over the pending requests alone: those
+    that are the earliest pending for both their keys are accepted, then the
+    pending ones that share a key with them are refused. The smallest pending
+    request is always accepted, so the rounds end by themselves."""
     r = Q.required(requests, ["username", "email", "password", "nama", "telepon"]).drop("password")
     r = r.withColumn("_u", F.lower("username")).withColumn("_e", F.lower("email"))
-    users_keys = t.users.select(F.lower("username").alias("_x")).unionByName(t.users.select(F.lower("email").alias("_x")))
-    r = _flag_existing(r, "_u", users_keys, "_x", MSG_REGISTERED)
-    r = _flag_existing(r, "_e", users_keys, "_x", MSG_REGISTERED)
+    r = _flag_existing(r, "_u", t.users, F.lower("username"), MSG_REGISTERED)
+    r = _flag_existing(r, "_e", t.users, F.lower("email"), MSG_REGISTERED)
     r = _flag_existing(r, "_e", t.tamu, F.lower("email"), MSG_DUPLICATE)
-    pre_ok, pre_rej = Q.split(r)
-    state = pre_ok.withColumn("_state", F.lit("pending"))
-    for _ in range(max_rounds):
-        acc = state.where(F.col("_state") == "accepted")
-        acc_keys = acc.select(F.col("_u").alias("_x")).unionByName(acc.select(F.col("_e").alias("_x"))).distinct()
-        pend = state.where(F.col("_state") == "pending")
-        clash = (pend.select("req_seq", "_u").join(acc_keys, F.col("_u") == F.col("_x"), "left_semi").select("req_seq")
-                 .unionByName(pend.select("req_seq", "_e").join(acc_keys, F.col("_e") == F.col("_x"), "left_semi")
-                              .select("req_seq")).distinct().withColumn("_clash", F.lit(True)))
-        pend2 = pend.join(clash, "req_seq", "left")
-        still = pend2.where(F.col("_clash").isNull()).drop("_clash")
-        first_u = still.groupBy("_u").agg(F.min("req_seq").alias("_fu"))
-        first_e = still.groupBy("_e").agg(F.min("req_seq").alias("_fe"))
-        decided = (still.join(first_u, "_u").join(first_e, "_e")
-                   .withColumn("_state", F.when((F.col("_fu") == F.col("req_seq")) & (F.col("_fe") == F.col("req_seq")),
-                                                F.lit("accepted")).otherwise(F.lit("pending")))
-                   .drop("_fu", "_fe"))
-        refused = pend2.where(F.col("_clash").isNotNull()).drop("_clash").withColumn("_state", F.lit("refused"))
-        state = cut(state.where(F.col("_state").isin("accepted", "refused"))
-                    .unionByName(refused).unionByName(decided.select(*state.columns)))
-        if state.where(F.col("_state") == "pending").limit(1).count() == 0:
+    pend, rejected = Q.split(cut(r))
+    accepted = []
+    while True:
+        first_u = pend.groupBy("_u").agg(F.min("req_seq").alias("_fu"))
+        first_e = pend.groupBy("_e").agg(F.min("req_seq").alias("_fe"))
+        now = cut(pend.join(first_u, "_u").join(first_e, "_e")
+                  .where((F.col("_fu") == F.col("req_seq")) & (F.col("_fe") == F.col("req_seq")))
+                  .select(*pend.columns), "accepted")
+        if now.isEmpty():  # nothing was pending
             break
-    acc = state.where(F.col("_state") == "accepted").drop("_state")
-    refused = (state.where(F.col("_state") != "accepted").drop("_state")
-               .withColumn("reasons", F.array(F.lit(MSG_REGISTERED))))
-    rejected = pre_rej.unionByName(refused)
+        accepted.append(now)
+        rest = pend.join(now.select("req_seq"), "req_seq", "left_anti")
+        taken_u = now.select("_u", F.lit(True).alias("_tu"))
+        taken_e = now.select("_e", F.lit(True).alias("_te"))
+        marked = cut(rest.join(taken_u, "_u", "left").join(taken_e, "_e", "left")
+                     .select(*pend.columns, (F.col("_tu").isNotNull() | F.col("_te").isNotNull()).alias("_clash")),
+                     "pending")
+        rejected = rejected.unionByName(marked.where("_clash").drop("_clash")
+                                        .withColumn("reasons", F.array(F.lit(MSG_REGISTERED))))
+        pend = marked.where(~F.col("_clash")).drop("_clash")
+    acc = pend if not accepted else accepted[0]
+    for part in accepted[1:]:
+        acc = acc.unionByName(part)
     # SELECT id_role FROM roles WHERE nama_role = 'tamu' (first match)
     role = t.roles.where(F.col("nama_role") == "tamu").agg(F.min("id_role")).scalar()
-    with_uid = _assign_ids(acc, t.users, "id_user", "id_user").withColumn("role_id", role.cast("bigint"))
-    with_tid = _assign_ids(with_uid, t.tamu, "id_tamu", "id_tamu")
+    with_tid = _assign_ids(acc, {"id_user": t.users, "id_tamu": t.tamu}).withColumn("role_id", role.cast("bigint"))
     new_users = with_tid.select("id_user", "username", "email", "role_id")
     new_guests = with_tid.select("id_tamu", "nama", "email", "telepon",
                                  F.coalesce("alamat", F.lit("")).alias("alamat"), F.col("id_user").alias("user_id"))
@@ -355,15 +352,67 @@ def apply_room_inserts(t: Tables, requests: DataFrame, actor_id: int = 1, as_of=
     r = _flag_existing(r, F.lower("nomor_kamar"), t.kamar, F.lower("nomor_kamar"), MSG_DUPLICATE)
     r = _first_wins(r, [F.lower("nomor_kamar")], MSG_DUPLICATE)
     ok, rejected = Q.split(r)
-    rows = _assign_ids(ok, t.kamar, "id_kamar", "id_kamar")
+    rows = _assign_ids(ok, {"id_kamar": t.kamar})
     new_rooms = rows.select("id_kamar", "nomor_kamar", "tipe_id", "status_id")
     api = CH.audit_actions("room_add", rows, user_id=actor_id, when=as_of)
     return Applied(new_rooms, rejected, api, t.with_(kamar=t.kamar.unionByName(new_rooms)))
 
 
+def _number_stream(batches):
+    """Room numbers in request order, over a partition sorted by (component,
+    req_seq): first the stored numbers (req_seq -1), then the patches. Only the
+    numbers of the current component are held."""
+    comp, owner, number = None, {}, {}
+    for pdf in batches:
+        seqs, won = [], []
+        for c, seq, room, no in zip(pdf["comp"].tolist(), pdf["req_seq"].tolist(), pdf["room"].tolist(),
+                                    pdf["no"].tolist()):
+            if c != comp:
+                comp, owner, number = c, {}, {}
+            if seq == -1:
+                number[room] = no
+                if no is not None:
+                    owner[no] = room
+                continue
+            # an unknown room changes nothing, so it breaks no constraint
+            ok = room not in number or owner.get(no, room) == room
+            if ok and room in number:
+                owner.pop(number[room], None)
+                owner[no], number[room] = room, no
+            seqs.append(seq)
+            won.append(ok)
+        yield pd.DataFrame({"req_seq": pd.Series(seqs, dtype="int64"), "_won": pd.Series(won, dtype=bool)})
+
+
+def arbitrate_numbers(kamar: DataFrame, patches: DataFrame) -> DataFrame:
+    """(req_seq, _won): may a patch set its room number, given the numbers that
+    the patches before it took and freed?
+
+    Patches matter to each other only through a room or a number they share,
+    so they are split into connected components of the room-number graph;
+    each is streamed in request order, different ones in parallel."""
+    no = F.lower("nomor_kamar")
+    asks = patches.select("req_seq", F.col("id_kamar").alias("room"), no.alias("no"))
+    touched = asks.select("room").distinct()
+    wanted = asks.select(F.col("no").alias("_w")).distinct()
+    book = kamar.select(F.col("id_kamar").alias("room"), no.alias("no"))
+    held = cut(book.join(touched, "room", "left_semi").union(
+        book.join(wanted, F.col("no") == F.col("_w"), "left_semi")).distinct(), "numbers")
+    rows = held.select(F.lit(-1).cast("bigint").alias("req_seq"), "room", "no").unionByName(asks)
+    node = F.xxhash64(F.lit("room"), "room")
+    graph = rows.where(F.col("no").isNotNull()).select(node.alias("a"), F.xxhash64(F.lit("no"), "no").alias("b"))
+    comps = components(graph).withColumnRenamed("root", "comp")
+    tagged = rows.withColumn("node", node).join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    n = int(kamar.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return (tagged.select("comp", "req_seq", "room", "no").repartition(n, "comp")
+            .sortWithinPartitions("comp", "req_seq").mapInPandas(_number_stream, "req_seq long, _won boolean"))
+
+
 def apply_room_updates(t: Tables, patches: DataFrame, actor_id: int = 1, as_of=None) -> Applied:
     """B13. patches: req_seq, id_kamar, [nomor_kamar], [tipe_id], [status_id];
     only supplied (non-NULL) fields change, later patches win per field. A
+    number is judged in request order (a room may keep its own, and a number
+    freed by an earlier patch is free); a refused patch changes no field. A
     patch of an unknown room changes nothing but is still logged."""
     fields_ = [c for c in ("nomor_kamar", "tipe_id", "status_id") if c in patches.columns]
     r = Q.with_reasons(patches, [(F.col("id_kamar").isNull() | (F.col("id_kamar") == 0), MSG_ID_REQUIRED)])
@@ -376,11 +425,9 @@ def apply_room_updates(t: Tables, patches: DataFrame, actor_id: int = 1, as_of=N
     if "status_id" in fields_:
         r = Q.flag_missing_parent(r, "status_id", t.status_kamar, "id_status", MSG_FK.format("status_kamar"), lookup=True)
     if "nomor_kamar" in fields_:
-        others = t.kamar.select(F.lower("nomor_kamar").alias("_n"), F.col("id_kamar").alias("_owner"))
-        j = r.join(others, F.lower(F.col("nomor_kamar")) == F.col("_n"), "left")
-        r = Q.with_reasons(j, [(F.col("_owner").isNotNull() & (F.col("_owner") != F.col("id_kamar")),
-                                MSG_DUPLICATE)]).drop("_n", "_owner")
-        r = _first_wins(r, [F.lower("nomor_kamar")], MSG_DUPLICATE)
+        r = cut(r, "patches")
+        won = arbitrate_numbers(t.kamar, r.where((F.size("reasons") == 0) & F.col("nomor_kamar").isNotNull()))
+        r = Q.with_reasons(r.join(won, "req_seq", "left"), [(F.col("_won") == F.lit(False), MSG_DUPLICATE)]).drop("_won")
     ok, rejected = Q.split(r)
     latest = ok.groupBy(F.col("id_kamar").alias("_pk")).agg(*[
         F.max_by(F.col(c), F.when(F.col(c).isNotNull(), F.col("req_seq"))).alias(f"_p_{c}") for c in fields_])

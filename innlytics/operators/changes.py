@@ -93,10 +93,15 @@ def audit_transitions(transitions: DataFrame, key: str = "reservasi_id") -> Data
 
 
 def room_updates(transitions: DataFrame, stays: DataFrame, key: str = "reservasi_id") -> DataFrame:
-    """The room writes of C4: (kamar_id, ts, seq, room_status) per transition
-    and stay line: to Check-in -> Terisi, to Check-out/Dibatalkan ->
-    Tersedia, to Baru -> nothing."""
-    eff = (transitions.where(F.col("new_status").isin(C.RES_CHECKED_IN, C.RES_CHECKED_OUT, C.RES_CANCELLED))
+    """The room writes of C4 that can matter: (kamar_id, ts, seq, room_status)
+    of each reservation's latest effective transition, per stay line: to
+    Check-in -> Terisi, to Check-out/Dibatalkan -> Tersedia, to Baru ->
+    nothing. A reservation's earlier writes are overwritten in all its rooms,
+    so only the latest is joined with the stays (partial ``max_by`` first)."""
+    row = F.struct("ts", "seq", "new_status")
+    last = (transitions.where(F.col("new_status").isin(C.RES_CHECKED_IN, C.RES_CHECKED_OUT, C.RES_CANCELLED))
+            .groupBy(key).agg(F.max_by(row, F.struct("ts", "seq")).alias("_t")).select(key, "_t.*"))
+    eff = (last.where(F.col("new_status").isin(C.RES_CHECKED_IN, C.RES_CHECKED_OUT, C.RES_CANCELLED))
            .select(F.col(key).alias("_res"), "ts", "seq",
                    F.when(F.col("new_status") == C.RES_CHECKED_IN, F.lit(C.ROOM_OCCUPIED))
                    .otherwise(F.lit(C.ROOM_FREE)).cast("bigint").alias("room_status")))

@@ -23,8 +23,9 @@ ACTIVE_STATUS_NAMES = ("Baru", "Check-in")
 
 
 def _active_status_ids(t: Tables) -> DataFrame:
-    return joins.lookup(t.status_reservasi.where(F.col("status").isin(*ACTIVE_STATUS_NAMES))
-                        .select(F.col("id_status_reservasi").alias("_active_id")))
+    ids = (t.status_reservasi.where(F.col("status").isin(*ACTIVE_STATUS_NAMES))
+           .select(F.col("id_status_reservasi").alias("_active_id")))
+    return F.broadcast(ids) if joins.fits(t.status_reservasi) else ids
 
 
 def _with_active_flag(t: Tables) -> DataFrame:

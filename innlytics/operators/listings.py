@@ -126,12 +126,12 @@ def guest_list(t: Tables, ordered: bool = True) -> DataFrame:
     return _maybe_order(out, ordered, F.desc("total_booking"), F.asc("id_tamu"))
 
 
-def guest_detail(t: Tables, guest_id=None, flat: bool = False) -> DataFrame:
+def guest_detail(t: Tables, guest_id=None, flat: bool = True) -> DataFrame:
     """Guest + total_booking + booking history (newest first).
 
-    ``flat=True`` gives one row per history line (NULL history for guests
-    without bookings); the nested form groups the same rows into one array
-    per guest."""
+    The default gives one row per history line (NULL history for guests
+    without bookings), as a history grows with the data; ``flat=False`` groups
+    the same rows into one array per guest."""
     g = t.tamu
     if guest_id is not None:
         g = g.where(F.col("id_tamu") == F.lit(guest_id))
@@ -161,6 +161,13 @@ def guest_detail(t: Tables, guest_id=None, flat: bool = False) -> DataFrame:
                 x["tanggal_checkout"].alias("tanggal_checkout"))).alias("riwayat_reservasi")))
 
 
+def own_guest_detail(t: Tables, user, flat: bool = True) -> DataFrame:
+    """L7 for a guest caller: the login's own row whatever id is asked for,
+    without ``user_id``."""
+    own = t.tamu.where(F.col("user_id") == F.lit(user))
+    return guest_detail(t.with_(tamu=own), flat=flat).drop("user_id")
+
+
 def own_guest(t: Tables, user=None) -> DataFrame:
     """The login's own guest row."""
     g = t.tamu.where(F.col("user_id") == F.lit(user)) if user is not None else \

@@ -88,10 +88,17 @@ def flag_missing_parent(df: DataFrame, fk: str, parent: DataFrame, pk: str, reas
 
     ``lookup=True`` marks the parent as a fixed lookup table: its keys are
     broadcast (size-checked), so the check stays a map-side probe even when
-    the foreign key is a constant default that leaves no equi-join key."""
-    keys = parent.select(F.col(pk).alias("_fkp")).distinct().withColumn("_hit", F.lit(True))
-    if lookup:
-        keys = joins.lookup(keys)
+    the foreign key is a constant default that leaves no equi-join key.
+    Otherwise the parent is first reduced to the keys the batch asks for
+    (semi join: a small batch is the build side and the parent is only
+    scanned), so a small batch never shuffles a large parent."""
+    keys = parent.select(F.col(pk).alias("_fkp"))
+    if not lookup:
+        asked = df.select(F.col(fk).alias("_ask")).where(F.col("_ask").isNotNull()).distinct()
+        keys = keys.join(asked, F.col("_fkp") == F.col("_ask"), "left_semi")
+    keys = keys.distinct().withColumn("_hit", F.lit(True))
+    if lookup and joins.fits(parent):
+        keys = F.broadcast(keys)
     j = df.join(keys, F.col(fk) == F.col("_fkp"), "left")
     bad = F.col("_hit").isNull() & (F.col(fk).isNotNull() if nullable else F.lit(True))
     return with_reasons(j, [(bad, reason)], out).drop("_fkp", "_hit")

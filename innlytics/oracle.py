@@ -98,7 +98,8 @@ promo AS (
     (3, 'LOYALTY', CAST(10.00 AS DECIMAL(5,2)), DATE '2026-01-01', DATE '2026-12-31'))
     AS v(id_promo, kode, diskon, tanggal_mulai, tanggal_selesai)),
 pegawai AS (
-  SELECT * FROM (VALUES (CAST(1 AS BIGINT)), (2), (3), (4), (5), (6)) AS v(id_pegawai))
+  SELECT * FROM (VALUES (CAST(1 AS BIGINT), CAST(1 AS BIGINT), CAST(1 AS BIGINT)), (2, 2, 3), (3, 2, 4), (4, 2, 5),
+                        (5, 3, NULL), (6, 4, 2)) AS v(id_pegawai, jabatan_id, user_id))
 """
 
 

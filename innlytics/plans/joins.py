@@ -20,21 +20,21 @@ output, so no unbounded side is ever broadcast blindly.
 
 from __future__ import annotations
 
+import weakref
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 LOOKUP_MAX_ROWS = 10_000
-# id -> (frame, verdict); holding the frame keeps its id from being reused.
-_CHECKED: dict[int, tuple[DataFrame, bool]] = {}
+# frame -> verdict, for as long as the frame lives
+_CHECKED: weakref.WeakKeyDictionary = weakref.WeakKeyDictionary()
 
 
 def fits(df: DataFrame, max_rows: int = LOOKUP_MAX_ROWS) -> bool:
     """True when ``df`` has at most ``max_rows`` rows (checked once per frame)."""
-    hit = _CHECKED.get(id(df))
-    if hit is None or hit[0] is not df:
-        hit = (df, df.limit(max_rows + 1).count() <= max_rows)
-        _CHECKED[id(df)] = hit
-    return hit[1]
+    if df not in _CHECKED:
+        _CHECKED[df] = df.limit(max_rows + 1).count() <= max_rows
+    return _CHECKED[df]
 
 
 def lookup(df: DataFrame, max_rows: int = LOOKUP_MAX_ROWS) -> DataFrame:

@@ -13,6 +13,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from innlytics.plans.checkpoint import cut
+
 
 def numbered(df: DataFrame, group_cols: Sequence[str], order_cols: Sequence[str | Column],
              block: Column, out: str = "no") -> DataFrame:
@@ -42,14 +44,24 @@ def numbered(df: DataFrame, group_cols: Sequence[str], order_cols: Sequence[str
             .drop("_blk", "_local", "_off", "_ob", *renamed))
 
 
-def new_ids(df: DataFrame, order_cols: Sequence[str | Column], start: Column, out: str,
-            block: Column) -> DataFrame:
-    """Assign ``start + 1, start + 2, ...`` in ``order_cols`` order (batch
-    AUTO_INCREMENT). ``start`` is a column holding the current max id."""
-    tmp = df.withColumn("_all", F.lit(0))
-    return (numbered(tmp, ["_all"], order_cols, block, out="_seq")
-            .withColumn(out, (start + F.col("_seq")).cast("bigint"))
-            .drop("_all", "_seq"))
+def new_ids(df: DataFrame, order: str, starts: dict[str, Column], ranges: int | None = None) -> DataFrame:
+    """Assign ``start + 1, start + 2, ...`` in ``order`` order to each column of
+    ``starts`` (batch AUTO_INCREMENT; a start holds the current max id).
+
+    The batch is dealt once into ranges of the order key (sampled quantiles,
+    so sparse and dense keys give even ranges); the written table fixes each
+    row's range, rows are numbered inside their range, and the offsets are a
+    prefix over one count per range (a parameter, not a data size)."""
+    n = ranges or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = cut(df.repartitionByRange(n, order).withColumn("_rng", F.spark_partition_id()), "numbered")
+    counts = dealt.groupBy("_rng").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.orderBy("_rng").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("_rng", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
+    local = F.row_number().over(Window.partitionBy("_rng").orderBy(order))
+    out = dealt.withColumn("_local", local).join(F.broadcast(offsets), "_rng")  # at most n rows
+    for name, start in starts.items():
+        out = out.withColumn(name, (start + F.col("_off") + F.col("_local")).cast("bigint"))
+    return out.drop("_rng", "_local", "_off")
 
 
 def top_k(df: DataFrame, group_cols: Sequence[str], order_cols: Sequence[Column], k: int,

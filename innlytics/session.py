@@ -30,7 +30,6 @@ DEFAULT_CONF = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
-    "spark.sql.ansi.enabled": "false",
 }
 
 
@@ -57,7 +56,8 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
 
 
 def tune(spark: SparkSession) -> SparkSession:
-    """Apply runtime SQL defaults to an existing session where unset."""
+    """Apply runtime SQL defaults to an existing session where unset. The
+    session's time zone is its owner's; stored times are without zone."""
     for key, value in DEFAULT_CONF.items():
         if key.startswith("spark.ui"):
             continue
@@ -66,7 +66,6 @@ def tune(spark: SparkSession) -> SparkSession:
                 spark.conf.set(key, value)
         except Exception:  # static conf on a running session
             pass
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
     return spark
 
 
@@ -74,13 +73,18 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
     On a cluster that setting names a shared (HDFS/object store) folder and is
-    used as is. Only when it is unset (local tests) a scratch folder is made.
+    used as is; without it a cluster session is refused, because executors do
+    not see each other's disks. Only a local session (one machine, as in
+    tests) gets a scratch folder when it is unset.
     """
     sc = _context(spark)
     current = spark.conf.get("spark.checkpoint.dir", None)
     if not current and sc is not None:
         current = sc.getCheckpointDir()
     if not current:
+        master = sc.master if sc is not None else spark.conf.get("spark.master", "")
+        if master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         current = tempfile.mkdtemp(prefix="innlytics-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
         try:
             spark.conf.set("spark.checkpoint.dir", current)

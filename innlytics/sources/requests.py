@@ -5,11 +5,12 @@ queries and the bench): every batch grows with the data it is derived from.
   re-asked for their room type (B2) or room (B3)
 * booking requests (B7): every cancelled stay line re-booked by its guest
 * check-in requests (B8): every new (Baru) reservation; check-out: every
-  checked-in one
-* payment requests (B9): every checked-out reservation, for its B1 total
-* registrations (B11): one per 'signup' event, username/email reused from
-  existing logins for a share of them so both reject paths are exercised
-* room inserts/updates/deletes (B12-B14): from the room table
+  checked-in one; payments (B9): every checked-out reservation. Each comes
+  twice, a share of them refused first and valid then
+* registrations (B11): one per 'signup' event, with taken, repeated and
+  chained keys
+* room inserts/updates/deletes (B12-B14): from the room table, with refused
+  requests before valid ones and numbers freed and taken inside the batch
 """
 
 from __future__ import annotations
@@ -65,39 +66,61 @@ def booking_requests(t: Tables) -> DataFrame:
 
 
 def checkin_requests(t: Tables, kind: str = "checkin") -> DataFrame:
+    """Each reservation in the state before asks twice. Every fifth is first
+    refused (unknown employee 99) and then valid; the others come twice, and
+    the second is a duplicate."""
     status = C.RES_NEW if kind == "checkin" else C.RES_CHECKED_IN
-    return (t.reservasi.where(F.col("status_reservasi_id") == status)
-            .select(F.col("id_reservasi").alias("req_seq"), F.col("id_reservasi").alias("reservasi_id"),
-                    F.when(F.col("id_reservasi") % 7 != 0, F.col("tamu_id") % 6 + 1).alias("pegawai_id")))
+    base = t.reservasi.where(F.col("status_reservasi_id") == status).select("id_reservasi", "tamu_id")
+    both = base.withColumn("_turn", F.explode(F.array(F.lit(0), F.lit(1))))
+    clerk = F.when(F.col("id_reservasi") % 7 != 0, F.col("tamu_id") % 6 + 1)
+    return both.select((F.col("id_reservasi") * 2 + F.col("_turn")).alias("req_seq"),
+                       F.col("id_reservasi").alias("reservasi_id"),
+                       F.when((F.col("id_reservasi") % 5 == 0) & (F.col("_turn") == 0), F.lit(99)).otherwise(clerk)
+                       .cast("bigint").alias("pegawai_id"))
 
 
 def payment_requests(t: Tables) -> DataFrame:
-    """B9 requests: checked-out reservations, method by id, amount = stay sum."""
+    """B9 requests: checked-out reservations, method by id, amount = stay sum.
+    Each comes twice: every third first with amount 0 (refused), then valid."""
     done = t.reservasi.where(F.col("status_reservasi_id") == C.RES_CHECKED_OUT).select("id_reservasi")
     sums = t.detail_reservasi.groupBy("reservasi_id").agg(F.sum("harga").alias("_s"))
-    return (done.join(sums, F.col("id_reservasi") == F.col("reservasi_id"), "left")
-            .select(F.col("id_reservasi").alias("req_seq"), F.col("id_reservasi").alias("reservasi_id"),
-                    (F.col("id_reservasi") % 4).alias("metode_id"),
-                    F.coalesce(F.col("_s"), F.lit(0)).cast("decimal(20,2)").alias("total")))
+    both = (done.join(sums, F.col("id_reservasi") == F.col("reservasi_id"), "left")
+            .withColumn("_turn", F.explode(F.array(F.lit(0), F.lit(1)))))
+    due = F.when((F.col("id_reservasi") % 3 == 0) & (F.col("_turn") == 0), F.lit(0)).otherwise(F.coalesce("_s", F.lit(0)))
+    return both.select((F.col("id_reservasi") * 2 + F.col("_turn")).alias("req_seq"),
+                       F.col("id_reservasi").alias("reservasi_id"),
+                       (F.col("id_reservasi") % 4).alias("metode_id"), due.cast("decimal(20,2)").alias("total"))
 
 
 def room_insert_requests(t: Tables) -> DataFrame:
-    """One insert per room; maintenance rooms ask for a new number
-    (suffix 'A'), the others repeat an existing number (refused)."""
-    return t.kamar.select(
-        F.col("id_kamar").alias("req_seq"),
+    """Two inserts per room. Maintenance rooms ask for a new number (suffix
+    'A'), even ids first with an unknown type (refused); the others repeat an
+    existing number (refused)."""
+    both = t.kamar.withColumn("_turn", F.explode(F.array(F.lit(0), F.lit(1))))
+    return both.select(
+        (F.col("id_kamar") * 2 + F.col("_turn")).alias("req_seq"),
         F.when(F.col("status_id") == C.ROOM_MAINTENANCE, F.concat(F.col("nomor_kamar"), F.lit("A")))
         .otherwise(F.col("nomor_kamar")).alias("nomor_kamar"),
-        "tipe_id", F.lit(None).cast("bigint").alias("status_id"))
+        F.when((F.col("id_kamar") % 2 == 0) & (F.col("_turn") == 0), F.lit(-1).cast("bigint")).otherwise(
+            F.col("tipe_id")).alias("tipe_id"),
+        F.lit(None).cast("bigint").alias("status_id"))
 
 
 def room_update_patches(t: Tables) -> DataFrame:
-    """Maintenance rooms back to Tersedia; other rooms send an empty
-    patch (refused)."""
-    return t.kamar.select(
-        F.col("id_kamar").alias("req_seq"), "id_kamar",
-        F.lit(None).cast("string").alias("nomor_kamar"), F.lit(None).cast("bigint").alias("tipe_id"),
-        F.when(F.col("status_id") == C.ROOM_MAINTENANCE, F.lit(C.ROOM_FREE).cast("bigint")).alias("status_id"))
+    """Four patches per room, in room order, by id modulo 3. Rooms of class
+    0 free their number ('X<id>'); class 1 and 2 take the number of the room
+    before them (freed just then); then all ask for the number of the room
+    after them together with a status (refused: it is taken) and repeat their
+    own number with a status; maintenance rooms go back to Tersedia, the others
+    send an empty patch (refused)."""
+    four = t.kamar.select("id_kamar", "status_id").withColumn("_turn", F.explode(F.sequence(F.lit(0), F.lit(3))))
+    k, turn, cls = F.col("id_kamar"), F.col("_turn"), F.col("id_kamar") % 3
+    own = F.when(cls == 0, F.concat(F.lit("X"), k.cast("string"))).otherwise((k - 1).cast("string"))
+    number = F.when((turn == 0) | (turn == 2), own).when(turn == 1, (k + 1).cast("string"))
+    status = (F.when(turn == 1, F.lit(C.ROOM_MAINTENANCE)).when(turn == 2, F.lit(C.ROOM_OCCUPIED))
+              .when((turn == 3) & (F.col("status_id") == C.ROOM_MAINTENANCE), F.lit(C.ROOM_FREE)))
+    return four.select((k * 4 + turn).cast("bigint").alias("req_seq"), "id_kamar", number.alias("nomor_kamar"),
+                       F.lit(None).cast("bigint").alias("tipe_id"), status.cast("bigint").alias("status_id"))
 
 
 def room_delete_keys(t: Tables) -> DataFrame:
@@ -106,14 +129,16 @@ def room_delete_keys(t: Tables) -> DataFrame:
         F.col("id_kamar").alias("req_seq"), "id_kamar")
 
 
-def registration_requests(events: DataFrame, n_customers_hint: int = 0) -> DataFrame:
-    """B11 requests: one per signup event; usernames cycle over event ids so
-    some collide with existing logins and with each other."""
+def registration_requests(events: DataFrame) -> DataFrame:
+    """B11 requests: one per signup event, keys derived from growing ids. Every
+    fifth user asks for an existing login; the others for a new name that their
+    later events repeat; four neighbouring events share an email, so that
+    refused and accepted requests chain."""
     s = events.where(F.col("event_type") == "signup")
-    uid = F.col("event_id") % 3000
-    return s.select(F.col("event_id").alias("req_seq"),
-                    F.concat(F.lit("tamu"), uid.cast("string")).alias("username"),
-                    F.concat(F.lit("guest"), F.col("event_id").cast("string"), F.lit("@example.com")).alias("email"),
+    taken = F.col("user_id") % 5 == 0
+    name = F.concat(F.when(taken, F.lit("Tamu")).otherwise(F.lit("baru")), F.col("user_id").cast("string"))
+    mail = F.concat(F.lit("guest"), F.floor(F.col("event_id") / 4).cast("string"), F.lit("@example.com"))
+    return s.select(F.col("event_id").alias("req_seq"), name.alias("username"), mail.alias("email"),
                     F.lit("secret").alias("password"),
                     F.concat(F.lit("Guest "), F.col("user_id").cast("string")).alias("nama"),
                     F.concat(F.lit("08"), F.col("user_id").cast("string")).alias("telepon"),

@@ -1,16 +1,16 @@
 """Structured Streaming versions of the trigger operators.
 
-* ``transitions_stream`` (C2 on a stream): the last status of every
-  reservation lives in Spark's state store (``applyInPandasWithState``,
-  keyed by reservation, checkpointed with the query, spread over executors).
-  Each micro-batch's rows of a key are ordered by (ts, seq); a row older than
-  the stored last row is emitted with ``late = true`` and does not move the
-  state (the original has no notion of late rows; quarantining them keeps
-  replays deterministic).
+* ``run_transitions`` (C2 on a stream): ``foreachBatch`` applies the batch
+  operator ``changes.status_transitions`` to each micro-batch, with the last
+  status of every reservation as the status before it. The snapshot of last
+  rows is a table per batch id, written from the one before, so a replayed
+  batch rewrites the same output from the same input. A row older than its
+  reservation's last row is kept with ``late = true`` and does not move the
+  snapshot (the original has no notion of late rows).
 * ``audit_stream`` (C1/C3): stateless projections, stream-safe as is.
-* ``room_status_stream`` (C4): stream-static join of transitions with the
-  stay lines, then a streaming ``max_by`` aggregation per room (state store);
-  ``update`` output gives the rooms whose status changed in the batch.
+* ``room_status_stream`` (C4): the latest effective transition of each
+  reservation per micro-batch, joined with the stay lines, then the latest
+  write of each room.
 * ``run_to_tables``: drives a query with ``availableNow`` into
   ``foreachBatch`` parquet outputs keyed by batch id (idempotent overwrite on
   replay), under a checkpoint folder derived from ``spark.checkpoint.dir``.
@@ -19,12 +19,8 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from innlytics.operators import changes as CH
 from innlytics.session import checkpoint_dir
@@ -32,36 +28,43 @@ from innlytics.sources import catalog as C
 
 TRANSITION_SCHEMA = ("reservasi_id long, ts timestamp_ntz, seq long, old_status long, new_status long, "
                      "late boolean")
-STATE_SCHEMA = "status long, ts timestamp_ntz, seq long"
-
-
-def _step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    (res_id,) = key
-    pdf = pd.concat(list(batches), ignore_index=True).sort_values(["ts", "seq"], kind="mergesort")
-    if state.exists:
-        last_status, last_ts, last_seq = state.get
-        last_ts = pd.Timestamp(last_ts) if last_ts is not None else None
-    else:
-        last_status, last_ts, last_seq = None, None, None
-    rows = []
-    for ts, seq, st in zip(pdf["ts"], pdf["seq"], pdf["status_reservasi_id"]):
-        st = None if pd.isna(st) else int(st)
-        if last_ts is not None and (ts, seq) < (last_ts, last_seq):
-            rows.append((res_id, ts, seq, last_status, st, True))
-            continue
-        if st is not None and last_status is not None and st != last_status:
-            rows.append((res_id, ts, seq, last_status, st, False))
-        last_status, last_ts, last_seq = st, ts, int(seq)
-    state.update((last_status, last_ts.to_pydatetime() if hasattr(last_ts, "to_pydatetime") else last_ts,
-                  last_seq))
-    yield pd.DataFrame(rows, columns=["reservasi_id", "ts", "seq", "old_status", "new_status", "late"])
-
-
-def transitions_stream(feed: DataFrame) -> DataFrame:
-    """C2 over a streaming feed (reservasi_id, ts, seq, status_reservasi_id)."""
-    return (feed.groupBy("reservasi_id")
-            .applyInPandasWithState(_step, TRANSITION_SCHEMA, STATE_SCHEMA, "append",
-                                    GroupStateTimeout.NoTimeout))
+SNAPSHOT_SCHEMA = "reservasi_id long, ts timestamp_ntz, seq long, status_reservasi_id long"
+
+
+def transitions_of(batch: DataFrame, last: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(transitions with ``late``, the new last rows) of one micro-batch of the
+    feed, given the last row (SNAPSHOT_SCHEMA) of each reservation before it."""
+    before = last.select("reservasi_id", F.struct("ts", "seq").alias("_at"),
+                         F.col("status_reservasi_id").alias("_status"))
+    known = batch.join(before, "reservasi_id", "left")
+    is_late = F.coalesce(F.struct("ts", "seq") < F.col("_at"), F.lit(False))
+    late = known.where(is_late).select("reservasi_id", "ts", "seq", F.col("_status").alias("old_status"),
+                                       F.col("status_reservasi_id").alias("new_status"), F.lit(True).alias("late"))
+    fresh = known.where(~is_late).select(*batch.columns)
+    moved = CH.status_transitions(fresh, initial=last).withColumn("late", F.lit(False))
+    row = F.struct("ts", "seq", "status_reservasi_id")
+    new_last = (last.select("reservasi_id", row.alias("_r")).unionByName(fresh.select("reservasi_id", row.alias("_r")))
+                .groupBy("reservasi_id").agg(F.max_by("_r", F.struct("_r.ts", "_r.seq")).alias("_r"))
+                .select("reservasi_id", "_r.*"))
+    return moved.unionByName(late), new_last
+
+
+def run_transitions(feed: DataFrame, out_dir: str, checkpoint: str) -> None:
+    """C2 over a streaming feed (reservasi_id, ts, seq, status_reservasi_id),
+    run to completion. Transitions go to ``out_dir/transitions/batch=<id>``, the
+    last rows to ``out_dir/last/batch=<id>``; both are overwritten on replay."""
+    root = out_dir.rstrip("/")
+
+    def sink(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        last = (spark.read.schema(SNAPSHOT_SCHEMA).parquet(f"{root}/last/batch={batch_id - 1}") if batch_id
+                else spark.createDataFrame([], SNAPSHOT_SCHEMA))
+        moved, new_last = transitions_of(batch, last)
+        moved.write.mode("overwrite").parquet(f"{root}/transitions/batch={batch_id}")
+        new_last.write.mode("overwrite").parquet(f"{root}/last/batch={batch_id}")
+
+    (feed.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True)
+     .start().awaitTermination())
 
 
 def audit_stream(transitions: DataFrame) -> DataFrame:
@@ -70,7 +73,7 @@ def audit_stream(transitions: DataFrame) -> DataFrame:
 
 
 def room_status_stream(transitions: DataFrame, stays: DataFrame) -> DataFrame:
-    """C4 over a stream: per room, the latest write; emit in ``update`` mode."""
+    """C4 over the transitions of a micro-batch: per room the latest write."""
     writes = CH.room_updates(transitions.where(~F.col("late")), stays)
     return writes.groupBy("kamar_id").agg(F.max_by("room_status", F.struct("ts", "seq")).alias("status_id"))
 
