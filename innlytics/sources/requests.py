@@ -109,14 +109,15 @@ def room_insert_requests(t: Tables) -> DataFrame:
 def room_update_patches(t: Tables) -> DataFrame:
     """Four patches per room, in room order, by id modulo 3. Rooms of class
     0 free their number ('X<id>'); class 1 and 2 take the number of the room
-    before them (freed just then); then all ask for the number of the room
-    after them together with a status (refused: it is taken) and repeat their
+    before them (freed just then); then all ask for a number that another room
+    of their three holds, together with a status (refused), and repeat their
     own number with a status; maintenance rooms go back to Tersedia, the others
     send an empty patch (refused)."""
     four = t.kamar.select("id_kamar", "status_id").withColumn("_turn", F.explode(F.sequence(F.lit(0), F.lit(3))))
     k, turn, cls = F.col("id_kamar"), F.col("_turn"), F.col("id_kamar") % 3
     own = F.when(cls == 0, F.concat(F.lit("X"), k.cast("string"))).otherwise((k - 1).cast("string"))
-    number = F.when((turn == 0) | (turn == 2), own).when(turn == 1, (k + 1).cast("string"))
+    other = F.when(cls == 2, F.concat(F.lit("X"), (k - 2).cast("string"))).otherwise((k + 1).cast("string"))
+    number = F.when((turn == 0) | (turn == 2), own).when(turn == 1, other)
     status = (F.when(turn == 1, F.lit(C.ROOM_MAINTENANCE)).when(turn == 2, F.lit(C.ROOM_OCCUPIED))
               .when((turn == 3) & (F.col("status_id") == C.ROOM_MAINTENANCE), F.lit(C.ROOM_FREE)))
     return four.select((k * 4 + turn).cast("bigint").alias("req_seq"), "id_kamar", number.alias("nomor_kamar"),
