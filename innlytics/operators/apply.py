@@ -16,7 +16,7 @@ from bisect import bisect_right
 from dataclasses import dataclass, field
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from innlytics.functions import scalar as E
@@ -143,7 +143,8 @@ def arbitrate(requests: DataFrame) -> DataFrame:
     Requests that can never interact (other room, or another overlap cluster
     of the same room) are hashed to different partitions; each partition is
     sorted by (room, cluster, req_seq) by Spark (external sort, spills) and
-    streamed through ``mapInPandas``. Returns (req_seq, _won)."""
+    streamed through ``mapInPandas``. A request alone in its cluster wins
+    without Python. Returns (req_seq, _won)."""
     days = requests.select("req_seq", "kamar_id", CI, CO,
                            F.datediff(CI, F.lit("1970-01-01")).alias("_ci"),
                            F.datediff(CO, F.lit("1970-01-01")).alias("_co"))
@@ -151,9 +152,11 @@ def arbitrate(requests: DataFrame) -> DataFrame:
                  .select("kamar_id", F.datediff("block_start", F.lit("1970-01-01")).alias("_blk"),
                          "req_seq", "_ci", "_co"))
     n = int(requests.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return (clustered.repartition(n, "kamar_id", "_blk")
+    sized = cut(clustered.withColumn("_size", F.count(F.lit(1)).over(Window.partitionBy("kamar_id", "_blk"))), "clusters")
+    alone = sized.where("_size = 1").select("req_seq", F.lit(True).alias("_won"))
+    return (sized.where("_size > 1").repartition(n, "kamar_id", "_blk")
             .sortWithinPartitions("kamar_id", "_blk", "req_seq")
-            .mapInPandas(_greedy_stream, schema="req_seq long, _won boolean"))
+            .mapInPandas(_greedy_stream, schema="req_seq long, _won boolean").unionByName(alone))
 
 
 def apply_bookings(t: Tables, requests: DataFrame, as_of: str | dt.date, actor_id: int = 1,

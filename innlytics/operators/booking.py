@@ -53,13 +53,12 @@ def _valid(df: DataFrame) -> DataFrame:
 
 
 def booking_conflicts(t: Tables, requests: DataFrame, request_id: str = "request_id",
-                      requests_valid: bool = False, light_max: int = 64) -> DataFrame:
+                      requests_valid: bool = False) -> DataFrame:
     """Per request (request_id, kamar_id, checkin, checkout), the number
     of active stays of that room with ``ci < q.co AND co > q.ci``.
 
-    Valid requests and stays: rooms with at most ``light_max`` active stays
-    by an equi-join on the room (bounded partners), hotter rooms by prefix
-    counts #(ci < q.co) - #(co <= q.ci) (no pairs). The rare remainder (a request or stay with
+    Valid requests and stays by cumulative counts, #(ci < q.co) - #(co <= q.ci)
+    (no pairs, whatever the room). The rare remainder (a request or stay with
     checkout <= checkin, which V1 rejects) is counted exactly by an
     equi-join on the room over those rows only. ``requests_valid=True``
     (the caller already applied V1) skips the invalid-request branch."""
@@ -67,8 +66,7 @@ def booking_conflicts(t: Tables, requests: DataFrame, request_id: str = "request
     good_stays, bad_stays = _valid(stays), stays.where(~(F.col(CO) > F.col(CI)))
     req = requests.select(request_id, "kamar_id", CI, CO)
     good_req = _valid(req)
-    valid_counts = IV.overlap_count(good_stays, good_req, ["kamar_id"], request_id, CI, CO, out="_n",
-                                    light_max=light_max)
+    valid_counts = IV.overlap_count(good_stays, good_req, ["kamar_id"], request_id, CI, CO, out="_n")
     # Remainders: invalid requests against the stays covering night q.ci
     # (only rooms that have such a request are exploded), and requests
     # against invalid stays. Both sides are rare.
@@ -103,8 +101,9 @@ def available_rooms(t: Tables, requests: DataFrame, request_id: str = "request_i
         free = #(gap_start <= ci) - #(gap_end < co) + #(ci < gap_start, gap_end < co)
 
     The first two are prefix counts per type; the last counts gaps lying
-    strictly inside the request, found by exact-key joins on (type, start,
-    end) over the request's own day pairs (bounded by its length).
+    strictly inside the request: each inner day of the request meets the gaps
+    of the type that start there, summed by end day (a list bounded by the
+    calendar), so a request costs one row a night.
     ``null_mode='mysql'`` reproduces ``NOT IN`` over a nullable column: an
     overlapping active stay without a room makes the count 0; ``'ignore'``
     is the plain anti join."""
@@ -132,13 +131,12 @@ def available_rooms(t: Tables, requests: DataFrame, request_id: str = "request_i
     pq = (IV.count_before(ev, pts, ["tipe_id", "_kind"], "_ed", "_one", [request_id], "_px", out="_c")
           .groupBy(request_id).agg(F.sum(F.when(F.col("_kind") == 0, F.col("_c"))).alias("_p"),
                                    F.sum(F.when(F.col("_kind") == 1, F.col("_c"))).alias("_q")))
-    inner_gaps = gap_counts
-    # Day pairs ci < s < e < co of the request itself: C(nights - 1, 2) rows.
+    by_start = gap_counts.groupBy("tipe_id", "gap_start").agg(F.collect_list(F.struct("gap_end", "_g")).alias("_ends"))
     starts = F.when(F.datediff(CO, CI) >= 3, F.sequence(F.date_add(CI, 1), F.date_sub(CO, 2)))
-    pairs = (good.withColumn("gap_start", F.explode(starts))
-             .withColumn("gap_end", F.explode(F.sequence(F.date_add("gap_start", 1), F.date_sub(CO, 1)))))
-    r = (pairs.join(inner_gaps, ["tipe_id", "gap_start", "gap_end"], "inner")
-         .groupBy(request_id).agg(F.sum("_g").alias("_r")))
+    inside = F.aggregate(F.filter("_ends", lambda e: e["gap_end"] < F.col(CO)), F.lit(0).cast("bigint"),
+                         lambda acc, e: acc + e["_g"])
+    r = (good.withColumn("gap_start", F.explode(starts)).join(by_start, ["tipe_id", "gap_start"], "inner")
+         .groupBy(request_id).agg(F.sum(inside).alias("_r")))
     free_valid = (pq.join(r, request_id, "left")
                   .select(request_id, (F.col("_p") - F.col("_q") + F.coalesce("_r", F.lit(0))).alias("_free")))
     # Invalid ranges (checkout <= checkin): busy rooms are those with a stay
@@ -147,11 +145,10 @@ def available_rooms(t: Tables, requests: DataFrame, request_id: str = "request_i
     bad_type_rooms = (rooms.join(bad.select("tipe_id").distinct(), "tipe_id", "left_semi")
                       .select(F.col("id_kamar").alias("kamar_id")))
     n = (IV.nights(room_stays.join(bad_type_rooms, "kamar_id", "left_semi"), CI, CO)
-         .select("kamar_id", F.col(CI).alias("_sci"), "night"))
-    busy_bad = (bad.join(n, n["night"] == bad[CI], "inner").where(F.col("_sci") < F.col(CO))
-                .join(rooms.select(F.col("id_kamar").alias("kamar_id"), F.col("tipe_id").alias("_rt")),
-                      "kamar_id", "inner").where(F.col("_rt") == F.col("tipe_id"))
-                .select(request_id, "kamar_id").distinct()
+         .join(rooms.select(F.col("id_kamar").alias("kamar_id"), F.col("tipe_id").alias("_rt")), "kamar_id")
+         .groupBy("_rt", "night", "kamar_id").agg(F.min(CI).alias("_sci")))
+    busy_bad = (bad.join(n, (F.col("_rt") == F.col("tipe_id")) & (n["night"] == bad[CI]), "inner")
+                .where(F.col("_sci") < F.col(CO)).select(request_id, "kamar_id").distinct()
                 .groupBy(request_id).agg(F.count(F.lit(1)).alias("_busy")))
     per_type = rooms.groupBy(F.col("tipe_id").alias("_tt")).agg(F.count(F.lit(1)).alias("_rooms"))
     free_bad = (bad.join(per_type, F.col("tipe_id") == F.col("_tt"), "inner").join(busy_bad, request_id, "left")
@@ -181,12 +178,14 @@ def _zero_on_null_room(t: Tables, out: DataFrame, requests: DataFrame, request_i
     # one hits a valid request iff q.ci < s.co <= s.ci < q.co, so s.co is one
     # of the request's inner days -> exact-key join on that day (fan-out
     # bounded by the request length). An invalid request never hits one.
-    odd = null_stays.where(~(F.col(CO) > F.col(CI))).select(F.col(CI).alias("_sci"), F.col(CO).alias("_day"))
+    # Only existence matters: the earliest check-in of each day is enough.
+    odd = (null_stays.where(~(F.col(CO) > F.col(CI))).groupBy(F.col(CO).alias("_day"))
+           .agg(F.min(CI).alias("_sci")))
     inner_days = F.when(F.datediff(CO, CI) >= 2, F.sequence(F.date_add(CI, 1), F.date_sub(CO, 1)))
     hit_odd = (good.select(request_id, CO, F.explode(inner_days).alias("_day"))
                .join(odd, "_day", "inner").where(F.col("_sci") < F.col(CO)).select(request_id))
     bad_req = req.where(~(F.col(CO) > F.col(CI)))
-    n = IV.nights(good_null, CI, CO).select(F.col(CI).alias("_sci"), "night")
+    n = IV.nights(good_null, CI, CO).groupBy("night").agg(F.min(CI).alias("_sci"))
     hit_bad = (bad_req.join(n, n["night"] == bad_req[CI], "inner").where(F.col("_sci") < F.col(CO))
                .select(request_id))
     hits = hit_valid.unionByName(hit_odd).unionByName(hit_bad).distinct().withColumn("_null_hit", F.lit(True))

@@ -52,20 +52,17 @@ def staff_kpis(t: Tables) -> DataFrame:
         t.pembayaran.agg(E.ifnull0(E.money_sum("total")).cast(E.MONEY_SUM)).scalar().alias("total_pendapatan"))
 
 
-def _reservation_heads(t: Tables) -> DataFrame:
-    return (t.reservasi.select("id_reservasi", "tamu_id", "status_reservasi_id", "tanggal_pesan")
-            .join(t.tamu.select("id_tamu", F.col("nama").alias("tamu"), "user_id"),
-                  F.col("tamu_id") == F.col("id_tamu"), "inner")
-            .join(joins.lookup(t.status_reservasi),
-                  F.col("status_reservasi_id") == F.col("id_status_reservasi"), "inner"))
-
-
 def latest_reservations(t: Tables, n: int = 5) -> DataFrame:
-    """Newest n reservations (ties on time broken by id, newest first)."""
-    return (_reservation_heads(t)
+    """Newest n reservations (ties on time broken by id, newest first). The
+    guest must exist (semi join); names are attached to the n rows alone."""
+    newest = (t.reservasi.select("id_reservasi", "tamu_id", "status_reservasi_id", "tanggal_pesan")
+              .join(t.tamu.select("id_tamu"), F.col("tamu_id") == F.col("id_tamu"), "left_semi")
+              .join(joins.lookup(t.status_reservasi), F.col("status_reservasi_id") == F.col("id_status_reservasi"))
+              .orderBy(F.desc("tanggal_pesan"), F.desc("id_reservasi")).limit(n))
+    return (t.tamu.select("id_tamu", F.col("nama").alias("tamu"))
+            .join(F.broadcast(newest), F.col("tamu_id") == F.col("id_tamu"))  # n rows
             .select("id_reservasi", "tamu", "status", "tanggal_pesan")
-            .orderBy(F.desc("tanggal_pesan"), F.desc("id_reservasi"))
-            .limit(n))
+            .orderBy(F.desc("tanggal_pesan"), F.desc("id_reservasi")))
 
 
 def recent_revenue(t: Tables, as_of: str | dt.date, months: int = 6) -> DataFrame:
@@ -103,8 +100,8 @@ def guest_kpis(t: Tables, user=None) -> DataFrame:
 def latest_per_guest(t: Tables, n: int = 5, user=None) -> DataFrame:
     """Per login, its newest ``n`` stay lines (not reservations), newest
     reservation first; ties inside a reservation by the stay's own columns.
-    Top-k is salted (``plans.numbering.top_k``) so one busy guest is cut
-    into parallel slices."""
+    Spark limits each guest's rows to ``n`` before the shuffle (window group
+    limit), so a busy guest sends ``n`` rows a partition."""
     heads = (t.reservasi.select("id_reservasi", "tamu_id", "status_reservasi_id", "tanggal_pesan")
              .join(_guests(t, user).select("id_tamu", "user_id"), F.col("tamu_id") == F.col("id_tamu"), "inner")
              .join(joins.lookup(t.status_reservasi),
@@ -114,7 +111,7 @@ def latest_per_guest(t: Tables, n: int = 5, user=None) -> DataFrame:
                        F.col("id_reservasi") == F.col("reservasi_id"), "inner")
     order = [F.desc("tanggal_pesan"), F.desc("id_reservasi"), F.asc("tanggal_checkin"),
              F.asc("tanggal_checkout"), F.asc("harga"), F.asc_nulls_first("kamar_id")]
-    best = top_k(lines, ["user_id"], order, n, salt_cols=["id_reservasi", "tanggal_checkin", "kamar_id"])
+    best = top_k(lines, ["user_id"], order, n)
     return best.select("user_id", "id_reservasi", "status", "tanggal_pesan", "tanggal_checkin",
                        "tanggal_checkout", "harga")
 

@@ -46,27 +46,23 @@ def revenue_by_month(t: Tables, aliases: str = "api") -> DataFrame:
             .orderBy("bulan"))
 
 
-def _spend_per_guest(t: Tables) -> DataFrame:
-    """Per guest id: reservations and paid total (reservation LEFT JOIN payment),
-    pre-aggregated on the reservation side before touching ``tamu``."""
-    paid = t.pembayaran.groupBy("reservasi_id").agg(F.sum("total").alias("_paid"))
-    return (t.reservasi.select("id_reservasi", "tamu_id")
-            .join(paid, F.col("id_reservasi") == F.col("reservasi_id"), "left")
-            .groupBy("tamu_id")
-            .agg(F.count("id_reservasi").alias("jumlah_booking"),
-                 F.sum("_paid").cast(E.MONEY_SUM).alias("_spent")))
-
-
 def top_guests(t: Tables, n: int = 5) -> DataFrame:
-    """Most active guests; ties on count broken by guest id (ascending)."""
-    per_guest = _spend_per_guest(t)
-    return (t.tamu.select("id_tamu", "nama", "email")
-            .join(per_guest, F.col("id_tamu") == F.col("tamu_id"), "inner")
+    """Most active guests; ties on count broken by guest id (ascending).
+    The ``n`` guests are found from the reservations alone (guests must
+    exist); only their payments are summed and only their names looked up."""
+    best = (t.reservasi.groupBy("tamu_id").agg(F.count("id_reservasi").alias("jumlah_booking"))
+            .join(t.tamu.select("id_tamu"), F.col("tamu_id") == F.col("id_tamu"), "left_semi")
+            .orderBy(F.desc("jumlah_booking"), F.asc("tamu_id")).limit(n))
+    few = F.broadcast(best)  # n rows
+    theirs = t.reservasi.select("id_reservasi", F.col("tamu_id").alias("_payer")).join(
+        few.select("tamu_id"), F.col("_payer") == F.col("tamu_id"), "left_semi")
+    spent = (t.pembayaran.select("reservasi_id", "total").join(theirs, F.col("reservasi_id") == F.col("id_reservasi"))
+             .groupBy("_payer").agg(F.sum("total").cast(E.MONEY_SUM).alias("_spent")))
+    return (t.tamu.select("id_tamu", "nama", "email").join(few, F.col("id_tamu") == F.col("tamu_id"))
+            .join(spent, F.col("id_tamu") == F.col("_payer"), "left")
             .select("id_tamu", "nama", "email", "jumlah_booking",
                     E.ifnull0("_spent").cast(E.MONEY_SUM).alias("total_pengeluaran"))
-            .orderBy(F.desc("jumlah_booking"), F.asc("id_tamu"))
-            .limit(n)
-            .drop("id_tamu"))
+            .orderBy(F.desc("jumlah_booking"), F.asc("id_tamu")).drop("id_tamu"))
 
 
 def rating_by_room_type(t: Tables, aliases: str = "api") -> DataFrame:

@@ -71,32 +71,12 @@ def count_before(events: DataFrame, points: DataFrame, keys: Sequence[str], ev_d
 
 def overlap_count(stays: DataFrame, requests: DataFrame, keys: Sequence[str], rid: str, ci: str, co: str,
                   s_ci: str | None = None, s_co: str | None = None, calendar_keys: bool = False,
-                  out: str = "n", light_max: int = 64) -> DataFrame:
+                  out: str = "n") -> DataFrame:
     """Per valid request (rid, keys, [ci, co)), the number of valid stays of
     the same keys with ``s.ci < co AND s.co > ci``. Both sides must satisfy
-    co > ci.
-
-    Keys with at most ``light_max`` stays are answered by an equi-join on
-    the key plus the range test: at most ``light_max`` partners per request.
-    Keys above it (hot rooms) use prefix counts instead (no pairs at all),
-    so every key is answered exactly and none produces unbounded pairs.
-    ``light_max=0`` sends every key through prefix counts."""
-    s_ci, s_co = s_ci or ci, s_co or co
-    keys = list(keys)
-    if not keys or light_max <= 0:
-        return _overlap_count_prefix(stays, requests, keys, rid, ci, co, s_ci, s_co, calendar_keys, out)
-    sizes = stays.groupBy(*keys).agg(F.count(F.lit(1)).alias("_cnt"))
-    heavy_keys = sizes.where(F.col("_cnt") > light_max).select(*keys, F.lit(True).alias("_heavy"))
-    s = stays.select(*keys, F.col(s_ci).alias("_sci"), F.col(s_co).alias("_sco")).join(heavy_keys, keys, "left")
-    r = requests.select(rid, *keys, ci, co).join(heavy_keys, keys, "left")
-    light_s, heavy_s = s.where(F.col("_heavy").isNull()), s.where(F.col("_heavy"))
-    light_r, heavy_r = r.where(F.col("_heavy").isNull()), r.where(F.col("_heavy"))
-    hit = (F.col("_sci") < F.col(co)) & (F.col("_sco") > F.col(ci))
-    direct = (light_r.drop("_heavy").join(light_s.drop("_heavy"), keys, "left")
-              .groupBy(rid).agg(F.count(F.when(hit, F.lit(1))).cast("bigint").alias(out)))
-    prefix = _overlap_count_prefix(heavy_s.drop("_heavy"), heavy_r.drop("_heavy"), keys, rid, ci, co,
-                                   "_sci", "_sco", calendar_keys, out)
-    return direct.unionByName(prefix)
+    co > ci. One path for every key: cumulative counts over day summaries, so
+    no key, however hot, produces pairs."""
+    return _overlap_count_prefix(stays, requests, list(keys), rid, ci, co, s_ci or ci, s_co or co, calendar_keys, out)
 
 
 def _overlap_count_prefix(stays: DataFrame, requests: DataFrame, keys: list, rid: str, ci: str, co: str,

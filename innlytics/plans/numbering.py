@@ -64,19 +64,9 @@ def new_ids(df: DataFrame, order: str, starts: dict[str, Column], ranges: int |
     return out.drop("_rng", "_local", "_off")
 
 
-def top_k(df: DataFrame, group_cols: Sequence[str], order_cols: Sequence[Column], k: int,
-          salt_cols: Sequence[str], salts: int = 16) -> DataFrame:
-    """Top ``k`` rows per group under ``order_cols`` (a total order).
-
-    Stage 1 keeps the top k of each (group, salt) slice, so a hot group is cut
-    into ``salts`` parallel windows; stage 2 ranks the at most k*salts
-    survivors of each group. The salt is a hash of ``salt_cols``, so it is a
-    deterministic function of the row (safe under task retries).
-    """
-    group_cols = list(group_cols)
-    salt = F.pmod(F.hash(*[F.col(c) for c in salt_cols]), F.lit(salts))
-    w1 = Window.partitionBy(*group_cols, "_salt").orderBy(*order_cols)
-    w2 = Window.partitionBy(*group_cols).orderBy(*order_cols)
-    stage1 = (df.withColumn("_salt", salt).withColumn("_r", F.row_number().over(w1))
-              .where(F.col("_r") <= k).drop("_r", "_salt"))
-    return stage1.withColumn("_r", F.row_number().over(w2)).where(F.col("_r") <= k).drop("_r")
+def top_k(df: DataFrame, group_cols: Sequence[str], order_cols: Sequence[Column], k: int) -> DataFrame:
+    """Top ``k`` rows per group under ``order_cols`` (a total order). The filter
+    on ``row_number`` becomes a partial window group limit below the shuffle,
+    so at most ``k`` rows a group leave each partition."""
+    w = Window.partitionBy(*group_cols).orderBy(*order_cols)
+    return df.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k).drop("_r")

@@ -72,16 +72,19 @@ def test_b3_matches_brute_force(spark, seed):
         assert got[rid] == want, (rid, room, ci, co)
 
 
-@pytest.mark.parametrize("light_max", [0, 8, 1000])
-def test_b3_light_and_hot_rooms_agree(spark, light_max):
-    # 0: every room by prefix counts; 8: mixed; 1000: every room by equi-join
+def test_b2_b3_long_requests(spark):
+    # requests over hundreds of nights: one row a night, no day pairs
     t, kamar, res, stays = _random_book(spark, 21, n_rooms=4, n_stays=80)
-    req = _requests(random.Random(21), 50, 4, invalid=False)
+    req = [(f"q{i}", 1 + i % 2, BASE - dt.timedelta(days=100 + i), BASE + dt.timedelta(days=700 - i)) for i in range(6)]
     df = spark.createDataFrame(req, "request_id string, kamar_id long, tanggal_checkin date, tanggal_checkout date")
-    got = dict(rows(B.booking_conflicts(t, df, light_max=light_max), "request_id", "jumlah_konflik"))
+    got = dict(rows(B.booking_conflicts(t, df), "request_id", "jumlah_konflik"))
+    free = dict(rows(B.available_rooms(t, df.withColumnRenamed("kamar_id", "tipe_id")), "request_id", "tersedia"))
     act = _active(res, stays)
-    for rid, room, ci, co in req:
-        assert got[rid] == sum(1 for s in act if s[2] == room and s[3] < co and s[4] > ci), (rid, light_max)
+    for rid, key, ci, co in req:
+        hit = [s for s in act if s[3] < co and s[4] > ci]
+        assert got[rid] == sum(1 for s in hit if s[2] == key)
+        busy = {s[2] for s in hit}
+        assert free[rid] == sum(1 for k in kamar if k[2] == key and k[3] == 1 and k[0] not in busy)
 
 
 @pytest.mark.parametrize("seed,null_rooms", [(4, 0), (5, 2), (6, 0)])
