@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from innlytics.plans.checkpoint import persist_table
+from innlytics.plans.checkpoint import cut, drop
 from innlytics.session import checkpoint_dir
 
-# Words are runs of anything but ASCII white space; ``bytes.split()`` splits
-# exactly there (space, \t, \n, \v, \f, \r), so byte strings are used.
-WORD_GAP = r"[\x20\x09-\x0D]+"
+__all__ = ["cut", "drop", "fresh", "mix64", "new_path", "read", "shingles", "small_batches", "text_bytes", "word_hashes"]
+
+# Words are runs of anything but ASCII white space. ``bytes.split()`` splits
+# exactly there (space, \t, \n, \v, \f, \r), so texts are handled as bytes.
 
 # Rows per Arrow batch: a batch of documents stays a few MB on average and,
 # with texts of 100 KB, still far below a worker's memory.
@@ -24,27 +27,8 @@ def small_batches(spark: SparkSession) -> None:
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared checkpoint folder; it goes when the JVM ends."""
-    import uuid
-    path = f"{checkpoint_dir(spark).rstrip('/')}/llm/{name}-{uuid.uuid4().hex}"
-    jvm = spark.sparkContext._jvm
-    hpath = jvm.org.apache.hadoop.fs.Path(path)
-    hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hpath)
-    return path
-
-
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once as a table in the shared folder and read it back."""
-    return persist_table(df, name, new_path(df.sparkSession, name))
-
-
-def drop(df: DataFrame) -> None:
-    """Delete the files of a table made by ``cut`` that no later step reads."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    for d in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        hpath = jvm.org.apache.hadoop.fs.Path(d)
-        hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hpath, True)
+    """A fresh path in the shared checkpoint folder."""
+    return f"{checkpoint_dir(spark).rstrip('/')}/tables/{name}-{uuid.uuid4().hex}"
 
 
 def text_bytes(col: str = "text") -> Column:
