@@ -124,11 +124,50 @@ def _rows(docs: DataFrame) -> DataFrame:
 KEY = ["id", "tag"]
 
 
+class Columns:
+    """Gathers equally long pieces of columns; one frame for a whole batch."""
+
+    def __init__(self, *names: str):
+        self.parts = {n: [] for n in names}
+
+    def add(self, rows: int, /, **cols) -> None:
+        if rows:
+            for name, parts in self.parts.items():
+                x = cols[name]
+                parts.append(x if isinstance(x, np.ndarray) else np.full(rows, x))
+
+    def frame(self) -> pd.DataFrame | None:
+        if not next(iter(self.parts.values())):
+            return None
+        return pd.DataFrame({n: np.concatenate(x) for n, x in self.parts.items()})
+
+
+def _progressions(pos: np.ndarray, *keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Text with a period samples the same tuple once a period. Runs of equal
+    keys at equal steps become one row: (index of the first, step, length)."""
+    m = len(pos)
+    if m < 2:
+        return np.arange(m), np.zeros(m, np.int64), np.ones(m, np.int64)
+    gap = np.diff(pos)
+    equal = np.logical_and.reduce([k[1:] == k[:-1] for k in keys])
+    goes_on = equal.copy()
+    goes_on[1:] &= ~equal[:-1] | (gap[1:] == gap[:-1])
+    first = np.flatnonzero(np.r_[True, ~goes_on])
+    n = np.diff(np.r_[first, m])
+    return first, np.where(n > 1, gap[np.minimum(first, m - 2)], 0), n
+
+
+def _spread(pos: np.ndarray, step: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Positions of all members of progressions, and each one's place in its."""
+    inside = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    return np.repeat(pos, n) + np.repeat(step, n) * inside, inside
+
+
 def _first_sample(rows: DataFrame, k: int) -> DataFrame:
-    """(name, id, tag, pos) of the sampled tuples of every whole text."""
+    """(name, id, tag, pos, step, n) of the sampled tuples of every whole text."""
     def step(batches):
         for pdf in batches:
-            out = []
+            out = Columns("name", "id", "tag", "pos", "step", "n")
             for i, tag, b in zip(pdf["id"], pdf["tag"], pdf["b"]):
                 for base in range(0, max(1, len(b) - LENGTH + 1), SLAB):
                     slab = b[base:base + SLAB + LENGTH - 1]
@@ -137,11 +176,12 @@ def _first_sample(rows: DataFrame, k: int) -> DataFrame:
                     at = np.arange(len(slab) - k + 1)
                     h = Names(slab).of(at, at + k)
                     p = sampled(h, LENGTH - k + 1)
-                    out.append(pd.DataFrame({"name": h[p].view(np.int64), "id": i, "tag": tag, "pos": p + base}))
-            if out:
-                yield pd.concat(out, ignore_index=True)
+                    first, gap, n = _progressions(p, h[p])
+                    out.add(len(first), name=h[p[first]].view(np.int64), id=i, tag=tag, pos=p[first] + base, step=gap, n=n)
+            if (frame := out.frame()) is not None:
+                yield frame
 
-    return rows.mapInPandas(step, "name long, id long, tag long, pos long")
+    return rows.mapInPandas(step, "name long, id long, tag long, pos long, step long, n long")
 
 
 REGION = "id long, tag long, base long, b binary, state binary, lo long, hi long"
@@ -176,14 +216,15 @@ def _frame(rows: list) -> pd.DataFrame:
 def _first_regions(rows: DataFrame, k: int) -> DataFrame:
     """Stretches of starts whose string holds a tuple named elsewhere too."""
     names = cut(_first_sample(rows, k), "suffix-names")
-    again = names.groupBy("name").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("name")
-    held = names.join(again, "name", "left_semi").groupBy(*KEY).agg(F.collect_list("pos").alias("pos"))
+    again = cut(names.groupBy("name").agg(F.sum("n").alias("n")).where("n > 1").select("name"), "suffix-again")
+    held = names.join(again, "name", "left_semi").groupBy(*KEY).agg(F.collect_list(F.struct("pos", "step", "n")).alias("hits"))
+    held = held.select(*KEY, "hits.pos", "hits.step", "hits.n")
 
     def step(batches):
         for pdf in batches:
             out = []
-            for i, tag, b, pos in zip(pdf["id"], pdf["tag"], pdf["b"], pdf["pos"]):
-                p = np.asarray(pos, np.int64)
+            for i, tag, b, pos, gap, count in zip(pdf["id"], pdf["tag"], pdf["b"], pdf["pos"], pdf["step"], pdf["n"]):
+                p, _ = _spread(*(np.asarray(x, np.int64) for x in (pos, gap, count)))
                 n = len(b) - LENGTH + 1
                 near = _cover(np.stack([p - (LENGTH - k), p + 1], axis=1), n)
                 out += _regions(i, tag, 0, b, near.astype(np.int8))
@@ -192,17 +233,19 @@ def _first_regions(rows: DataFrame, k: int) -> DataFrame:
 
     found = cut(rows.join(held, KEY).mapInPandas(step, REGION), "suffix-regions")
     drop(names)
+    drop(again)
     return found
 
 
 def _sample(regions: DataFrame, k: int) -> DataFrame:
     """Sampled tuples near starts that go on. (name; k1, k2: the string from
-    here to LENGTH - 1 beyond the next sampled position, if next >= 0)"""
+    here to LENGTH - 1 beyond the next sampled position, if next >= 0; step
+    and n as in ``_progressions``)"""
     w = LENGTH - k + 1
 
     def step(batches):
         for pdf in batches:
-            out = []
+            out = Columns("name", "k1", "k2", "id", "tag", "base", "pos", "next", "step", "n", "open")
             for i, tag, base, b, state in zip(pdf["id"], pdf["tag"], pdf["base"], pdf["b"], pdf["state"]):
                 n = len(b) - LENGTH + 1
                 status = _status(state, n)
@@ -212,17 +255,21 @@ def _sample(regions: DataFrame, k: int) -> DataFrame:
                 p = sampled(h, w)
                 undecided = np.r_[0, np.cumsum(status == 1)]
                 lo, hi = np.clip(p - w + 1, 0, n), np.clip(p + 1, 0, n)
+                is_open = undecided[hi] > undecided[lo]
                 nxt = np.r_[p[1:], -1]
                 nxt[nxt + LENGTH - 1 > len(b)] = -1
                 end = np.where(nxt >= 0, nxt + LENGTH - 1, p)
-                out.append(pd.DataFrame({
-                    "name": h[p].view(np.int64), "k1": a.of(p, end).view(np.int64), "k2": c.of(p, end).view(np.int64),
-                    "id": i, "tag": tag, "base": base, "pos": p, "next": nxt, "open": undecided[hi] > undecided[lo]}))
-            if out:
-                yield pd.concat(out, ignore_index=True)
+                k1, k2, name = a.of(p, end), c.of(p, end), h[p]
+                first, gap, m = _progressions(p, name, k1, k2, is_open)
+                out.add(len(first), name=name[first].view(np.int64), k1=k1[first].view(np.int64),
+                        k2=k2[first].view(np.int64), id=i, tag=tag, base=base, pos=p[first], next=nxt[first], step=gap,
+                        n=m, open=is_open[first])
+            if (frame := out.frame()) is not None:
+                yield frame
 
     return regions.select(*KEY, "base", "b", "state").mapInPandas(
-        step, "name long, k1 long, k2 long, id long, tag long, base long, pos long, next long, open boolean")
+        step, "name long, k1 long, k2 long, id long, tag long, base long, pos long, next long, step long, n long, "
+              "open boolean")
 
 
 def _level(regions: DataFrame, k: int) -> DataFrame:
@@ -230,21 +277,20 @@ def _level(regions: DataFrame, k: int) -> DataFrame:
     the others are the regions that go on."""
     w = LENGTH - k + 1
     names = cut(_sample(regions, k), "suffix-names")
-    live = (names.groupBy("name").agg(F.count(F.lit(1)).alias("n"), F.max("open").alias("o"))
-            .where("n > 1 AND o").select("name", F.lit(True).alias("live")))
-    whole = (names.where("next >= 0").groupBy("k1", "k2")
-             .agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "tag", (F.col("base") + F.col("pos")).alias("at"))).alias("first"))
-             .where("n > 1").select("k1", "k2", "first"))
+    # as tables of their own, so that the join of a hot name can be split
+    live = cut(names.groupBy("name").agg(F.sum("n").alias("n"), F.max("open").alias("o"))
+               .where("n > 1 AND o").select("name", F.lit(True).alias("live")), "suffix-live")
     mine = F.struct("id", "tag", (F.col("base") + F.col("pos")).alias("at"))
+    whole = cut(names.where("next >= 0").groupBy("k1", "k2").agg(F.sum("n").alias("n"), F.min(mine).alias("first"))
+                .where("n > 1").select("k1", "k2", "first"), "suffix-whole")
+    flags = ["pos", "next", "step", "n", "live", "same", "holder"]
     marked = (names.join(live, "name", "left").join(whole, ["k1", "k2"], "left")
-              .select(*KEY, "base", "pos", "next", F.coalesce("live", F.lit(False)).alias("live"),
-                      (F.col("first").isNotNull() & (F.col("next") >= 0)).alias("same"),
-                      F.coalesce(F.col("first") == mine, F.lit(False)).alias("holder"))
-              .where("live OR same"))
-    held = marked.groupBy(*KEY, "base").agg(F.collect_list(F.struct(
-        "pos", "next", F.col("live").cast("long").alias("live"), F.col("same").cast("long").alias("same"),
-        F.col("holder").cast("long").alias("holder"))).alias("hits"))
-    held = held.select(*KEY, "base", *[F.col(f"hits.{c}").alias(c) for c in ("pos", "next", "live", "same", "holder")])
+              .select(*KEY, "base", "pos", "next", "step", "n", F.coalesce("live", F.lit(False)).cast("long").alias("live"),
+                      (F.col("first").isNotNull() & (F.col("next") >= 0)).cast("long").alias("same"),
+                      F.coalesce(F.col("first") == mine, F.lit(False)).cast("long").alias("holder"))
+              .where("live = 1 OR same = 1"))
+    held = marked.groupBy(*KEY, "base").agg(F.collect_list(F.struct(*flags)).alias("hits"))
+    held = held.select(*KEY, "base", *[F.col(f"hits.{c}").alias(c) for c in flags])
 
     def step(batches):
         for pdf in batches:
@@ -252,10 +298,14 @@ def _level(regions: DataFrame, k: int) -> DataFrame:
             for r in pdf.itertuples(index=False):
                 n = len(r.b) - LENGTH + 1
                 status = _status(r.state, n)
-                pos, nxt = np.asarray(r.pos, np.int64), np.asarray(r.next, np.int64)
-                live, same, holder = (np.asarray(x, bool) for x in (r.live, r.same, r.holder))
+                first, nxt, gap, m, live, same, holder = (
+                    np.asarray(x, np.int64) for x in (r.pos, r.next, r.step, r.n, r.live, r.same, r.holder))
+                pos, inside = _spread(first, gap, m)
+                length = np.repeat(nxt - first, m)
+                live, same = np.repeat(live, m) == 1, np.repeat(same, m) == 1
+                holder = (np.repeat(holder, m) == 1) & (inside == 0)  # one of equal strings stays as a partner
                 stays = _cover(np.stack([pos[live] - w + 1, pos[live] + 1], axis=1), n)
-                seg = np.stack([pos, nxt], axis=1)
+                seg = np.stack([pos, pos + length], axis=1)
                 repeat = _cover(seg[same], n) & (status > 0)
                 partner = _cover(seg[same & holder], n)
                 out += [(r.id, r.tag, None, None, None, r.base + lo, r.base + hi)
@@ -268,29 +318,41 @@ def _level(regions: DataFrame, k: int) -> DataFrame:
 
     found = cut(regions.select(*KEY, "base", "b", "state").join(held, [*KEY, "base"]).mapInPandas(step, REGION),
                 "suffix-level")
-    drop(names)
+    for done in (names, live, whole):
+        drop(done)
     return found
 
 
 def _last_level(regions: DataFrame) -> DataFrame:
-    """(id, tag, lo, hi): undecided starts whose whole string occurs again."""
+    """(id, tag, lo, hi): undecided starts whose whole string occurs again.
+    Strings that occur twice inside one region are decided there; to the
+    others they are partners, one row each."""
     def step(batches):
         for pdf in batches:
-            out = []
+            out = Columns("k1", "k2", "id", "tag", "lo", "hi", "n", "open", "done")
             for i, tag, base, b, state in zip(pdf["id"], pdf["tag"], pdf["base"], pdf["b"], pdf["state"]):
                 status = _status(state, len(b) - LENGTH + 1)
                 s = np.flatnonzero(status > 0)
-                out.append(pd.DataFrame({
-                    "k1": Names(b).of(s, s + LENGTH).view(np.int64), "k2": Names(b, 1).of(s, s + LENGTH).view(np.int64),
-                    "id": i, "tag": tag, "lo": s + base, "open": status[s] == 1}))
-            if out:
-                yield pd.concat(out, ignore_index=True)
+                x = Names(b).of(s, s + LENGTH)
+                _, first, at, n = np.unique(x, return_index=True, return_inverse=True, return_counts=True)
+                y = Names(b, 1).of(s, s + LENGTH)
+                is_open = status[s] == 1
+                out.add(len(first), k1=x[first].view(np.int64), k2=y[first].view(np.int64), id=i, tag=tag, lo=s[first] + base,
+                        hi=s[first] + base + 1, n=n, open=is_open[first] & (n == 1), done=False)
+                twice = np.zeros(len(status), bool)
+                twice[s] = is_open & (n[at] > 1) & (y == y[first][at])
+                runs = _runs(twice)
+                out.add(len(runs), k1=0, k2=0, id=i, tag=tag, lo=runs[:, 0] + base, hi=runs[:, 1] + base, n=0,
+                        open=False, done=True)
+            if (frame := out.frame()) is not None:
+                yield frame
 
     names = cut(regions.select(*KEY, "base", "b", "state").mapInPandas(
-        step, "k1 long, k2 long, id long, tag long, lo long, open boolean"), "suffix-names")
-    again = (names.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("n"), F.max("open").alias("o"))
-             .where("n > 1 AND o").select("k1", "k2"))
-    return names.where("open").join(again, ["k1", "k2"], "left_semi").select(*KEY, "lo", (F.col("lo") + 1).alias("hi"))
+        step, "k1 long, k2 long, id long, tag long, lo long, hi long, n long, open boolean, done boolean"), "suffix-names")
+    again = cut(names.where("NOT done").groupBy("k1", "k2").agg(F.sum("n").alias("n"), F.max("open").alias("o"))
+                .where("n > 1 AND o").select("k1", "k2"), "suffix-again")
+    return names.where("open").join(again, ["k1", "k2"], "left_semi").select(*KEY, "lo", "hi").union(
+        names.where("done").select(*KEY, "lo", "hi"))
 
 
 def repeated_starts(docs: DataFrame) -> DataFrame:
