@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 
 import numpy as np
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 from innlytics.plans.checkpoint import cut, drop
 from innlytics.session import checkpoint_dir
 
-__all__ = ["cut", "drop", "fresh", "mix64", "new_path", "read", "shingles", "small_batches", "text_bytes", "word_hashes"]
+__all__ = ["cut", "drop", "fresh", "mix64", "new_path", "read", "release", "shingles", "small_batches", "text_bytes", "word_hashes"]
 
 # Words are runs of anything but ASCII white space. ``bytes.split()`` splits
 # exactly there (space, \t, \n, \v, \f, \r), so texts are handled as bytes.
@@ -26,6 +27,13 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of finished steps now: it does so when
+    the driver's JVM collects their handles, which may be much later."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     """A fresh path in the shared checkpoint folder."""
     return f"{checkpoint_dir(spark).rstrip('/')}/tables/{name}-{uuid.uuid4().hex}"

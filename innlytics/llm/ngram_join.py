@@ -17,11 +17,20 @@ the domain. Leaving shingles out never adds differences, so the guarantee
 stays; a set that keeps too few partitions also emits signatures over the
 whole domain, and if even those are too few, one for each shingle.
 
-Links without all pairs: documents with the same shingle set count as one.
-Of the sets that share a signature only the pairs with its smallest member
-(the hub) are checked at first. Where all of them link, the signature is done.
-Where a pair fails, the members of that signature that are not yet in one
-component are compared with each other. Every check is exact, on whole sets.
+A linked pair agrees on at least (non-empty partitions - possible
+differences) signatures of a scheme, often dozens. Once the frequency of each
+signature is known, a document therefore leaves its most frequent ones out,
+one less than that number: ordered by frequency, the rarest signature that two
+linked documents share stays in both. Shared passages disappear by this.
+
+Links without all pairs: documents with the same shingle set count as one. Of
+the sets that share a signature only pairs with its smallest member (the hub)
+are checked, each document first with the hub it shares most with, then with
+the hubs of other components. Where a family (documents connected by kept
+signatures) still has more than one component, its documents outside the
+largest component are compared with the family in blocks, inside tasks; only
+one link between two components leaves a task. Every check is exact, on whole
+sets, and no pair that could link is skipped.
 
 Scale: signatures travel packed, bucketed by hash; a chunk of documents sends
 a signature once (its other members are attached to the chunk's hub at once),
@@ -37,10 +46,10 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from innlytics.llm.common import cut, drop, mix64, shingles, small_batches, text_bytes
+from innlytics.llm.common import cut, drop, mix64, release, shingles, small_batches, text_bytes
 from innlytics.plans.components import components
 
 BAND_RATIO = 1.7
@@ -51,6 +60,8 @@ SIGS_PER_BUCKET = 500_000
 MIN_BUCKETS = 256
 CHUNK_SIGS = 400_000
 BROADCAST_ROWS = 200_000
+BLOCK = 64  # documents on one side of a block comparison
+CODE = np.uint64(0xFF)  # the low byte of a signature tells band and scheme
 
 
 def band_edges(limit: int = 1 << 40) -> list[int]:
@@ -64,21 +75,26 @@ EDGES = np.array(band_edges(), np.int64)
 _SCHEME = 0xA24BAED4963EE407
 
 
-def _partitions(s: np.ndarray, n_parts: int, salt: int) -> np.ndarray:
+def _coded(x: np.ndarray, code: int) -> np.ndarray:
+    return (mix64(x + np.uint64((code + 1) * _SCHEME % (1 << 64))) & ~CODE) | np.uint64(code)
+
+
+def _partitions(s: np.ndarray, n_parts: int, code: int) -> np.ndarray:
     """A signature for each non-empty partition of the sets' domain."""
     part = ((s >> np.uint64(20)) % np.uint64(n_parts)).astype(np.int64)
     order = np.argsort(part, kind="stable")
     p = part[order]
     first = np.flatnonzero(np.r_[True, p[1:] != p[:-1]])
     total = np.add.reduceat(mix64(s[order]), first)
-    return mix64(total + mix64(p[first].astype(np.uint64) + np.uint64(salt * _SCHEME % (1 << 64))))
+    return _coded(total + mix64(p[first].astype(np.uint64)), code)
 
 
-def signatures(s: np.ndarray, common: np.ndarray) -> np.ndarray:
-    """All signatures of a set of shingle hashes."""
+def schemes(s: np.ndarray, common: np.ndarray) -> list[tuple[int, np.ndarray, int]]:
+    """(code, signatures, least number that a linked partner shares) of each
+    scheme a set of shingle hashes takes part in."""
     n, out = len(s), []
     if not n:
-        return np.empty(0, np.uint64)
+        return out
     rare = s
     if len(common):
         at = np.minimum(np.searchsorted(common, s), len(common) - 1)
@@ -90,14 +106,19 @@ def signatures(s: np.ndarray, common: np.ndarray) -> np.ndarray:
             break
         k = (n + min(n * 5 // 4, high - 1)) // 9  # most differences from a partner in this band
         n_parts = -(-high // 4) + 2
-        got = _partitions(rare, n_parts, 4 * band) if len(rare) else np.empty(0, np.uint64)
-        out.append(got)
+        got = _partitions(rare, n_parts, 3 * band) if len(rare) else np.empty(0, np.uint64)
+        out.append((3 * band, got, max(1, len(got) - k)))
         if len(got) <= k:
-            whole = _partitions(s, n_parts, 4 * band + 1)
-            out.append(whole)
+            whole = _partitions(s, n_parts, 3 * band + 1)
+            out.append((3 * band + 1, whole, max(1, len(whole) - k)))
             if len(whole) <= k:
-                out.append(mix64(s + np.uint64((4 * band + 2) * _SCHEME % (1 << 64))))
-    return np.concatenate(out)
+                out.append((3 * band + 2, _coded(s, 3 * band + 2), max(1, n - k)))
+    return out
+
+
+def signatures(s: np.ndarray, common: np.ndarray) -> np.ndarray:
+    """All signatures of a set of shingle hashes."""
+    return np.concatenate([np.empty(0, np.uint64), *[got for _, got, _ in schemes(s, common)]])
 
 
 def shingle_set(b: bytes) -> np.ndarray:
@@ -218,58 +239,141 @@ def _bounded(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
 
 
-def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(a, b, ok): the exact test of each pair on the whole shingle sets."""
-    ids = cut(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "pair-ids")
-
-    def sets(batches):
+def shared_at_least(docs: DataFrame, ids: DataFrame, common: np.ndarray) -> DataFrame:
+    """(node, code, least): schemes of the given documents in which a linked
+    partner shares more than one signature, and how many it shares."""
+    def step(batches):
         for pdf in batches:
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "s": [shingle_set(b).tobytes() for b in pdf["b"]]})
+            rows = [(d, code, least) for d, b in zip(pdf["doc_id"], pdf["b"])
+                    for code, _, least in schemes(shingle_set(b), common) if least > 1]
+            yield pd.DataFrame(rows, columns=["node", "code", "least"]).astype("int64")
 
-    held = cut(_texts(docs).join(_bounded(ids), "doc_id", "left_semi").mapInPandas(sets, "doc_id long, s binary"),
-               "pair-sets")
+    return (_texts(docs).join(_bounded(ids), "doc_id", "left_semi")
+            .mapInPandas(step, "node long, code long, least long")
+            .groupBy("node", "code").agg(F.min("least").alias("least")))
+
+
+def rare_members(members: DataFrame, least: DataFrame) -> DataFrame:
+    """(sig, node) without the least - 1 most frequent signatures of each
+    document and scheme, and without signatures that one document is left with."""
+    seen = cut(members.groupBy("sig").agg(F.count(F.lit(1)).alias("f")), "sig-counts")
+    order = Window.partitionBy("node", "code").orderBy(F.desc("f"), "sig")
+    ranked = (members.withColumn("code", F.col("sig").bitwiseAND(0xFF)).join(seen, "sig")
+              .withColumn("rank", F.row_number().over(order)).join(least, ["node", "code"], "left"))
+    return cut(ranked.where(F.col("rank") >= F.coalesce("least", F.lit(1))).select("sig", "node"), "members")
+
+
+def hub_pairs(members: DataFrame) -> DataFrame:
+    """(a, b, shared): pairs of a signature's smallest document and another
+    one, with the number of signatures for which they are such a pair."""
+    hubs = cut(members.groupBy("sig").agg(F.min("node").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1")
+               .select("sig", "a"), "hubs")
+    return cut(members.join(hubs, "sig").where("node <> a").groupBy("a", F.col("node").alias("b"))
+               .agg(F.count(F.lit(1)).alias("shared")), "hub-pairs")
+
+
+def links(x: np.ndarray, y: np.ndarray) -> bool:
+    """The exact test of two shingle sets (sorted distinct hashes)."""
+    if not len(x) or not len(y) or 5 * min(len(x), len(y)) < 4 * max(len(x), len(y)):
+        return False
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return 100 * both >= 80 * (len(x) + len(y) - both)
 
+
+def verified(sets: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(a, b, ok): the exact test of each pair on the whole shingle sets."""
     def test(batches):
         for pdf in batches:
-            ok = []
-            for x, y in zip(pdf["sa"], pdf["sb"]):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                if 5 * min(len(x), len(y)) < 4 * max(len(x), len(y)):
-                    ok.append(False)
-                    continue
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                ok.append(100 * both >= 80 * (len(x) + len(y) - both) and both > 0)
-            yield pdf[["a", "b"]].assign(ok=ok)
-
-    with_b = pairs.join(held.select(F.col("doc_id").alias("b"), F.col("s").alias("sb")), "b")
-    with_a = with_b.join(held.select(F.col("doc_id").alias("a"), F.col("s").alias("sa")), "a")
-    out = cut(with_a.select("a", "b", "sa", "sb").mapInPandas(test, "a long, b long, ok boolean")
-              .groupBy("a", "b").agg(F.max("ok").alias("ok")), "pairs-tested")
-    drop(held)
+            yield pdf[["a", "b"]].assign(ok=[links(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64))
+                                             for x, y in zip(pdf["sa"], pdf["sb"])])
+
+    with_b = pairs.select("a", "b").join(sets.select(F.col("doc_id").alias("b"), F.col("s").alias("sb")), "b")
+    with_a = with_b.join(sets.select(F.col("doc_id").alias("a"), F.col("s").alias("sa")), "a")
+    return cut(with_a.select("a", "b", "sa", "sb").mapInPandas(test, "a long, b long, ok boolean")
+               .groupBy("a", "b").agg(F.max("ok").alias("ok")), "pairs-tested")
+
+
+def _across(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """The pairs whose documents are not yet in one component."""
+    at = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root"))
+    return (pairs.join(at("a"), "a", "left").join(at("b"), "b", "left")
+            .where(F.coalesce("a_root", "a") != F.coalesce("b_root", "b")).select(*pairs.columns))
+
+
+def block_links(left: list, right: list, left_root, right_root) -> list[tuple[int, int]]:
+    """Index pairs (one for each pair of components) of linked sets."""
+    n = len(left)
+    sets = left + right
+    size = np.array([len(x) for x in sets])
+    values, at, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(len(sets)), size)
+    column = np.cumsum(count > 1) - 1
+    keep = count[at] > 1
+    row, col = row[keep], column[at[keep]]
+    both = np.zeros((n, len(right)), np.float32)
+    order = np.argsort(col, kind="stable")
+    row, col = row[order], col[order]
+    step = 8192  # shingles at once: a bounded matrix
+    for first in range(0, int(col[-1]) + 1 if len(col) else 0, step):
+        i, j = np.searchsorted(col, [first, first + step])
+        m = np.zeros((len(sets), step), np.float32)
+        m[row[i:j], col[i:j] - first] = 1
+        both += m[:n] @ m[n:].T
+    union = size[:n, None] + size[None, n:] - both
+    out, seen = [], set()
+    for i, j in zip(*np.nonzero((100 * both >= 80 * union) & (both > 0))):
+        key = (left_root[i], right_root[j])
+        if key[0] != key[1] and key not in seen:
+            seen.add(key)
+            out.append((int(i), int(j)))
     return out
 
 
-def _rest(links: DataFrame, tested: DataFrame, roots: DataFrame, meta: DataFrame) -> DataFrame:
-    """Pairs left to test: documents of different components that share a
-    signature in which some pair with the hub failed."""
-    failed = tested.where("NOT ok").select("a", "b")
-    bad = links.join(failed, ["a", "b"]).select("sig").distinct()
-    held = links.join(bad, "sig", "left_semi")
-    members = cut(held.select("sig", F.col("a").alias("node")).union(held.select("sig", "b")).distinct()
-                  .join(roots, "node", "left").select("sig", "node", F.coalesce("root", "node").alias("root")), "open")
-    # signatures with the same members are one; those of one component are done
-    same = members.groupBy("sig").agg(F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("mark"),
-                                      F.count(F.lit(1)).alias("n"), F.min("root").alias("r0"), F.max("root").alias("r1"))
-    one = same.where("r0 <> r1").groupBy("mark", "n").agg(F.min("sig").alias("sig")).select("sig")
-    size = meta.groupBy(F.col("doc_id").alias("node")).agg(F.max("n_shingles").alias("hi"),
-                                                           F.min("n_shingles").alias("lo"))
-    open_ = cut(members.join(one, "sig", "left_semi").join(size, "node"), "open")
-    x = open_.select("sig", *[F.col(c).alias(f"{c}_a") for c in ("node", "root", "lo", "hi")])
-    y = open_.select("sig", *[F.col(c).alias(f"{c}_b") for c in ("node", "root", "lo", "hi")])
-    close = (F.col("node_a") < F.col("node_b")) & (F.col("root_a") != F.col("root_b")) & (
-        5 * F.col("hi_b") >= 4 * F.col("lo_a")) & (5 * F.col("hi_a") >= 4 * F.col("lo_b"))
-    pairs = x.join(y, "sig").where(close).select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
-    return pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti")
+def family_links(members: DataFrame, pairs: DataFrame, roots: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b): links between different components of a family, found by
+    comparing the documents outside its largest component with all of it, in
+    blocks. A document is sent once for each block it meets."""
+    family = components(pairs).withColumnRenamed("root", "fam")
+    at = family.join(roots, "node", "left").select("fam", "node", F.coalesce("root", "node").alias("root"))
+    by_root = cut(at.groupBy("fam", "root").agg(F.count(F.lit(1)).alias("n")), "family-parts")
+    whole = (by_root.groupBy("fam").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.sum("n").alias("n"),
+                                        F.count(F.lit(1)).alias("parts"), F.max("n").alias("largest"))
+             .where("parts > 1").withColumn("rest", F.col("n") - F.col("largest")))
+    whole = cut(whole.select("fam", "main", F.ceil(F.col("rest") / BLOCK).cast("int").alias("rest_blocks"),
+                             F.ceil((F.col("n") - F.col("rest")) / BLOCK).cast("int").alias("main_blocks")), "families")
+    if whole.isEmpty():
+        return pairs.select("a", "b").limit(0)
+    spot = F.xxhash64("node")
+    placed = at.join(whole, "fam").withColumn("is_rest", F.col("root") != F.col("main"))
+    mine = F.pmod(spot, F.when(F.col("is_rest"), F.col("rest_blocks")).otherwise(F.col("main_blocks"))).cast("int")
+    placed = placed.withColumn("mine", mine).join(sets.select(F.col("doc_id").alias("node"), "s"), "node")
+    # blocks of the rest are numbered 0..rest_blocks - 1, those of the main part below zero
+    meets = F.when(F.col("is_rest"), F.concat(
+        F.transform(F.sequence(F.lit(0), F.col("rest_blocks") - 1), lambda k: F.struct(
+            F.least(F.col("mine"), k).alias("x"), F.greatest(F.col("mine"), k).alias("y"), (F.col("mine") <= k).alias("left"))),
+        F.transform(F.sequence(F.lit(1), F.col("main_blocks")), lambda k: F.struct(
+            F.col("mine").alias("x"), (-k).alias("y"), F.lit(True).alias("left")))
+    )).otherwise(F.transform(F.sequence(F.lit(0), F.col("rest_blocks") - 1), lambda k: F.struct(
+        k.alias("x"), (-F.col("mine") - 1).alias("y"), F.lit(False).alias("left"))))
+    sent = placed.select("fam", "node", "root", "s", F.explode(meets).alias("m")).select(
+        "fam", "m.x", "m.y", "m.left", "node", "root", "s")
+
+    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
+        sets_ = [np.frombuffer(x, np.uint64) for x in pdf["s"]]
+        node, root = pdf["node"].to_numpy(), pdf["root"].to_numpy()
+        if pdf["x"].iloc[0] == pdf["y"].iloc[0]:  # a block with itself
+            li = ri = np.arange(len(pdf))
+        else:
+            li, ri = np.flatnonzero(pdf["left"]), np.flatnonzero(~pdf["left"])
+        out = []
+        for i in range(0, len(li), BLOCK):
+            for j in range(0, len(ri), BLOCK):
+                x, y = li[i:i + BLOCK], ri[j:j + BLOCK]
+                out += [(node[x[p]], node[y[q]]) for p, q in block_links(
+                    [sets_[k] for k in x], [sets_[k] for k in y], root[x], root[y])]
+        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+
+    return sent.groupBy("fam", "x", "y").applyInPandas(compare, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -279,8 +383,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     meta = cut(sizes(docs), "set-sizes")
     total = meta.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("n_shingles"), F.lit(0)).alias("s")).first()
     # equal sets are one: the smallest id stands for them
-    equal = (meta.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("digest")
-             .agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("other")).where("rep <> other").select("digest", "rep"))
+    equal = cut(meta.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("digest")
+                .agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("other")).where("rep <> other")
+                .select("digest", "rep"), "equal-sets")
     meta = cut(meta.join(equal, "digest", "left").select(
         "doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("rep")), "sets")
     copies = cut(meta.where("rep <> doc_id").select("doc_id", "rep").distinct(), "set-copies")
@@ -289,23 +394,35 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         n_buckets *= 2
     common = common_shingles(docs, total["n"])
     raw = cut(_hub_links(_packed(docs, common, n_buckets), n_buckets), "hub-links")
-    rep = lambda name: copies.select(F.col("doc_id").alias(name), F.col("rep").alias(f"{name}_rep"))
-    links = cut(raw.join(rep("hub"), "hub", "left").join(rep("doc"), "doc", "left")
-                .withColumns({"x": F.coalesce("hub_rep", "hub"), "y": F.coalesce("doc_rep", "doc")})
-                .where("x <> y").select("sig", F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(),
-                "links")
+    release(spark)
+    held = raw.select("sig", F.col("doc").alias("doc_id")).union(raw.select("sig", "hub"))
+    members = cut(held.join(copies, "doc_id", "left").select("sig", F.coalesce("rep", "doc_id").alias("node")).distinct(),
+                  "members")
     drop(raw)
-    tested = verified(docs, cut(links.select("a", "b").distinct(), "pairs"))
+    ids = cut(members.select(F.col("node").alias("doc_id")).distinct(), "nodes")
+    kept = rare_members(members, cut(shared_at_least(docs, ids, common), "least"))
+    drop(members)
+    pairs = hub_pairs(kept)
+    release(spark)
+    ids = cut(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "nodes")
+
+    def as_sets(batches):
+        for pdf in batches:
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "s": [shingle_set(b).tobytes() for b in pdf["b"]]})
+
+    sets = cut(_texts(docs).join(_bounded(ids), "doc_id", "left_semi").mapInPandas(as_sets, "doc_id long, s binary"),
+               "pair-sets")
+    best = pairs.groupBy("b").agg(F.max_by("a", F.struct("shared", "a")).alias("a")).select("a", "b")
+    tested = verified(sets, best)
     roots = cut(components(tested.where("ok")), "roots")
-    rest = cut(_rest(links, tested, roots, meta), "rest")
-    if not rest.isEmpty():
-        again = verified(docs, rest)
-        roots = cut(components(tested.union(again).where("ok")), "roots")
-    drop(links)
-    # copies and sets of one document: rows that share a doc_id share its links
-    joined = copies.select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).union(
-        roots.select(F.col("node").alias("a"), F.col("root").alias("b")))
-    final = roots if copies.isEmpty() else cut(components(joined), "classes")
+    again = verified(sets, _across(pairs.select("a", "b"), roots).join(tested.select("a", "b"), ["a", "b"], "left_anti"))
+    good = tested.union(again).where("ok").select("a", "b")
+    roots = cut(components(good), "roots")
+    more = cut(family_links(kept, pairs, roots, sets), "family-links")
+    drop(sets)
+    joined = copies.select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).union(good).union(more)
+    final = cut(components(joined), "classes")
+    release(spark)
     return meta.join(final.select(F.col("node").alias("doc_id"), "root"), "doc_id", "left").select(
         "doc_id", "n_shingles", F.coalesce("root", "doc_id").alias("component_id"))
 
