@@ -26,6 +26,7 @@ RULES = (("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/"
          ("net/fr/", "block"))
 BUCKETS = 1024
 SIZES = (3, 4, 5)
+ALLOW_WEIGHT = 3.0
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -59,13 +60,16 @@ def grams() -> Column:
     return F.concat(*parts)
 
 
-def train(labelled: DataFrame, reg: float = 0.01) -> tuple[float, list[float]]:
+def train(labelled: DataFrame, reg: float = 0.01, allow_weight: float = ALLOW_WEIGHT) -> tuple[float, list[float]]:
     """(intercept, weights) of a logistic regression on the share of each
-    bucket among the n-grams of a URL. ``labelled`` is a small table."""
+    bucket among the n-grams of a URL. ``labelled`` is a small table with more
+    blocked rows than the web has: allowed ones weigh ``allow_weight`` times."""
     g = split_url(labelled.select("url", F.col("label").cast("double").alias("label"))).withColumn("g", grams())
     share = F.transform(F.sequence(F.lit(0), F.lit(BUCKETS - 1)),
                         lambda b: F.size(F.filter("g", lambda x: x == b)) * 100.0 / F.size("g"))
-    model = LogisticRegression(regParam=reg, maxIter=50).fit(g.select("label", array_to_vector(share).alias("features")))
+    weight = F.when(F.col("label") == 0, F.lit(allow_weight)).otherwise(F.lit(1.0))
+    model = LogisticRegression(regParam=reg, maxIter=50, weightCol="weight").fit(
+        g.select("label", weight.alias("weight"), array_to_vector(share).alias("features")))
     return float(model.intercept), [float(x) for x in model.coefficients.toArray()]
 
 

@@ -112,5 +112,32 @@ http://blog.theanha.example.net/fr/730
 """
 
 
+PREFIXES = ("", "www.", "blog.", "m.")
+ENDINGS = ("example.com/", "example.net/", "example.org/")
+
+
+# Invented names of ordinary hosts, three syllables each.
+SYLLABLES = ("th er re on an in en tion sh nd st ha he at ea ou ly wh ble ing or nt ed es ti the").split()
+ORDINARY = [f"http://{x}{SYLLABLES[(3 * i + j) % 26]}{SYLLABLES[(7 * i + 5 * j) % 26]}.example.org/"
+            for i, x in enumerate(SYLLABLES) for j in range(2)]
+LANGUAGES = ("en", "fr", "de", "es")
+TAILS = ("", "/", ".html")
+
+
 def rows() -> list[tuple[str, int]]:
-    return [(u, 1) for u in BLOCKED.split()] + [(u, 0) for u in ALLOWED.split()]
+    """Every host under each prefix, with endings, languages and numbers taking
+    turns alike for both labels, so that none of them tells the label. The
+    path that belongs to a host comes once, if it is more than a number."""
+    out = []
+    for label, urls in ((1, BLOCKED.split()), (0, ALLOWED.split() + ORDINARY)):
+        for i, url in enumerate(urls):
+            scheme, rest = url.split("://")
+            for p in PREFIXES[1:]:
+                rest = rest.removeprefix(p)
+            name, path = rest.split("example.")[0], rest.split("/", 1)[1]
+            if path and path.split("/")[0] not in LANGUAGES:
+                out.append((f"{scheme}://{name}{ENDINGS[i % 3]}{path}", label))
+            out += [(f"{scheme}://{p}{name}{ENDINGS[(i + j) % 3]}{LANGUAGES[(i + j + j // 4) % 4]}/{(i * 7 + j * 61) % 1000}"
+                     f"{TAILS[(i + 2 * j) % 3]}", label)
+                    for j, p in enumerate(PREFIXES)]
+    return out
