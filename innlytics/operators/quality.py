@@ -69,9 +69,12 @@ def in_range(df: DataFrame, col: str, lo, hi) -> DataFrame:
     return df.where(F.col(col).isNotNull() & ~F.col(col).between(lo, hi))
 
 
-def orphans(child: DataFrame, fk: str, parent: DataFrame, pk: str) -> DataFrame:
-    """Q5: child rows whose non-NULL foreign key has no parent."""
+def orphans(child: DataFrame, fk: str, parent: DataFrame, pk: str, lookup: bool = False) -> DataFrame:
+    """Q5: child rows whose non-NULL foreign key has no parent. ``lookup``
+    marks a fixed lookup table as parent (broadcast after a size check)."""
     keys = parent.select(F.col(pk).alias("_pk"))
+    if lookup and joins.fits(parent):
+        keys = F.broadcast(keys)
     return child.where(F.col(fk).isNotNull()).join(keys, F.col(fk) == F.col("_pk"), "left_anti")
 
 
