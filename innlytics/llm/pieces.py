@@ -2,11 +2,12 @@
 
 When no piece of a model crosses a white-space marker (has a marker after
 another character), the segmentation of a text is that of its chunks, each a
-run of markers with the characters up to the next run. The words of a text
-repeat, so each distinct marked word is segmented once for a table of chunks,
-and the ids are joined back by position. A model with a crossing piece, or
-one that changes texts before encoding, is detected when it is loaded and
-encodes whole texts.
+run of markers with the characters up to the next run. The same holds between
+a letter and a punctuation mark that stand side by side in no piece, so marked
+words are split from such marks too. Words repeat, so each distinct chunk is
+segmented once for a table of chunks, and the ids are joined back by position.
+A model with a piece that crosses markers, or one that changes texts before
+encoding, is detected when it is loaded and encodes whole texts.
 
 The chunk table lives in the Python worker and is bounded (two generations of
 ``TABLE_SIZE`` chunks: when the young one is full it becomes the old one), so
@@ -23,7 +24,9 @@ from __future__ import annotations
 
 import hashlib
 import re
+import string
 from array import array
+from operator import itemgetter
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -32,7 +35,8 @@ from pyspark.sql import functions as F
 from innlytics.llm.common import small_batches, text_bytes
 
 MARKER = "▁"
-TABLE_SIZE = 300_000
+LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
+TABLE_SIZE = 400_000
 LONG_CHUNK = 64
 _LOADED: dict[str, ChunkTable] = {}
 
@@ -50,22 +54,31 @@ class ChunkTable:
         unchanged = self.sp.decode(self.sp.encode(probe)) == probe
         self.by_chunk = unchanged and not crossing and not glued
         self.lead = len(self.sp.encode("\n"))  # what stands before a chunk in encode("\n" + chunk)
-        self.split = re.compile(f"[ {MARKER}]+[^ {MARKER}]*").findall
+        both = re.compile(f"[{LETTERS}][^{LETTERS}]|[^{LETTERS}][{LETTERS}]")
+        beside = {c for x in pieces for m in range(len(x) - 1) if both.fullmatch(x[m:m + 2]) for c in x[m:m + 2]}
+        marks = "".join(re.escape(c) for c in string.punctuation + "\n" if c not in beside) or "\n"
+        gap = f" {MARKER}"
+        self.split = re.compile(  # letters up to a mark, marks up to a letter, or a whole marked word
+            f"[{gap}]*[{LETTERS}]+(?=[{gap}{marks}]|$)|[{marks}]+(?=[{gap}{LETTERS}]|$)|[{gap}]+[^{gap}]*|[^{gap}]+"
+        ).findall
         self.young: dict[str, tuple[bytes, str]] = {}
         self.old: dict[str, tuple[bytes, str]] = {}
 
-    def _segment(self, chunks: list) -> None:
-        """Put the chunks that are in neither generation into the table."""
-        fresh = []
+    def _segment(self, chunks: list) -> dict:
+        """The segmentation of chunks that the young table lacks; it is put
+        there, unless a chunk is long."""
+        out, fresh = {}, []
         for c in dict.fromkeys(chunks):
             hit = self.old.get(c)
             if hit is not None:
-                self.young[c] = hit
+                out[c] = hit
             else:
                 fresh.append(c)
         for c, ids in zip(fresh, self.sp.encode(["\n" + c for c in fresh], num_threads=1)):
             ids = ids[self.lead:]
-            self.young[c] = (array("i", ids).tobytes(), ",".join(map(str, ids)))
+            out[c] = (array("i", ids).tobytes(), ",".join(map(str, ids)))
+        self.young.update((c, f) for c, f in out.items() if len(c) <= LONG_CHUNK)
+        return out
 
     def encode(self, text: str) -> tuple[array, str]:
         """The ids, and the same in decimal, joined by commas."""
@@ -78,20 +91,15 @@ class ChunkTable:
         chunks = self.split(" " + text)  # the model's own leading marker
         if len(self.young) > TABLE_SIZE:
             self.old, self.young = self.young, {}
-        get = self.young.get
-        found = list(map(get, chunks))
+        found = list(map(self.young.get, chunks))
         if None in found:
-            self._segment([c for c, f in zip(chunks, found) if f is None])
-            found = list(map(get, chunks))
-        ids.frombytes(b"".join([f[0] for f in found]))
-        joined = ",".join([f[1] for f in found])
-        for c in chunks:
-            if len(c) > LONG_CHUNK:
-                self.young.pop(c, None)
-        return ids, joined
+            new = self._segment([c for c, f in zip(chunks, found) if f is None])
+            found = [new[c] if f is None else f for c, f in zip(chunks, found)]
+        ids.frombytes(b"".join(map(itemgetter(0), found)))
+        return ids, ",".join(map(itemgetter(1), found))
 
     def decode(self, ids) -> str:
-        return self.sp.decode(list(ids))
+        return self.sp.decode(ids.tolist() if isinstance(ids, array) else list(ids))
 
 
 def table(model_file: str) -> ChunkTable:
