@@ -33,8 +33,8 @@ from pyspark.sql import functions as F
 
 from innlytics.llm.common import cut, mix64, small_batches, text_bytes
 
-DIMS, BITS = 4, 7
-TABLE_SIZE = 300_000
+DIMS, BITS, HASHED = 4, 7, 1024
+TABLE_SIZE = 600_000
 LONG_WORD = 64
 DOCS_PER_RANGE = 20_000
 MIN_RANGES = 256
@@ -111,49 +111,41 @@ def table(tokenizer_file: str) -> WordTable:
     return _LOADED[tokenizer_file]
 
 
-def hilbert_key(cell: list[int], bits: int = BITS) -> int:
-    """Position of a cell on the Hilbert curve (Skilling's transform)."""
-    x, n = list(cell), len(cell)
-    q = 1 << (bits - 1)
-    while q > 1:
+def hilbert_keys(cells: np.ndarray, bits: int = BITS) -> np.ndarray:
+    """Positions of cells (rows) on the Hilbert curve: Skilling's transform
+    turns the axes of every cell at once, then the bits are interleaved."""
+    x = [c.astype(np.int64) for c in cells.T]
+    n = len(x)
+    for shift in range(bits - 1, 0, -1):
+        q = 1 << shift
         p = q - 1
         for i in range(n):
-            if x[i] & q:
-                x[0] ^= p
-            else:
-                t = (x[0] ^ x[i]) & p
-                x[0] ^= t
-                x[i] ^= t
-        q >>= 1
+            high = (x[i] & q) != 0
+            swap = np.where(high, 0, (x[0] ^ x[i]) & p)
+            x[0] = np.where(high, x[0] ^ p, x[0]) ^ swap
+            x[i] = x[i] ^ swap if i else x[0]
     for i in range(1, n):
-        x[i] ^= x[i - 1]
-    t, q = 0, 1 << (bits - 1)
-    while q > 1:
-        if x[n - 1] & q:
-            t ^= q - 1
-        q >>= 1
-    key = 0
-    for b in range(bits - 1, -1, -1):
+        x[i] = x[i] ^ x[i - 1]
+    t = np.zeros_like(x[0])
+    for shift in range(bits - 1, 0, -1):
+        q = 1 << shift
+        t ^= np.where((x[n - 1] & q) != 0, q - 1, 0)
+    key = np.zeros_like(t)
+    for shift in range(bits - 1, -1, -1):
         for i in range(n):
-            key = (key << 1) | ((x[i] ^ t) >> b & 1)
+            key = (key << 1) | (((x[i] ^ t) >> shift) & 1)
     return key
 
 
-def curve_key(ids: np.ndarray) -> int:
-    """Key of a document: its ids as a hashed count vector, projected by
-    random signs to DIMS numbers, each scaled by its own spread to a grid."""
-    if not len(ids):
-        return 0
-    uniq, n = np.unique(ids, return_counts=True)
-    h = mix64(uniq.astype(np.uint64) + np.uint64(1))
-    w = np.log1p(n)
-    w = w / np.sqrt((w * w).sum())
-    cell = []
-    for d in range(DIMS):
-        sign = np.where(h >> np.uint64(d) & np.uint64(1), 1.0, -1.0)
-        u = 0.5 + 0.5 * np.tanh(float((w * sign).sum()))  # unit vectors project to about a unit normal
-        cell.append(min((1 << BITS) - 1, int(u * (1 << BITS))))
-    return hilbert_key(cell)
+def curve_keys(counts: np.ndarray) -> np.ndarray:
+    """Keys of documents from their hashed count vectors (rows): damped, of unit
+    length, projected by random signs to DIMS numbers, each put on a grid."""
+    v = np.log1p(counts)
+    v /= np.maximum(np.sqrt((v * v).sum(axis=1, keepdims=True)), 1e-9)
+    h = mix64(np.arange(1, HASHED + 1, dtype=np.uint64))
+    signs = np.stack([np.where(h >> np.uint64(d) & np.uint64(1), 1.0, -1.0) for d in range(DIMS)], axis=1)
+    place = 0.5 + 0.5 * np.tanh(v @ signs)  # unit vectors project to about a unit normal
+    return hilbert_keys(np.minimum((place * (1 << BITS)).astype(np.int64), (1 << BITS) - 1))
 
 
 def tokenised(docs: DataFrame, tokenizer_file: str, end_id: int) -> DataFrame:
@@ -164,12 +156,14 @@ def tokenised(docs: DataFrame, tokenizer_file: str, end_id: int) -> DataFrame:
     def step(batches):
         t = table(tokenizer_file)
         for pdf in batches:
-            rows = []
-            for b in pdf["b"]:
-                ids = np.frombuffer(t.encode(b), t.kind)
-                full = np.append(ids, t.kind(end_id))
-                rows.append((curve_key(ids), len(full), full.astype(t.kind).tobytes(), t.kind().itemsize))
-            out = pd.DataFrame(rows, columns=["curve", "n", "ids", "width"])
+            if not len(pdf):
+                continue
+            end = t.kind(end_id).tobytes()
+            packed = [t.encode(b) for b in pdf["b"]]
+            counts = np.array([np.bincount(np.frombuffer(x, t.kind) % HASHED, minlength=HASHED) for x in packed])
+            width = t.kind().itemsize
+            out = pd.DataFrame({"curve": curve_keys(counts), "n": [len(x) // width + 1 for x in packed],
+                                "ids": [x + end for x in packed], "width": np.int32(width)})
             out.insert(0, "rid", pdf["rid"])
             out.insert(0, "doc_id", pdf["doc_id"].astype("Int64"))
             yield out

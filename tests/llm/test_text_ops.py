@@ -258,9 +258,11 @@ def test_packing_round_trip(make_docs, awkward, prose):
 
 
 def test_hilbert_curve_is_a_walk():
-    cells = sorted(((packing.hilbert_key([x, y], 4), (x, y)) for x in range(16) for y in range(16)))
-    assert [k for k, _ in cells] == list(range(256))
-    assert all(abs(a[0] - b[0]) + abs(a[1] - b[1]) == 1 for (_, a), (_, b) in zip(cells, cells[1:]))
+    for dims, bits in ((2, 4), (3, 3), (4, 2)):
+        cells = np.stack(np.meshgrid(*[np.arange(1 << bits)] * dims), axis=-1).reshape(-1, dims)
+        keys = packing.hilbert_keys(cells, bits)
+        assert sorted(keys) == list(range(len(cells)))
+        assert (np.abs(np.diff(cells[np.argsort(keys)], axis=0)).sum(axis=1) == 1).all()
 
 
 def test_packing_repeated_rows(make_docs):
