@@ -37,6 +37,7 @@ into overlapping slabs for naming, which changes no result.
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -89,13 +90,46 @@ def _sliding(x: np.ndarray, w: int, op) -> np.ndarray:
     return op(behind[:m], ahead[w - 1:w - 1 + m])
 
 
-def sampled(names: np.ndarray, w: int) -> np.ndarray:
-    """Positions with the smallest name in some window of w (ties too)."""
-    if len(names) < w:
-        return np.empty(0, np.int64)
-    low = _sliding(names, w, np.minimum)
-    wide = np.r_[np.zeros(w - 1, np.uint64), low, np.zeros(w - 1, np.uint64)]
-    return np.flatnonzero(_sliding(wide, w, np.maximum) == names)
+class Chunk:
+    """Several byte strings laid end to end, so that names and samples are
+    computed for all of them at once; ``row`` tells where a position lies."""
+
+    def __init__(self, texts: list):
+        self.data = b"".join(texts)
+        size = np.array([len(x) for x in texts])
+        self.end = np.cumsum(size)
+        self.start = self.end - size
+        self.row = np.repeat(np.arange(len(texts)), size)
+        self.names = Names(self.data)
+
+    def sampled(self, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """(positions, names) of the k-byte tuples with the smallest name in some
+        window of LENGTH bytes inside one string (ties too)."""
+        w, n = LENGTH - k + 1, len(self.data)
+        at = np.arange(n - k + 1)
+        h = self.names.of(at, at + k)
+        low = _sliding(h, w, np.minimum)
+        m = len(low)
+        low[np.arange(m) + LENGTH > self.end[self.row[:m]]] = 0  # windows across a border choose nothing
+        wide = np.r_[np.zeros(w - 1, np.uint64), low, np.zeros(w - 1, np.uint64)]
+        p = np.flatnonzero(_sliding(wide, w, np.maximum) == h)
+        return p, h[p]
+
+
+def chunks(texts) -> Iterator[tuple[list, Chunk]]:
+    """(indices, chunk) of the texts of at least LENGTH bytes, at most about a
+    slab of bytes at once."""
+    held, size = [], 0
+    for i, b in enumerate(texts):
+        if len(b) < LENGTH:
+            continue
+        if held and size + len(b) > SLAB + LENGTH:
+            yield held, Chunk([texts[j] for j in held])
+            held, size = [], 0
+        held.append(i)
+        size += len(b)
+    if held:
+        yield held, Chunk([texts[j] for j in held])
 
 
 def _cover(intervals: np.ndarray, n: int) -> np.ndarray:
@@ -167,17 +201,19 @@ def _first_sample(rows: DataFrame, k: int) -> DataFrame:
     """(name, id, tag, pos, step, n) of the sampled tuples of every whole text."""
     def step(batches):
         for pdf in batches:
+            slabs = [(i, base, b[base:base + SLAB + LENGTH - 1]) for i, b in enumerate(pdf["b"])
+                     for base in range(0, max(1, len(b) - LENGTH + 1), SLAB)]
+            ids, tags = pdf["id"].to_numpy(), pdf["tag"].to_numpy()
             out = Columns("name", "id", "tag", "pos", "step", "n")
-            for i, tag, b in zip(pdf["id"], pdf["tag"], pdf["b"]):
-                for base in range(0, max(1, len(b) - LENGTH + 1), SLAB):
-                    slab = b[base:base + SLAB + LENGTH - 1]
-                    if len(slab) < LENGTH:
-                        continue
-                    at = np.arange(len(slab) - k + 1)
-                    h = Names(slab).of(at, at + k)
-                    p = sampled(h, LENGTH - k + 1)
-                    first, gap, n = _progressions(p, h[p])
-                    out.add(len(first), name=h[p[first]].view(np.int64), id=i, tag=tag, pos=p[first] + base, step=gap, n=n)
+            for which, chunk in chunks([x[2] for x in slabs]):
+                p, h = chunk.sampled(k)
+                r = chunk.row[p]
+                first, gap, n = _progressions(p, h, r)
+                p, h, r = p[first], h[first], r[first]
+                text = np.array([slabs[i][0] for i in which])[r]
+                base = np.array([slabs[i][1] for i in which])[r]
+                out.add(len(p), name=h.view(np.int64), id=ids[text], tag=tags[text], pos=p - chunk.start[r] + base,
+                        step=gap, n=n)
             if (frame := out.frame()) is not None:
                 yield frame
 
@@ -190,8 +226,13 @@ REGION = "id long, tag long, base long, b binary, state binary, lo long, hi long
 def _regions(i, tag, base: int, b: bytes, status: np.ndarray) -> list:
     """Rows for the stretches of starts that go on (status 1 undecided, 2 a
     partner), each with the bytes its strings need."""
-    out = []
-    for lo, hi in _runs(status > 0):
+    out, runs = [], _runs(status > 0)
+    if not len(runs):
+        return out
+    # stretches whose strings overlap stay together
+    apart = np.flatnonzero(runs[1:, 0] - runs[:-1, 1] >= LENGTH) + 1
+    firsts, lasts = np.r_[0, apart], np.r_[apart, len(runs)] - 1
+    for lo, hi in zip(runs[firsts, 0].tolist(), runs[lasts, 1].tolist()):
         for s in range(lo, hi, SLAB):
             e = min(hi, s + SLAB)
             part = status[s:e]
@@ -206,6 +247,14 @@ def _status(state: bytes, n: int) -> np.ndarray:
     return np.repeat(a[:, 1], np.diff(np.r_[a[:, 0], n])).astype(np.int8)
 
 
+def _chunk_status(chunk: Chunk, states: list) -> np.ndarray:
+    """The status of every position of a chunk (0 where no string starts)."""
+    out = np.zeros(len(chunk.data), np.int8)
+    for a, e, state in zip(chunk.start, chunk.end, states):
+        out[a:e - LENGTH + 1] = _status(state, e - a - LENGTH + 1)
+    return out
+
+
 def _frame(rows: list) -> pd.DataFrame:
     out = pd.DataFrame(rows, columns=["id", "tag", "base", "b", "state", "lo", "hi"])
     for c in ("base", "lo", "hi"):
@@ -245,25 +294,29 @@ def _sample(regions: DataFrame, k: int) -> DataFrame:
 
     def step(batches):
         for pdf in batches:
+            texts, states = list(pdf["b"]), list(pdf["state"])
+            ids, tags, bases = pdf["id"].to_numpy(), pdf["tag"].to_numpy(), pdf["base"].to_numpy()
             out = Columns("name", "k1", "k2", "id", "tag", "base", "pos", "next", "step", "n", "open")
-            for i, tag, base, b, state in zip(pdf["id"], pdf["tag"], pdf["base"], pdf["b"], pdf["state"]):
-                n = len(b) - LENGTH + 1
-                status = _status(state, n)
-                a, c = Names(b), Names(b, 1)
-                at = np.arange(len(b) - k + 1)
-                h = a.of(at, at + k)
-                p = sampled(h, w)
-                undecided = np.r_[0, np.cumsum(status == 1)]
-                lo, hi = np.clip(p - w + 1, 0, n), np.clip(p + 1, 0, n)
+            for which, chunk in chunks(texts):
+                status = _chunk_status(chunk, [states[i] for i in which])
+                p, h = chunk.sampled(k)
+                r = chunk.row[p]
+                nxt = np.append(p[1:], 0)[:len(p)]
+                same_text = np.append(r[1:] == r[:-1], False)[:len(p)]
+                nxt = np.where(same_text & (nxt + LENGTH - 1 <= chunk.end[r]), nxt, -1)
+                goes_on, undecided = np.r_[0, np.cumsum(status > 0)], np.r_[0, np.cumsum(status == 1)]
+                lo, hi = np.maximum(p - w + 1, chunk.start[r]), p + 1
+                near = goes_on[hi] > goes_on[lo]
+                p, h, r, nxt, lo, hi = (x[near] for x in (p, h, r, nxt, lo, hi))
                 is_open = undecided[hi] > undecided[lo]
-                nxt = np.r_[p[1:], -1]
-                nxt[nxt + LENGTH - 1 > len(b)] = -1
                 end = np.where(nxt >= 0, nxt + LENGTH - 1, p)
-                k1, k2, name = a.of(p, end), c.of(p, end), h[p]
-                first, gap, m = _progressions(p, name, k1, k2, is_open)
-                out.add(len(first), name=name[first].view(np.int64), k1=k1[first].view(np.int64),
-                        k2=k2[first].view(np.int64), id=i, tag=tag, base=base, pos=p[first], next=nxt[first], step=gap,
-                        n=m, open=is_open[first])
+                k1, k2 = chunk.names.of(p, end), Names(chunk.data, 1).of(p, end)
+                first, gap, m = _progressions(p, h, k1, k2, is_open, r)
+                p, h, r, nxt, k1, k2, is_open = (x[first] for x in (p, h, r, nxt, k1, k2, is_open))
+                text, at = np.array(which)[r], chunk.start[r]
+                out.add(len(p), name=h.view(np.int64), k1=k1.view(np.int64), k2=k2.view(np.int64), id=ids[text],
+                        tag=tags[text], base=bases[text], pos=p - at, next=np.where(nxt >= 0, nxt - at, -1), step=gap,
+                        n=m, open=is_open)
             if (frame := out.frame()) is not None:
                 yield frame
 
@@ -329,21 +382,27 @@ def _last_level(regions: DataFrame) -> DataFrame:
     others they are partners, one row each."""
     def step(batches):
         for pdf in batches:
+            texts, states = list(pdf["b"]), list(pdf["state"])
+            ids, tags, bases = pdf["id"].to_numpy(), pdf["tag"].to_numpy(), pdf["base"].to_numpy()
             out = Columns("k1", "k2", "id", "tag", "lo", "hi", "n", "open", "done")
-            for i, tag, base, b, state in zip(pdf["id"], pdf["tag"], pdf["base"], pdf["b"], pdf["state"]):
-                status = _status(state, len(b) - LENGTH + 1)
+            for which, chunk in chunks(texts):
+                status, which = _chunk_status(chunk, [states[i] for i in which]), np.array(which)
                 s = np.flatnonzero(status > 0)
-                x = Names(b).of(s, s + LENGTH)
-                _, first, at, n = np.unique(x, return_index=True, return_inverse=True, return_counts=True)
-                y = Names(b, 1).of(s, s + LENGTH)
+                r = chunk.row[s]
+                x, y = chunk.names.of(s, s + LENGTH), Names(chunk.data, 1).of(s, s + LENGTH)
+                own = mix64(x + r.astype(np.uint64))  # equal strings of one region
+                _, first, at, n = np.unique(own, return_index=True, return_inverse=True, return_counts=True)
                 is_open = status[s] == 1
-                out.add(len(first), k1=x[first].view(np.int64), k2=y[first].view(np.int64), id=i, tag=tag, lo=s[first] + base,
-                        hi=s[first] + base + 1, n=n, open=is_open[first] & (n == 1), done=False)
-                twice = np.zeros(len(status), bool)
-                twice[s] = is_open & (n[at] > 1) & (y == y[first][at])
-                runs = _runs(twice)
-                out.add(len(runs), k1=0, k2=0, id=i, tag=tag, lo=runs[:, 0] + base, hi=runs[:, 1] + base, n=0,
-                        open=False, done=True)
+                f, lo = first, s - chunk.start[r] + bases[which[r]]
+                out.add(len(f), k1=x[f].view(np.int64), k2=y[f].view(np.int64), id=ids[which[r[f]]],
+                        tag=tags[which[r[f]]], lo=lo[f], hi=lo[f] + 1, n=n, open=is_open[f] & (n == 1), done=False)
+                twice = is_open & (n[at] > 1) & (x == x[f][at]) & (y == y[f][at]) & (r == r[f][at])
+                gap = np.flatnonzero(twice[1:] & ~(twice[:-1] & (lo[1:] == lo[:-1] + 1) & (r[1:] == r[:-1]))) + 1
+                begin = np.r_[np.flatnonzero(twice[:1]), gap]
+                mask = np.append(twice[1:] & (lo[1:] == lo[:-1] + 1) & (r[1:] == r[:-1]), False)
+                stop = np.flatnonzero(twice & ~mask)
+                out.add(len(begin), k1=0, k2=0, id=ids[which[r[begin]]], tag=tags[which[r[begin]]], lo=lo[begin],
+                        hi=lo[stop] + 1, n=0, open=False, done=True)
             if (frame := out.frame()) is not None:
                 yield frame
 
