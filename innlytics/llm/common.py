@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from innlytics.plans.checkpoint import cut, drop
 from innlytics.session import checkpoint_dir
 
-__all__ = ["cut", "drop", "fresh", "mix64", "new_path", "read", "release", "shingles", "small_batches", "text_bytes", "word_hashes"]
+__all__ = ["cut", "drop", "fresh", "mix64", "new_path", "numbered", "read", "release", "shingles", "small_batches", "text_bytes", "word_hashes"]
 
 # Words are runs of anything but ASCII white space. ``bytes.split()`` splits
 # exactly there (space, \t, \n, \v, \f, \r), so texts are handled as bytes.
@@ -52,6 +52,34 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+def numbered(docs: DataFrame, name: str = "rows") -> tuple[DataFrame, str]:
+    """The rows with an id of their own (a long, the same at every reading), and
+    the new column's name. Of a Parquet table it is the place in the files;
+    other frames are written once with it."""
+    rid = fresh(docs, "rid")
+    if not _is_parquet(docs):
+        return cut(docs.withColumn(rid, F.monotonically_increasing_id()), name), rid
+    file, no = fresh(docs, "file"), fresh(docs, "file_no")
+    files = sorted(r[0] for r in docs.select("_metadata.file_path").distinct().collect())
+    numbers = docs.sparkSession.createDataFrame(list(zip(files, range(len(files)))), f"`{file}` string, `{no}` long")
+    placed = docs.select("*", F.col("_metadata.file_path").alias(file), F.col("_metadata.row_index").alias(rid))
+    return placed.join(F.broadcast(numbers), file).select(
+        *[F.col(f"`{c}`") for c in docs.columns], (F.shiftleft(no, 40) + F.col(rid)).alias(rid)), rid
+
+
+def _is_parquet(docs: DataFrame) -> bool:
+    """Whether the frame is a Parquet table as read, nothing done to it."""
+    if "_metadata" in docs.columns:
+        return False
+    try:
+        if docs._jdf.queryExecution().analyzed().getClass().getSimpleName() != "LogicalRelation":
+            return False
+        docs.select("_metadata.row_index")
+    except Exception:  # noqa: BLE001 - another format, or a Spark Connect session
+        return False
+    return True
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 

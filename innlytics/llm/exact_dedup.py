@@ -17,7 +17,8 @@ bounded by about ``KEYS_PER_BUCKET`` digests.
 Defined edge results: NULL text counts as empty (all empty texts are one
 group); a NULL doc_id is kept as a member and loses against any id; repeated
 rows count as members each; an empty table gives an empty result; other
-columns are ignored.
+columns are ignored. ``kept`` names documents, so rows that share the id that
+stays are all marked; ``drop_copies`` lets exactly one row of a text stay.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from innlytics.llm.common import cut
+from innlytics.llm.common import cut, numbered
 
 SALTS = 8
 KEYS_PER_BUCKET = 50_000
@@ -156,9 +157,10 @@ class Bucket:
 INDEX_SCHEMA = "bucket int, digest binary, keep_id long, group_size long, filter binary"
 
 
-def digests(docs: DataFrame) -> DataFrame:
-    """(doc_id, text_sha256) of every whole text."""
-    return docs.select("doc_id", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("text_sha256"))
+def digests(docs: DataFrame, *more: str) -> DataFrame:
+    """(doc_id, text_sha256) of every whole text, and the columns ``more``."""
+    return docs.select(
+        "doc_id", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("text_sha256"), *more)
 
 
 def _partials(members: DataFrame, n_buckets: int) -> DataFrame:
@@ -221,23 +223,27 @@ class DigestIndex:
         return members.join(held, "text_sha256", "left").withColumn("group_size", F.coalesce("group_size", F.lit(0)))
 
 
-def exact_dedup(docs: DataFrame) -> DataFrame:
-    """One row per document: doc_id, keep_id, group_size, kept, text_sha256."""
-    spark = docs.sparkSession
-    members = cut(digests(docs), "digests")
-    index = DigestIndex.empty(spark, members.count()).insert(members)
+def _judged(members: DataFrame) -> DataFrame:
+    """The members with keep_id, group_size (NULL: the only one) and kept."""
+    index = DigestIndex.empty(members.sparkSession, members.count()).insert(members)
     multi = index.content().where("group_size > 1")
     # a group of one answers itself; only copies meet the index content
     out = members.join(multi, "text_sha256", "left")
-    return out.select(
+    return out.withColumn("kept", F.col("group_size").isNull() | F.col("doc_id").eqNullSafe(F.col("keep_id")))
+
+
+def exact_dedup(docs: DataFrame) -> DataFrame:
+    """One row per document: doc_id, keep_id, group_size, kept, text_sha256."""
+    return _judged(cut(digests(docs), "digests")).select(
         "doc_id", F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"),
-        F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),
-        (F.col("group_size").isNull() | F.col("doc_id").eqNullSafe(F.col("keep_id"))).alias("kept"),
-        "text_sha256")
+        F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"), "kept", "text_sha256")
 
 
 def drop_copies(docs: DataFrame) -> DataFrame:
-    """The documents that stay, with all their columns."""
-    gone = exact_dedup(docs).where(~F.col("kept"))
-    digest = F.sha2(F.coalesce(docs["text"], F.lit("")).cast("binary"), 256)
-    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["doc_id"]) & (digest == gone["text_sha256"]), "left_anti")
+    """Of equal texts the row with the largest (doc_id, row id), all columns."""
+    rows, rid = numbered(docs)
+    copies = cut(_judged(cut(digests(rows, rid), "digests")).where("group_size > 1").select(rid, "text_sha256", "kept"),
+                 "copies")
+    stays = copies.where("kept").groupBy("text_sha256").agg(F.max(rid).alias(rid)).select(rid)
+    gone = cut(copies.select(rid).join(stays, rid, "left_anti"), "gone")
+    return rows.join(gone, rid, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -49,7 +49,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from innlytics.llm.common import cut, drop, mix64, release, shingles, small_batches, text_bytes
+from innlytics.llm.common import cut, drop, mix64, numbered, release, shingles, small_batches, text_bytes
 from innlytics.plans.components import components
 
 BAND_RATIO = 1.7
@@ -428,7 +428,14 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:
-    """Of each component the document with the smallest id, all columns."""
-    gone = _bounded(cut(near_duplicates(docs).where("component_id <> doc_id").select("doc_id").distinct(),
-                        "near-copies"))
-    return docs.join(gone, docs["doc_id"] == gone["doc_id"], "left_anti")
+    """Of each component of rows the one with the smallest (doc_id, row id), all
+    columns. Every row is a document of its own, also with a NULL or repeated id."""
+    rows, rid = numbered(docs)
+    linked = near_duplicates(rows.select(F.col(rid).alias("doc_id"), "text")).select(
+        F.col("doc_id").alias("row"), "component_id")
+    ids = rows.select(F.col(rid).alias("row"), F.col("doc_id").cast("long").alias("id"))
+    classes = cut(linked.join(ids, "row"), "near-classes")
+    stays = classes.groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull(), "id", "row")).alias("first")).select(
+        F.col("first.row").alias("row"))
+    gone = _bounded(cut(classes.select("row").join(stays, "row", "left_anti").select(F.col("row").alias(rid)), "near-copies"))
+    return rows.join(gone, rid, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])

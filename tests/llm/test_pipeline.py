@@ -68,3 +68,21 @@ def test_run_returns_the_last_stage(spark, folder):
     assert C.run(spark, folder).columns == [
         "doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
     assert C.ORACLE_SQL is None
+
+
+@pytest.mark.parametrize("written", [False, True])
+def test_one_row_of_equal_texts_stays_whatever_its_id(spark, make_docs, prose, tmp_path, written):
+    a, b, c, d, e, f = prose(6, seed=4)
+    near = a.replace(a.split()[9], "other", 1)
+    docs = make_docs([a, a, near, b, b, c, d, e, f, f + " tail"], [None, None, None, 7, 7, 8, 8, 9, 5, None])
+    if written:
+        docs.repartition(3).write.parquet(str(tmp_path / "docs"))
+        docs = spark.read.parquet(str(tmp_path / "docs"))
+    unique = cut(C.exact_copies(spark, docs, ""), "unique")
+    assert sorted(r.text for r in unique.collect()) == sorted([a, near, b, c, d, e, f, f + " tail"])
+    apart = cut(C.near_copies(spark, unique, ""), "apart")
+    got = [(r.doc_id, r.text) for r in apart.collect()]
+    assert len(got) == 6 and {(7, b), (8, c), (8, d), (9, e), (5, f)} < set(got)  # two texts of id 8 are two rows
+    assert sum(i is None and t in (a, near) for i, t in got) == 1
+    stripped = C.repeated_passages(spark, apart, "")
+    assert apart.columns == docs.columns and sorted(r.text for r in stripped.collect()) == sorted(t for _, t in got)
