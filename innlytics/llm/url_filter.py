@@ -54,10 +54,11 @@ def fitting_rule(rules=RULES) -> tuple[Column, Column]:
 def grams() -> Column:
     """Buckets of the character n-grams of host and path."""
     text = F.concat(F.lit("^"), F.col("host"), F.col("path"), F.lit("$"))
-    parts = [F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - n + 1, F.lit(1))),
-                         lambda i, n=n: F.pmod(F.xxhash64(text.substr(i, F.lit(n))), F.lit(BUCKETS)).cast("int"))
-             for n in SIZES]
-    return F.concat(*parts)
+    def of(n: int) -> Column:  # a lambda with a second parameter would get the index there
+        return F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - n + 1, F.lit(1))),
+                           lambda i: F.pmod(F.xxhash64(text.substr(i, F.lit(n))), F.lit(BUCKETS)).cast("int"))
+
+    return F.concat(*[of(n) for n in SIZES])
 
 
 def train(labelled: DataFrame, reg: float = 0.01, allow_weight: float = ALLOW_WEIGHT) -> tuple[float, list[float]]:

@@ -7,9 +7,12 @@ import zlib
 from collections import Counter, defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from innlytics.llm import exact_dedup as ED
-from innlytics.llm import sharding, url_filter, warc
+from innlytics.llm import sharding, url_filter, url_table, warc
+
+from .url_held_out import ALLOW, BLOCK
 
 
 def sha(t):
@@ -161,6 +164,25 @@ def test_url_model_tells_spam_from_the_rest(spark):
     assert [got[i] for i in range(6)] == ["block"] * 3 + ["allow"] * 3
 
 
+def test_url_grams_are_three_to_five_characters(spark):
+    text = "^abcdef/x$"
+    grams = [text[i:i + n] for n in (3, 4, 5) for i in range(len(text) - n + 1)]
+    df = spark.createDataFrame([("abcdef", "/x", grams)], "host string, path string, grams array<string>")
+    got = df.select(url_filter.grams().alias("g"), F.transform("grams", lambda x: F.pmod(
+        F.xxhash64(x), F.lit(url_filter.BUCKETS)).cast("int")).alias("want")).first()
+    assert got.g == got.want
+
+
+def test_url_model_on_held_out_shapes(spark):
+    trained = {re.split("[/:]+", u)[1] for u, _ in url_table.rows()}
+    assert not any(re.split("[/:]+", u)[1] in trained for u in BLOCK + ALLOW)
+    df = spark.createDataFrame(list(enumerate(BLOCK + ALLOW)), "page_id long, url string")
+    got = {r.page_id: r.verdict for r in url_filter.judge_urls(df, rules=()).collect()}
+    missed = sum(got[i] == "allow" for i in range(len(BLOCK)))
+    wrong = sum(got[i] == "block" for i in range(len(BLOCK), len(got)))
+    assert missed <= len(BLOCK) // 4 and wrong <= len(ALLOW) // 4
+
+
 def test_url_plan_is_native(spark):
     df = spark.createDataFrame([(1, "http://a.org/")], "page_id long, url string")
     plan = url_filter.judge_urls(df)._jdf.queryExecution().toString()
