@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from innlytics import session
-from innlytics.llm import (classifier, exact_dedup, ngram_join, packing, pieces, quality_rules, sharding, suffix_dedup,
+from innlytics.llm import (classifier, exact_dedup, mixing, ngram_join, packing, pieces, quality_rules, sharding, suffix_dedup,
                            url_filter, warc)
 from innlytics.llm.common import read
 
@@ -58,6 +58,10 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(read(spark, sf_dir, "documents"))
 
 
+def op13_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_documents(read(spark, sf_dir, "documents")).drop("source")
+
+
 def _tuned(fn: Callable) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         session.tune(spark)
@@ -70,7 +74,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: _tuned(f) for f in (
         op1_quality_rules, op2_exact_dedup, op3_quality_classifier, op4_ngram_jaccard_join, op5_packing, op6_suffix_dedup,
         op7_url_filters, op8_sentencepiece,
-        op9_warc, op10_sharding)}
+        op9_warc, op10_sharding, op13_source_mix)}
 
 ORACLES: dict[str, str] = {
     "op2_exact_dedup": """
@@ -85,4 +89,29 @@ ORACLES: dict[str, str] = {
                CASE WHEN p.n >= 1000 AND p.page_id <> g.first_id THEN 'revisit' ELSE 'response' END AS record_type,
                CASE WHEN p.n >= 1000 AND p.page_id <> g.first_id THEN g.first_id END AS refers_to
         FROM p LEFT JOIN g USING (h)""",
+    "op13_source_mix": r"""
+        WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
+                          md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || md5(coalesce(text, ''))) AS key,
+                          row_number() OVER () AS rid FROM documents),
+             s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size,
+                          row_number() OVER (ORDER BY source NULLS LAST) AS place FROM d GROUP BY source),
+             w AS (SELECT *, [5, 2, 1][(place - 1) % 3 + 1] AS weight, 3 * source_size AS most FROM s),
+             l AS (SELECT max(CAST(budget - held AS DOUBLE) / units) AS level FROM (
+                       SELECT sum(source_size) OVER () AS budget,
+                              coalesce(sum(most) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS held,
+                              sum(weight) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS units
+                       FROM w WINDOW o AS (ORDER BY CAST(most AS DOUBLE) / weight, place))),
+             q AS (SELECT rid, doc_id, size, key, source_size, least(weight * level, CAST(most AS DOUBLE)) AS target,
+                          CAST(coalesce(sum(size) OVER (PARTITION BY place ORDER BY key, rid
+                               ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS sent
+                   FROM d JOIN w ON d.source IS NOT DISTINCT FROM w.source, l),
+             c AS (SELECT rid, key, round, (round * source_size + sent + size) / target AS finish,
+                          least(size, CAST(floor(target) AS BIGINT) - (round * source_size + sent)) AS words
+                   FROM q, (VALUES (0), (1), (2)) AS r(round) WHERE size > 0),
+             p AS (SELECT rid, words, CAST(coalesce(sum(words) OVER (ORDER BY finish, key, rid, round
+                               ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS position
+                   FROM c WHERE words > 0),
+             g AS (SELECT rid, CAST(sum(words) AS BIGINT) AS taken, min(position) AS first_position FROM p GROUP BY rid)
+        SELECT doc_id, size, source_size, target, coalesce(taken, 0) AS taken, first_position
+        FROM q LEFT JOIN g USING (rid)""",
 }
