@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from innlytics import session
-from innlytics.llm import (classifier, exact_dedup, mixing, ngram_join, packing, pieces, quality_rules, sharding, suffix_dedup,
-                           url_filter, warc)
+from innlytics.llm import (classifier, conversation_trie, exact_dedup, mixing, ngram_join, packing, pieces, quality_rules,
+                           sharding, suffix_dedup, url_filter, warc)
 from innlytics.llm.common import read
 
 
@@ -58,6 +58,10 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(read(spark, sf_dir, "documents"))
 
 
+def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie.conversation_trie(read(spark, sf_dir, "conversations"))
+
+
 def op13_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_documents(read(spark, sf_dir, "documents")).drop("source")
 
@@ -74,7 +78,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: _tuned(f) for f in (
         op1_quality_rules, op2_exact_dedup, op3_quality_classifier, op4_ngram_jaccard_join, op5_packing, op6_suffix_dedup,
         op7_url_filters, op8_sentencepiece,
-        op9_warc, op10_sharding, op13_source_mix)}
+        op9_warc, op10_sharding, op12_conversation_trie, op13_source_mix)}
+
+# CRC-32 (reversed polynomial, as in zlib) of a list of bytes, one bit at a time.
+_CRC32 = """xor(list_reduce({0}, lambda crc, byte: list_reduce([0, 1, 2, 3, 4, 5, 6, 7], lambda c, bit:
+    CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, xor(crc, byte)), 4294967295), 4294967295)"""
 
 ORACLES: dict[str, str] = {
     "op2_exact_dedup": """
@@ -114,4 +122,30 @@ ORACLES: dict[str, str] = {
              g AS (SELECT rid, CAST(sum(words) AS BIGINT) AS taken, min(position) AS first_position FROM p GROUP BY rid)
         SELECT doc_id, size, source_size, target, coalesce(taken, 0) AS taken, first_position
         FROM q LEFT JOIN g USING (rid)""",
+    "op12_conversation_trie": r"""
+        WITH t AS (SELECT conv_id, dense_rank() OVER (ORDER BY coalesce(role, ''), coalesce(text, '')) AS code,
+                          len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS words,
+                          row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, sha256(
+                              strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) AS pos
+                   FROM conversations WHERE conv_id IS NOT NULL),
+             own AS (SELECT conv_id, list(code ORDER BY pos) AS codes, """ + _CRC32.format(
+                 "[CAST(ascii(x) AS BIGINT) FOR x IN string_split(CAST(conv_id AS VARCHAR), '')]") + r""" % 4 AS h
+                     FROM t GROUP BY conv_id),
+             seqs AS (SELECT o.conv_id, list_concat(coalesce(b.codes, [])[1:o.h], o.codes[o.h + 1:]) AS s
+                      FROM own o LEFT JOIN own b ON b.conv_id = o.conv_id - o.conv_id % 20),
+             m AS (SELECT conv_id, s, unnest(range(0, len(s) + 1)) AS d FROM seqs),
+             nodes AS (SELECT s[1:d] AS p, d, min(conv_id) AS conv_id, count(*) AS n_convs,
+                              sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id)
+                                              FILTER (len(s) = d), '')) AS ends_sha256
+                       FROM m GROUP BY ALL),
+             kids AS (SELECT p[1:d - 1] AS p, count(*) AS n FROM nodes WHERE d > 0 GROUP BY ALL),
+             w AS (SELECT DISTINCT code, words FROM t),
+             full_ AS (SELECT nodes.*, coalesce(kids.n, 0) AS n_children, (n_convs - 1) * coalesce(words, 0) AS own
+                       FROM nodes LEFT JOIN kids ON kids.p = nodes.p LEFT JOIN w ON code = nodes.p[d]),
+             above AS (SELECT p, n_children, own, unnest(range(0, d + 1)) AS k FROM full_),
+             sub AS (SELECT p[1:k] AS p, count(*) FILTER (n_children = 0) AS n_leaves, CAST(sum(own) AS BIGINT) AS saved_tokens
+                     FROM above GROUP BY ALL)
+        SELECT f.conv_id, f.d AS depth, u.conv_id AS parent_conv_id, f.n_convs, f.n_children, n_leaves, saved_tokens,
+               f.ends_sha256
+        FROM full_ f JOIN sub ON sub.p = f.p LEFT JOIN nodes u ON f.d > 0 AND u.d = f.d - 1 AND u.p = f.p[1:f.d - 1]""",
 }
