@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from innlytics import session
 from innlytics.llm import (classifier, conversation_trie, exact_dedup, mixing, ngram_join, packing, pieces, quality_rules,
-                           sharding, suffix_dedup, url_filter, warc)
+                           sharding, suffix_dedup, url_filter, variants, warc)
 from innlytics.llm.common import read
 
 
@@ -58,6 +58,10 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(read(spark, sf_dir, "documents"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.group_variants(read(spark, sf_dir, "documents"))
+
+
 def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_trie.conversation_trie(read(spark, sf_dir, "conversations"))
 
@@ -78,7 +82,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: _tuned(f) for f in (
         op1_quality_rules, op2_exact_dedup, op3_quality_classifier, op4_ngram_jaccard_join, op5_packing, op6_suffix_dedup,
         op7_url_filters, op8_sentencepiece,
-        op9_warc, op10_sharding, op12_conversation_trie, op13_source_mix)}
+        op9_warc, op10_sharding, op11_spelling_variants, op12_conversation_trie, op13_source_mix)}
 
 # CRC-32 (reversed polynomial, as in zlib) of a list of bytes, one bit at a time.
 _CRC32 = """xor(list_reduce({0}, lambda crc, byte: list_reduce([0, 1, 2, 3, 4, 5, 6, 7], lambda c, bit:
@@ -148,4 +152,27 @@ ORACLES: dict[str, str] = {
         SELECT f.conv_id, f.d AS depth, u.conv_id AS parent_conv_id, f.n_convs, f.n_children, n_leaves, saved_tokens,
                f.ends_sha256
         FROM full_ f JOIN sub ON sub.p = f.p LEFT JOIN nodes u ON f.d > 0 AND u.d = f.d - 1 AND u.p = f.p[1:f.d - 1]""",
+    "op11_spelling_variants": r"""
+        WITH RECURSIVE
+             run AS (SELECT d, translate(r, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS w, count(*) AS n FROM (
+                         SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS d, unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')) AS r
+                         FROM documents) GROUP BY ALL),
+             hit AS (SELECT w, n, """ + _CRC32.format(
+                 "flatten([CASE WHEN unicode(x) < 128 THEN [CAST(unicode(x) AS BIGINT)] "
+                 "ELSE [192 + (unicode(x) >> 6), 128 + (unicode(x) & 63)] END FOR x IN string_split(d || ':' || w, '')])")
+    + r""" AS h FROM run),
+             voc AS (SELECT w, CAST(sum(n) AS BIGINT) AS n FROM (
+                         SELECT CASE WHEN h % 199 = 0 THEN w[:h % length(w)] || w[h % length(w) + 2:] ELSE w END AS w, n FROM hit)
+                     WHERE length(w) >= 6 GROUP BY w HAVING sum(n) >= 5),
+             gap AS (SELECT w, n, p, w[:p - 1] || w[p + 1:] AS g FROM (SELECT w, n, unnest(range(1, length(w) + 1)) AS p FROM voc)),
+             near AS (SELECT DISTINCT a.w, a.n, b.w AS o, b.n AS m FROM gap a JOIN gap b ON a.p = b.p AND a.g = b.g AND a.w <> b.w
+                      UNION SELECT v.w, v.n, g.w, g.n FROM voc v JOIN gap g ON g.g = v.w
+                      UNION SELECT g.w, g.n, v.w, v.n FROM voc v JOIN gap g ON g.g = v.w),
+             best AS (SELECT w, count(*) AS n_near, first(o ORDER BY m DESC, o) AS o, max(m) AS m FROM near GROUP BY w),
+             formed AS (SELECT voc.w, voc.n, coalesce(n_near, 0) AS n_near, CASE WHEN m >= 5 * n THEN o END AS form,
+                               CASE WHEN m >= 5 * n THEN m END AS form_n FROM voc LEFT JOIN best USING (w)),
+             chain AS (SELECT w, w AS at FROM formed
+                       UNION ALL SELECT chain.w, formed.form FROM chain JOIN formed ON formed.w = chain.at WHERE form IS NOT NULL)
+        SELECT f.w AS word, f.form, c.at AS root, f.n, f.n_near, f.form_n FROM formed f JOIN chain c ON c.w = f.w
+        JOIN formed e ON e.w = c.at WHERE e.form IS NULL""",
 }
