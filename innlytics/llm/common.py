@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from innlytics.plans.checkpoint import cut, drop
+from innlytics.plans.joins import lookup
 from innlytics.session import checkpoint_dir
 
 __all__ = ["cut", "drop", "fresh", "mix64", "new_path", "numbered", "read", "release", "shingles", "small_batches", "text_bytes", "word_hashes"]
@@ -54,8 +55,9 @@ def fresh(df: DataFrame, name: str) -> str:
 
 def numbered(docs: DataFrame, name: str = "rows") -> tuple[DataFrame, str]:
     """The rows with an id of their own (a long, the same at every reading), and
-    the new column's name. Of a Parquet table it is the place in the files;
-    other frames are written once with it."""
+    the new column's name. Of a Parquet table it is the place in the files (their
+    paths, which the driver lists for any read, are a table of their own,
+    broadcast after a check of its size); other frames are written once with it."""
     rid = fresh(docs, "rid")
     if not _is_parquet(docs):
         return cut(docs.withColumn(rid, F.monotonically_increasing_id()), name), rid
@@ -63,7 +65,7 @@ def numbered(docs: DataFrame, name: str = "rows") -> tuple[DataFrame, str]:
     files = sorted(r[0] for r in docs.select("_metadata.file_path").distinct().collect())
     numbers = docs.sparkSession.createDataFrame(list(zip(files, range(len(files)))), f"`{file}` string, `{no}` long")
     placed = docs.select("*", F.col("_metadata.file_path").alias(file), F.col("_metadata.row_index").alias(rid))
-    return placed.join(F.broadcast(numbers), file).select(
+    return placed.join(lookup(numbers), file).select(
         *[F.col(f"`{c}`") for c in docs.columns], (F.shiftleft(no, 40) + F.col(rid)).alias(rid)), rid
 
 
