@@ -85,6 +85,12 @@ def php_empty(c, dtype: T.DataType) -> Column:
     return c.isNull()
 
 
+def text_key(c) -> Column:
+    """A text as the schema's keys compare it: MySQL's default collation knows
+    neither case nor accents. Equality, grouping and joins of the result do so."""
+    return F.collate(col(c), "UNICODE_CI_AI")
+
+
 def concat_all(*parts) -> Column:
     """MySQL CONCAT, NULL if any argument is NULL (same as Spark concat)."""
     return F.concat(*[p if isinstance(p, Column) else F.lit(p) for p in parts])

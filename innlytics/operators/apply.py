@@ -22,10 +22,12 @@ from pyspark.sql import functions as F
 from innlytics.functions import scalar as E
 from innlytics.operators import booking as B
 from innlytics.operators import changes as CH
+from innlytics.operators import load as LD
 from innlytics.operators import quality as Q
 from innlytics.plans import intervals as IV
 from innlytics.plans.checkpoint import cut
 from innlytics.plans.components import components
+from innlytics.plans.first_come import first_come
 from innlytics.plans.numbering import new_ids
 from innlytics.sources import catalog as C
 from innlytics.sources.tables import Tables
@@ -297,38 +299,17 @@ def apply_registrations(t: Tables, requests: DataFrame, as_of=None) -> Applied:
     with that email also refuses it (UNIQUE at commit). The password is never
     stored.
 
-    In-batch order is resolved in rounds over the pending requests alone: those
-    that are the earliest pending for both their keys are accepted, then the
-    pending ones that share a key with them are refused. The smallest pending
-    request is always accepted, so the rounds end by themselves."""
+    In-batch order is resolved by ``first_come`` on both keys, in rounds over the
+    pending requests alone."""
     r = Q.required(requests, ["username", "email", "password", "nama", "telepon"]).drop("password")
-    r = r.withColumn("_u", F.lower("username")).withColumn("_e", F.lower("email"))
-    r = _flag_existing(r, "_u", t.users, F.lower("username"), MSG_REGISTERED)
-    r = _flag_existing(r, "_e", t.users, F.lower("email"), MSG_REGISTERED)
-    r = _flag_existing(r, "_e", t.tamu, F.lower("email"), MSG_DUPLICATE)
-    pend, rejected = Q.split(cut(r))
-    accepted = []
-    while True:
-        first_u = pend.groupBy("_u").agg(F.min("req_seq").alias("_fu"))
-        first_e = pend.groupBy("_e").agg(F.min("req_seq").alias("_fe"))
-        now = cut(pend.join(first_u, "_u").join(first_e, "_e")
-                  .where((F.col("_fu") == F.col("req_seq")) & (F.col("_fe") == F.col("req_seq")))
-                  .select(*pend.columns), "accepted")
-        if now.isEmpty():  # nothing was pending
-            break
-        accepted.append(now)
-        rest = pend.join(now.select("req_seq"), "req_seq", "left_anti")
-        taken_u = now.select("_u", F.lit(True).alias("_tu"))
-        taken_e = now.select("_e", F.lit(True).alias("_te"))
-        marked = cut(rest.join(taken_u, "_u", "left").join(taken_e, "_e", "left")
-                     .select(*pend.columns, (F.col("_tu").isNotNull() | F.col("_te").isNotNull()).alias("_clash")),
-                     "pending")
-        rejected = rejected.unionByName(marked.where("_clash").drop("_clash")
-                                        .withColumn("reasons", F.array(F.lit(MSG_REGISTERED))))
-        pend = marked.where(~F.col("_clash")).drop("_clash")
-    acc = pend if not accepted else accepted[0]
-    for part in accepted[1:]:
-        acc = acc.unionByName(part)
+    r = r.withColumn("_u", E.text_key("username")).withColumn("_e", E.text_key("email"))
+    r = _flag_existing(r, "_u", t.users, E.text_key("username"), MSG_REGISTERED)
+    r = _flag_existing(r, "_e", t.users, E.text_key("email"), MSG_REGISTERED)
+    r = _flag_existing(r, "_e", t.tamu, E.text_key("email"), MSG_DUPLICATE)
+    r = cut(r)
+    won = first_come(r.where(F.size("reasons") == 0), "req_seq", ["_u", "_e"])
+    r = Q.with_reasons(r.join(won, "req_seq", "left"), [(F.col("won") == F.lit(False), MSG_REGISTERED)]).drop("won")
+    acc, rejected = Q.split(r)
     # SELECT id_role FROM roles WHERE nama_role = 'tamu' (first match)
     role = t.roles.where(F.col("nama_role") == "tamu").agg(F.min("id_role")).scalar()
     with_tid = _assign_ids(acc, {"id_user": t.users, "id_tamu": t.tamu}).withColumn("role_id", role.cast("bigint"))
@@ -442,36 +423,12 @@ def apply_room_updates(t: Tables, patches: DataFrame, actor_id: int = 1, as_of=N
     return Applied(ok, rejected, api, t.with_(kamar=kamar))
 
 
-# Foreign keys that point at a room: (table, column, action).
-ROOM_REFERENCES = [
-    ("kamar_fasilitas", "kamar_id", "cascade"),
-    ("detail_reservasi", "kamar_id", "set_null"),
-    ("ulasan", "kamar_id", "cascade"),
-]
-
-
-def delete_with_references(t: Tables, parent: str, pk: str, keys: DataFrame, key_col: str,
-                           references: list[tuple[str, str, str]]) -> Tables:
-    """Generic DELETE with FK actions: CASCADE = left_anti, SET NULL = left
-    join + NULL on hit."""
-    gone = keys.select(F.col(key_col).alias("_gone")).where(F.col("_gone").isNotNull()).distinct()
-    changes = {parent: getattr(t, parent).join(gone, F.col(pk) == F.col("_gone"), "left_anti")}
-    for table, col, action in references:
-        df = getattr(t, table)
-        if action == "cascade":
-            changes[table] = df.join(gone, F.col(col) == F.col("_gone"), "left_anti")
-        else:
-            hit = gone.withColumn("_hit", F.lit(True))
-            changes[table] = (df.join(hit, F.col(col) == F.col("_gone"), "left")
-                              .withColumn(col, F.when(F.col("_hit").isNull(), F.col(col)))
-                              .select(*df.columns))
-    return t.with_(**changes)
-
-
 def apply_room_deletes(t: Tables, keys: DataFrame, actor_id: int = 1, as_of=None) -> Applied:
-    """B14. keys: req_seq, id_kamar."""
+    """B14. keys: req_seq, id_kamar. The room's facilities and reviews go and its
+    stays lose their room, as the references say. A room that is unknown, or
+    deleted by an earlier request, changes nothing but is still logged."""
     r = Q.with_reasons(keys, [(F.col("id_kamar").isNull() | (F.col("id_kamar") == 0), MSG_ID_REQUIRED)])
     ok, rejected = Q.split(r)
-    tables = delete_with_references(t, "kamar", "id_kamar", ok, "id_kamar", ROOM_REFERENCES)
+    done = LD.delete_rows(t, "kamar", ok, "id_kamar")
     api = CH.audit_actions("room_delete", ok, user_id=actor_id, when=as_of)
-    return Applied(ok, rejected, api, tables)
+    return Applied(ok, rejected, api, done.tables, {"gone": done.gone})

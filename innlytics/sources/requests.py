@@ -9,6 +9,8 @@ queries and the bench): every batch grows with the data it is derived from.
   twice, a share of them refused first and valid then
 * registrations (B11): one per 'signup' event, with taken, repeated and
   chained keys
+* bulk loads (S2): one row per stored login, guest, review and stay, with
+  faults of every kind
 * room inserts/updates/deletes (B12-B14): from the room table, with refused
   requests before valid ones and numbers freed and taken inside the batch
 """
@@ -130,6 +132,58 @@ def room_delete_keys(t: Tables) -> DataFrame:
         F.col("id_kamar").alias("req_seq"), "id_kamar")
 
 
+def room_delete_requests(t: Tables) -> DataFrame:
+    """B14 with refused and repeated requests: every maintenance room is named
+    twice, other rooms of even id without an id (NULL, or 0 by threes), the rest by
+    ids that do not exist."""
+    k = F.col("id_kamar")
+    asked = (F.when(F.col("status_id") == C.ROOM_MAINTENANCE, k).when(k % 6 == 0, F.lit(0)).when(k % 2 == 0, F.lit(None))
+             .otherwise(-k))
+    return t.kamar.withColumn("_turn", F.explode(F.array(F.lit(0), F.lit(1)))).select(
+        (k * 2 + F.col("_turn")).alias("req_seq"), asked.cast("bigint").alias("id_kamar"))
+
+
+#: New logins of a bulk load get ids from here on.
+LOAD_BASE = 1_000_000_000
+
+
+def load_batches(t: Tables) -> dict[str, DataFrame]:
+    """Rows to load into four tables, one per stored row, with faults of every
+    kind. Logins: stored ids, no or too long names, unknown roles, stored emails
+    in capitals, names and emails that several rows share (in other case and with
+    accents). Guests of these logins: missing names, too long phone numbers, shared
+    emails, logins that were refused. Reviews: ratings out of range, unknown rooms,
+    stored ids. Stays: missing and turned dates, unknown rooms and reservations."""
+    i = F.col("id_user")
+    name = F.concat(F.element_at(F.array(F.lit("muat"), F.lit("MUAT"), F.lit("Muát")), (i % 3 + 1).cast("int")),
+                    F.floor(i / 4).cast("string"))
+    users = t.users.select(
+        i.alias("req_seq"), F.when(i % 6 == 0, i).otherwise(i + LOAD_BASE).alias("id_user"),
+        F.when(i % 13 == 0, F.lit(None)).when(i % 17 == 0, F.repeat(F.lit("x"), 51)).otherwise(name).alias("username"),
+        F.when(i % 19 == 0, F.upper("email")).otherwise(
+            F.concat(F.lit("muat"), F.floor(i / 3).cast("string"), F.lit("@example.com"))).alias("email"),
+        F.when(i % 5 == 0, i % 4 + 1).otherwise(F.lit(3)).cast("bigint").alias("role_id"))
+    g = F.col("id_tamu")
+    guests = t.tamu.select(
+        g.alias("req_seq"), F.when(g % 7 != 0, F.concat(F.lit("Muat "), g.cast("string"))).alias("nama"),
+        F.concat(F.lit("tamu-muat"), F.floor(g / 2).cast("string"), F.lit("@example.com")).alias("email"),
+        F.when(g % 23 == 0, F.repeat(F.lit("0"), 16)).alias("telepon"),
+        F.when(g % 2 == 0, g + LOAD_BASE).alias("user_id"))
+    u = F.col("id_ulasan")
+    reviews = t.ulasan.select(
+        u.alias("req_seq"), F.when(u % 10 == 0, u).alias("id_ulasan"), "tamu_id",
+        F.when(u % 11 == 0, F.lit(-1)).otherwise(F.col("kamar_id")).cast("bigint").alias("kamar_id"),
+        (F.col("rating") * 2 - 3).alias("rating"), "tanggal")
+    r, k = F.col("reservasi_id"), F.col("kamar_id")
+    turned = r % 31 == 0
+    stays = t.detail_reservasi.select(
+        F.col("id_detail").alias("req_seq"), F.when(k % 41 == 0, F.lit(-1)).otherwise(r).cast("bigint").alias("reservasi_id"),
+        F.when(k % 37 != 0, F.when(k % 43 == 0, -k).otherwise(k)).alias("kamar_id"),
+        F.when(r % 29 != 0, F.when(turned, F.col(CO)).otherwise(F.col(CI))).alias(CI),
+        F.when(turned, F.col(CI)).otherwise(F.col(CO)).alias(CO), "harga")
+    return {"users": users, "tamu": guests, "ulasan": reviews, "detail_reservasi": stays}
+
+
 def registration_requests(events: DataFrame) -> DataFrame:
     """B11 requests: one per signup event, keys derived from growing ids. Every
     fifth user asks for an existing login; the others for a new name that their
