@@ -33,8 +33,8 @@ from innlytics.plans.numbering import new_ids
 WEIGHTS = (5, 2, 1)
 #: How often a document may be taken.
 MAX_REPEATS = 3
-#: About as many rows share a bucket of the order, and as many buckets a bucket of the second level.
-BUCKET_ROWS = 1 << 14
+#: About so many rows share a bucket of the order, and so many buckets a span of the second level.
+BUCKET_ROWS, SPAN_BUCKETS = 1 << 9, 1 << 13
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -68,7 +68,7 @@ def source_targets(sizes: DataFrame, weights: tuple = WEIGHTS, repeats: int = MA
 def _before(rows: DataFrame, group: list[str], bucket: str, order: list[Column], amount: str, out: str) -> DataFrame:
     """Running sum of ``amount`` before each row in its group, by (bucket, order): within a bucket by a window;
     the sums of buckets, and of spans of buckets, by windows over those sums."""
-    span = F.floor(F.col(bucket) / BUCKET_ROWS)
+    span = F.floor(F.col(bucket) / SPAN_BUCKETS)
     sums = rows.groupBy(*group, bucket).agg(F.sum(amount).alias("_sum")).withColumn("_span", span)
     spans = sums.groupBy(*group, "_span").agg(F.sum("_sum").alias("_all"))
     rest = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)

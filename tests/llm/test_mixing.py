@@ -80,6 +80,7 @@ def test_mix_is_gapless_in_order_of_finish_and_fills_the_budget(spark, rows):
 def test_small_buckets_change_nothing(spark, rows, monkeypatch):
     whole = sorted(map(tuple, mixing.mix_documents(frame(spark, rows)).collect()), key=str)
     monkeypatch.setattr(mixing, "BUCKET_ROWS", 2)
+    monkeypatch.setattr(mixing, "SPAN_BUCKETS", 3)
     assert sorted(map(tuple, mixing.mix_documents(frame(spark, rows).repartition(7)).collect()), key=str) == whole
 
 
