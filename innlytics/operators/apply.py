@@ -333,8 +333,8 @@ def apply_room_inserts(t: Tables, requests: DataFrame, actor_id: int = 1, as_of=
     r = r.withColumn("status_id", F.coalesce("status_id", F.lit(C.ROOM_FREE).cast("bigint")))
     r = Q.flag_missing_parent(r, "tipe_id", t.tipe_kamar, "id_tipe", MSG_FK.format("tipe_kamar"))
     r = Q.flag_missing_parent(r, "status_id", t.status_kamar, "id_status", MSG_FK.format("status_kamar"), lookup=True)
-    r = _flag_existing(r, F.lower("nomor_kamar"), t.kamar, F.lower("nomor_kamar"), MSG_DUPLICATE)
-    r = _first_wins(r, [F.lower("nomor_kamar")], MSG_DUPLICATE)
+    r = _flag_existing(r, E.text_key("nomor_kamar"), t.kamar, E.text_key("nomor_kamar"), MSG_DUPLICATE)
+    r = _first_wins(r, [E.text_key("nomor_kamar")], MSG_DUPLICATE)
     ok, rejected = Q.split(r)
     rows = _assign_ids(ok, {"id_kamar": t.kamar})
     new_rooms = rows.select("id_kamar", "nomor_kamar", "tipe_id", "status_id")
@@ -375,14 +375,17 @@ def arbitrate_numbers(kamar: DataFrame, patches: DataFrame) -> DataFrame:
     Patches matter to each other only through a room or a number they share,
     so they are split into connected components of the room-number graph;
     each is streamed in request order, different ones in parallel."""
-    no = F.lower("nomor_kamar")
-    asks = patches.select("req_seq", F.col("id_kamar").alias("room"), no.alias("no"))
+    asks = patches.select("req_seq", F.col("id_kamar").alias("room"), F.col("nomor_kamar").alias("no"))
     touched = asks.select("room").distinct()
-    wanted = asks.select(F.col("no").alias("_w")).distinct()
-    book = kamar.select(F.col("id_kamar").alias("room"), no.alias("no"))
+    wanted = asks.select(E.text_key("no").alias("_w")).distinct()
+    book = kamar.select(F.col("id_kamar").alias("room"), F.col("nomor_kamar").alias("no"))
     held = cut(book.join(touched, "room", "left_semi").union(
-        book.join(wanted, F.col("no") == F.col("_w"), "left_semi")).distinct(), "numbers")
+        book.join(wanted, E.text_key("no") == F.col("_w"), "left_semi")).distinct(), "numbers")
     rows = held.select(F.lit(-1).cast("bigint").alias("req_seq"), "room", "no").unionByName(asks)
+    # numbers that are equal without case and accents get one spelling
+    spelt = rows.where(F.col("no").isNotNull()).groupBy(E.text_key("no").alias("_k")).agg(F.min("no").alias("_no"))
+    rows = cut(rows.join(spelt, E.text_key("no") == F.col("_k"), "left").select("req_seq", "room", F.col("_no").alias("no")),
+               "numbers")
     node = F.xxhash64(F.lit("room"), "room")
     graph = rows.where(F.col("no").isNotNull()).select(node.alias("a"), F.xxhash64(F.lit("no"), "no").alias("b"))
     comps = components(graph).withColumnRenamed("root", "comp")

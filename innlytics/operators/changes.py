@@ -14,6 +14,7 @@ from innlytics.sources import catalog as C
 
 # Fixed texts of the audit lines (the reference's wording).
 TXT_NEW_RESERVATION = ("Reservasi baru #", " untuk tamu ID ")
+TXT_CHECKED_OUT = ("Reservasi #", " berhasil check-out")
 TXT_TRANSITION = ("Reservasi #", " berubah status: ", " -> ")
 TXT_API = {
     "booking": ("Buat reservasi #", " untuk tamu ID "),
@@ -120,6 +121,13 @@ def room_status_after(kamar: DataFrame, transitions: DataFrame, stays: DataFrame
             .withColumn("status_id", F.coalesce("_new", "status_id")).drop("kamar_id", "_new"))
 
 
+def checkout_results(checkouts: DataFrame) -> DataFrame:
+    """E7's third site: the checkout procedure's reply for each reservation (NULL
+    for a NULL id, as CONCAT)."""
+    return checkouts.select(E.concat_all(TXT_CHECKED_OUT[0], F.col("reservasi_id").cast("string"), TXT_CHECKED_OUT[1])
+                            .alias("hasil"))
+
+
 def _php_str(c) -> F.Column:
     """PHP string concatenation turns NULL into ''."""
     return F.coalesce(F.col(c).cast("string") if isinstance(c, str) else c.cast("string"), F.lit(""))

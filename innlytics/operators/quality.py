@@ -49,11 +49,14 @@ def required(df: DataFrame, cols: Sequence[str], out: str = "reasons") -> DataFr
 
 def unique(df: DataFrame, cols: Sequence[str], case_insensitive: bool = False) -> DataFrame:
     """Q2: key values occurring more than once (rows with a NULL key part are
-    exempt). Text keys compare case-insensitively when asked (MySQL's
-    default collation)."""
-    key = [F.lower(F.col(c)).alias(c) if case_insensitive else F.col(c) for c in cols]
+    exempt). Text keys compare without case and accents when asked (MySQL's
+    default collation); the smallest of the lower-cased spellings stands for all."""
     nn = df.where(F.lit(True) if not cols else F.expr(" AND ".join(f"`{c}` IS NOT NULL" for c in cols)))
-    return nn.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
+    if not case_insensitive:
+        return nn.groupBy(*cols).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
+    keys = [E.text_key(c).alias(f"_k{i}") for i, c in enumerate(cols)]
+    return (nn.groupBy(*keys).agg(*[F.min(F.lower(c)).alias(c) for c in cols], F.count(F.lit(1)).alias("n"))
+            .where(F.col("n") > 1).select(*cols, "n"))
 
 
 def not_null(df: DataFrame, cols: Sequence[str]) -> DataFrame:

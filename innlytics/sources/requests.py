@@ -184,6 +184,22 @@ def load_batches(t: Tables) -> dict[str, DataFrame]:
     return {"users": users, "tamu": guests, "ulasan": reviews, "detail_reservasi": stays}
 
 
+def request_bodies(t: Tables) -> DataFrame:
+    """One booking request body per reservation, by id modulo 12: whole (0-3,
+    with spaces or a number written as text), with text after it, in an array, two
+    in a row, cut short, a word for the room, no room, null for the room, NULL."""
+    i = F.col("id_reservasi")
+    s = lambda c: c.cast("string")
+    base = F.concat(F.lit('{"tamu_id":'), s(F.col("tamu_id")), F.lit(',"kamar_id":'), s(i % 200 + 1))
+    whole = F.concat(base, F.lit(',"tanggal_checkin":"'), F.date_format("tanggal_pesan", "yyyy-MM-dd"), F.lit('"}'))
+    guest = F.concat(F.lit('{"tamu_id":'), s(F.col("tamu_id")))
+    kinds = [whole, F.concat(F.lit(" "), whole, F.lit(" ")), F.concat(guest, F.lit(',"kamar_id":"7"}')),
+             F.concat(base, F.lit(',"catatan":{"a":[1,"}"]}}')), F.concat(whole, F.lit(" x")),
+             F.concat(F.lit("["), whole, F.lit("]")), F.concat(whole, whole), base, F.concat(guest, F.lit(',"kamar_id":"tujuh"}')),
+             F.concat(guest, F.lit("}")), F.concat(guest, F.lit(',"kamar_id":null}')), F.lit(None).cast("string")]
+    return t.reservasi.select(i.alias("req_seq"), F.element_at(F.array(*kinds), (i % 12 + 1).cast("int")).alias("body"))
+
+
 def registration_requests(events: DataFrame) -> DataFrame:
     """B11 requests: one per signup event, keys derived from growing ids. Every
     fifth user asks for an existing login; the others for a new name that their
