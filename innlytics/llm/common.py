@@ -18,14 +18,15 @@ __all__ = ["cut", "drop", "fresh", "mix64", "new_path", "numbered", "read", "rel
 # Words are runs of anything but ASCII white space. ``bytes.split()`` splits
 # exactly there (space, \t, \n, \v, \f, \r), so texts are handled as bytes.
 
-# Rows per Arrow batch: a batch of documents stays a few MB on average and,
-# with texts of 100 KB, still far below a worker's memory.
-BATCH_ROWS = 512
+# Rows and bytes per Arrow batch: a batch ends at either, and a text that is longer
+# is a batch of its own.
+BATCH_ROWS, BATCH_BYTES = 512, 8 << 20
 
 
 def small_batches(spark: SparkSession) -> None:
     """Keep the Arrow batches that go to Python small."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def release(spark: SparkSession) -> None:
