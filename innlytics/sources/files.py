@@ -42,7 +42,7 @@ def read_tables(spark: SparkSession, root: str, fmt: str = "parquet", options: d
                 df = reader.schema(T.StructType([*schema.fields, T.StructField(MONTH, T.StringType())])).load(path)
                 frames[name] = _between(df, MONTH_PARTITION[name], *bounds[name]).select(*schema.names)
             else:
-                frames[name] = reader.schema(schema).load(path)
+                frames[name] = reader.schema(schema).load(path).select(*schema.names)
     return Tables.from_frames(spark, frames)
 
 
