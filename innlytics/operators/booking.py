@@ -55,37 +55,11 @@ def _valid(df: DataFrame) -> DataFrame:
 def booking_conflicts(t: Tables, requests: DataFrame, request_id: str = "request_id",
                       requests_valid: bool = False) -> DataFrame:
     """Per request (request_id, kamar_id, checkin, checkout), the number
-    of active stays of that room with ``ci < q.co AND co > q.ci``.
-
-    Valid requests and stays by cumulative counts, #(ci < q.co) - #(co <= q.ci)
-    (no pairs, whatever the room). The rare remainder (a request or stay with
-    checkout <= checkin, which V1 rejects) is counted exactly by an
-    equi-join on the room over those rows only. ``requests_valid=True``
-    (the caller already applied V1) skips the invalid-request branch."""
+    of active stays of that room with ``ci < q.co AND co > q.ci``, by cumulative
+    counts alone (``intervals.overlap_count``), turned dates included.
+    ``requests_valid=True``: the caller already applied V1."""
     stays = active_stays(t).where(F.col("kamar_id").isNotNull()).select("kamar_id", CI, CO)
-    good_stays, bad_stays = _valid(stays), stays.where(~(F.col(CO) > F.col(CI)))
-    req = requests.select(request_id, "kamar_id", CI, CO)
-    good_req = _valid(req)
-    valid_counts = IV.overlap_count(good_stays, good_req, ["kamar_id"], request_id, CI, CO, out="_n")
-    # Remainders: invalid requests against the stays covering night q.ci
-    # (only rooms that have such a request are exploded), and requests
-    # against invalid stays. Both sides are rare.
-    bad_req = req.where(~(F.col(CO) > F.col(CI)))
-    bad_rooms = bad_req.select("kamar_id").distinct()
-    s_n = (IV.nights(good_stays.join(bad_rooms, "kamar_id", "left_semi"), CI, CO)
-           .select(F.col("kamar_id").alias("_k"), F.col(CI).alias("_sci"), "night"))
-    rem1 = (bad_req.join(s_n, (F.col("kamar_id") == F.col("_k")) & (F.col("night") == F.col(CI)), "inner")
-            .where(F.col("_sci") < F.col(CO)).groupBy(request_id).agg(F.count(F.lit(1)).alias("_n")))
-    rem2 = (req.join(bad_stays.select(F.col("kamar_id").alias("_k"), F.col(CI).alias("_sci"),
-                                      F.col(CO).alias("_sco")),
-                     (F.col("kamar_id") == F.col("_k")) & (F.col("_sci") < F.col(CO)) & (F.col("_sco") > F.col(CI)),
-                     "inner")
-            .groupBy(request_id).agg(F.count(F.lit(1)).alias("_n")))
-    parts = [valid_counts, rem2] if requests_valid else [valid_counts, rem1, rem2]
-    total = parts[0]
-    for p in parts[1:]:
-        total = total.unionByName(p)
-    total = total.groupBy(request_id).agg(F.sum("_n").alias("_n"))
+    total = IV.overlap_count(stays, requests, ["kamar_id"], request_id, CI, CO, out="_n", requests_valid=requests_valid)
     return (requests.join(total, request_id, "left")
             .withColumn("jumlah_konflik", F.coalesce("_n", F.lit(0)).cast("bigint")).drop("_n"))
 
@@ -100,10 +74,9 @@ def available_rooms(t: Tables, requests: DataFrame, request_id: str = "request_i
 
         free = #(gap_start <= ci) - #(gap_end < co) + #(ci < gap_start, gap_end < co)
 
-    The first two are prefix counts per type; the last counts gaps lying
-    strictly inside the request: each inner day of the request meets the gaps
-    of the type that start there, summed by end day (a list bounded by the
-    calendar), so a request costs one row a night.
+    The first two are cumulative counts per type; the last, the gaps strictly
+    inside the request, is counted by dyadic blocks of days
+    (``intervals.count_inside``), so that no request costs a row a night.
     ``null_mode='mysql'`` reproduces ``NOT IN`` over a nullable column: an
     overlapping active stay without a room makes the count 0; ``'ignore'``
     is the plain anti join."""
@@ -129,16 +102,9 @@ def available_rooms(t: Tables, requests: DataFrame, request_id: str = "request_i
         F.struct(F.col(CO).alias("_px"), F.lit(1).alias("_kind")))).alias("_q")).select(
         request_id, "tipe_id", "_q._px", "_q._kind")
     pq = (IV.count_before(ev, pts, ["tipe_id", "_kind"], "_ed", "_one", [request_id], "_px", out="_c")
-          .groupBy(request_id).agg(F.sum(F.when(F.col("_kind") == 0, F.col("_c"))).alias("_p"),
-                                   F.sum(F.when(F.col("_kind") == 1, F.col("_c"))).alias("_q")))
-    by_start = gap_counts.groupBy("tipe_id", "gap_start").agg(F.collect_list(F.struct("gap_end", "_g")).alias("_ends"))
-    starts = F.when(F.datediff(CO, CI) >= 3, F.sequence(F.date_add(CI, 1), F.date_sub(CO, 2)))
-    inside = F.aggregate(F.filter("_ends", lambda e: e["gap_end"] < F.col(CO)), F.lit(0).cast("bigint"),
-                         lambda acc, e: acc + e["_g"])
-    r = (good.withColumn("gap_start", F.explode(starts)).join(by_start, ["tipe_id", "gap_start"], "inner")
-         .groupBy(request_id).agg(F.sum(inside).alias("_r")))
-    free_valid = (pq.join(r, request_id, "left")
-                  .select(request_id, (F.col("_p") - F.col("_q") + F.coalesce("_r", F.lit(0))).alias("_free")))
+          .select(request_id, F.when(F.col("_kind") == 0, F.col("_c")).otherwise(-F.col("_c")).alias("_c")))
+    inside = IV.count_inside(gap_counts, good, ["tipe_id"], "gap_start", "gap_end", "_g", request_id, CI, CO, out="_c")
+    free_valid = pq.unionByName(inside).groupBy(request_id).agg(F.sum("_c").alias("_free"))
     # Invalid ranges (checkout <= checkin): busy rooms are those with a stay
     # covering night q.checkin and starting before q.checkout; counted exactly.
     bad = req.where(~(F.col(CO) > F.col(CI)))
@@ -167,31 +133,17 @@ def available_rooms(t: Tables, requests: DataFrame, request_id: str = "request_i
 
 
 def _zero_on_null_room(t: Tables, out: DataFrame, requests: DataFrame, request_id: str) -> DataFrame:
-    """Requests hit by an overlapping active stay whose room is NULL get 0."""
+    """Requests hit by an overlapping active stay whose room is NULL get 0. A
+    range is asked once, however many requests share it; the days of the stays
+    without a room, and of the ranges, are bounded by the calendar."""
     null_stays = active_stays(t).where(F.col("kamar_id").isNull()).select(CI, CO)
-    good_null = _valid(null_stays)
-    req = requests.select(request_id, CI, CO)
-    good = _valid(req)
-    hit_valid = (IV.overlap_count(good_null, good, [], request_id, CI, CO, calendar_keys=True, out="_h")
-                 .where(F.col("_h") > 0).select(request_id))
-    # Invalid NULL-room stays (co <= ci; V1 refuses them at insert, so rare):
-    # one hits a valid request iff q.ci < s.co <= s.ci < q.co, so s.co is one
-    # of the request's inner days -> exact-key join on that day (fan-out
-    # bounded by the request length). An invalid request never hits one.
-    # Only existence matters: the earliest check-in of each day is enough.
-    odd = (null_stays.where(~(F.col(CO) > F.col(CI))).groupBy(F.col(CO).alias("_day"))
-           .agg(F.min(CI).alias("_sci")))
-    inner_days = F.when(F.datediff(CO, CI) >= 2, F.sequence(F.date_add(CI, 1), F.date_sub(CO, 1)))
-    hit_odd = (good.select(request_id, CO, F.explode(inner_days).alias("_day"))
-               .join(odd, "_day", "inner").where(F.col("_sci") < F.col(CO)).select(request_id))
-    bad_req = req.where(~(F.col(CO) > F.col(CI)))
-    n = IV.nights(good_null, CI, CO).groupBy("night").agg(F.min(CI).alias("_sci"))
-    hit_bad = (bad_req.join(n, n["night"] == bad_req[CI], "inner").where(F.col("_sci") < F.col(CO))
-               .select(request_id))
-    hits = hit_valid.unionByName(hit_odd).unionByName(hit_bad).distinct().withColumn("_null_hit", F.lit(True))
-    return (out.join(hits, request_id, "left")
+    ranges = requests.select(CI, CO).where(F.col(CI).isNotNull() & F.col(CO).isNotNull()).distinct()
+    ranges = ranges.withColumn("_range", F.struct(CI, CO))
+    hits = IV.overlap_count(null_stays, ranges, [], "_range", CI, CO, out="_h").where(F.col("_h") > 0)
+    hits = hits.select(F.col(f"_range.{CI}").alias("_hci"), F.col(f"_range.{CO}").alias("_hco"), F.lit(True).alias("_null_hit"))
+    return (out.join(hits, (F.col(CI) == F.col("_hci")) & (F.col(CO) == F.col("_hco")), "left")
             .withColumn("tersedia", F.when(F.col("_null_hit"), F.lit(0).cast("bigint")).otherwise(F.col("tersedia")))
-            .drop("_null_hit"))
+            .drop("_hci", "_hco", "_null_hit"))
 
 
 def room_price(t: Tables, room_id=None, mode: str = "api") -> DataFrame:

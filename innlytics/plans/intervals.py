@@ -3,99 +3,113 @@
 A room's stays are reduced to one summary row per (room, check-in day)
 before any ordered window runs, so every window partition is bounded by the
 calendar (distinct days), not by the number of stays; hot rooms are absorbed
-by map-side partial aggregation. Range lookups are answered with prefix
-counts decomposed into (year, month, day) levels, so each lookup point joins
-at most (#years + 12 + 31) summary rows of its key.
+by map-side partial aggregation. Range lookups are cumulative counts over day
+summaries; counts of intervals inside an interval go by dyadic blocks of days,
+so that a lookup costs at most twice the logarithm of its length in rows.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 NEG_INF_DAY = "0001-01-01"
 POS_INF_DAY = "9999-12-31"
+#: Largest dyadic block of days (4096); longer ranges take several of these.
+TOP_LEVEL = 12
 
 
 def count_before(events: DataFrame, points: DataFrame, keys: Sequence[str], ev_day: str, weight: str,
-                 pid: str | Sequence[str], pt_day: str, out: str = "cnt",
-                 calendar_keys: bool = False) -> DataFrame:
+                 pid: str | Sequence[str], pt_day: str, out: str = "cnt") -> DataFrame:
     """For every point (pid..., keys, pt_day): sum of ``weight`` over events
-    of the same keys with ``ev_day < pt_day``. Returns (pid..., out) for
-    every point (0 when nothing precedes).
+    of the same keys with ``ev_day < pt_day``. Returns (pid..., keys, out) for
+    every point (0 when nothing precedes, or a key or the day is NULL).
 
-    ``calendar_keys=True`` declares that the keys take a fixed handful of
-    values (e.g. a kind tag), so the summaries are bounded by the calendar
-    and are broadcast instead of shuffling all points onto few keys."""
+    Events and the days asked for become one summary row per (keys, day), a
+    running sum goes over the days of each key (bounded by the calendar), and a
+    point meets the one row of its day."""
     keys = list(keys)
     pids = [pid] if isinstance(pid, str) else list(pid)
-    ident = [*pids, *keys]  # a point is identified by its id and its keys
-    # All three levels in ONE aggregation (grouping sets: one shuffle, partial
-    # aggregation map-side). Level rows: (keys, _lvl, _b bucket, _o order, _w)
-    #   year  : bucket 0,          order = year
-    #   month : bucket = year,     order = month
-    #   day   : bucket = yyyymm,   order = day of month
-    ev = events.select(*keys, F.year(ev_day).alias("_y"), F.month(ev_day).alias("_m"),
-                       F.dayofmonth(ev_day).alias("_dd"), F.col(weight).alias("_w"))
-    kc = [F.col(k) for k in keys]
-    y, m, dd = F.col("_y"), F.col("_m"), F.col("_dd")
-    agg = (ev.groupingSets([[*kc, y], [*kc, y, m], [*kc, y, m, dd]], *kc, y, m, dd)
-           .agg(F.sum("_w").alias("_w"), F.grouping_id().alias("_gid")))
-    # grouping_id bits follow (keys..., _y, _m, _dd): day level = 0,
-    # month level = 1 (_dd rolled up), year level = 3 (_m, _dd rolled up)
-    lvl = F.when(F.col("_gid") == 0, F.lit(2)).when(F.col("_gid") == 1, F.lit(1)).otherwise(F.lit(0))
-    summ = agg.select(
-        *keys, lvl.alias("_lvl"),
-        F.when(F.col("_gid") == 0, y * 100 + m).when(F.col("_gid") == 1, y).otherwise(F.lit(0)).alias("_b"),
-        F.when(F.col("_gid") == 0, dd).when(F.col("_gid") == 1, m).otherwise(y).alias("_o"),
-        "_w")
-    if calendar_keys or not keys:
-        summ = F.broadcast(summ)
-    # Each point probes the three levels: full years before its year, full
-    # months before its month in its year, days before its day in its month.
-    x = F.col(pt_day)
-    probes = points.select(*ident, F.explode(F.array(
-        F.struct(F.lit(0).alias("_lvl"), F.lit(0).alias("_b"), F.year(x).alias("_lim")),
-        F.struct(F.lit(1).alias("_lvl"), F.year(x).alias("_b"), F.month(x).alias("_lim")),
-        F.struct(F.lit(2).alias("_lvl"), (F.year(x) * 100 + F.month(x)).alias("_b"), F.dayofmonth(x).alias("_lim")),
-    )).alias("_p")).select(*ident, "_p._lvl", "_p._b", "_p._lim")
-    s = summ.select(*[F.col(k).alias(f"_s_{k}") for k in keys], F.col("_lvl").alias("_s_lvl"),
-                    F.col("_b").alias("_s_b"), "_o", "_w")
-    cond = [F.col(k) == F.col(f"_s_{k}") for k in keys] + [
-        F.col("_lvl") == F.col("_s_lvl"), F.col("_b") == F.col("_s_b"), F.col("_o") < F.col("_lim")]
-    return (probes.join(s, cond, "left").groupBy(*ident)
-            .agg(F.coalesce(F.sum("_w"), F.lit(0)).cast("bigint").alias(out)))
+    both = events.select(*keys, F.col(ev_day).alias("_day"), F.col(weight).cast("bigint").alias("_w")).unionByName(
+        points.select(*keys, F.col(pt_day).alias("_day"), F.lit(0).cast("bigint").alias("_w")))
+    days = both.where(F.col("_day").isNotNull()).groupBy(*keys, "_day").agg(F.sum("_w").alias("_w"))
+    earlier = Window.partitionBy(*keys).orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)
+    sums = days.select(*[F.col(k).alias(f"_s_{k}") for k in keys], "_day", F.sum("_w").over(earlier).alias(out))
+    cond = [F.col(k) == F.col(f"_s_{k}") for k in keys] + [F.col(pt_day) == F.col("_day")]
+    return points.join(sums, cond, "left").select(*pids, *keys, F.coalesce(out, F.lit(0)).cast("bigint").alias(out))
+
+
+def _day_number(day: str) -> Column:
+    return F.datediff(F.col(day), F.lit("1970-01-01"))
+
+
+def count_inside(intervals: DataFrame, ranges: DataFrame, keys: Sequence[str], start: str, end: str, weight: str,
+                 rid: str, lo: str, hi: str, out: str = "cnt") -> DataFrame:
+    """Per range (rid, keys, lo, hi): sum of ``weight`` over intervals of the same
+    keys strictly inside it, ``lo < start`` and ``end < hi``, where ``start <= end``
+    in every interval. Ranges without any are absent.
+
+    A two-dimensional dominance count: an interval's start lies in one block of
+    2^l days for each level l; the days between lo and hi are at most two blocks a
+    level; in a block the ends before hi are a cumulative count. Only intervals
+    that fit into the longest range, and levels that it needs, take part."""
+    keys = list(keys)
+    ranges = ranges.where(F.datediff(hi, lo) >= 2).select(rid, *keys, lo, hi)
+    longest = ranges.agg(F.max(F.datediff(hi, lo))).scalar()
+    top = F.least(F.lit(TOP_LEVEL), F.ceil(F.log2(longest)).cast("int"))
+    x = _day_number(start)
+    blocks = (intervals.where(F.datediff(end, start) <= longest - 2).groupBy(*keys, start, end)
+              .agg(F.sum(weight).alias("_w")).withColumn("_level", F.explode(F.sequence(F.lit(0), top)))
+              .select(*keys, "_level", F.expr(f"shiftright(datediff({start}, '1970-01-01'), _level)").alias("_block"),
+                      F.col(end).alias("_end"), "_w"))
+    level = F.explode(F.sequence(F.lit(0), top))
+    a, b = F.expr("-shiftright(-_a, _level)"), F.expr("shiftright(_b, _level)")
+    odd = lambda c: F.pmod(c, F.lit(2)) == 1
+    none = F.array().cast("array<int>")
+    ends = F.concat(F.when(odd(a), F.array(a)).otherwise(none), F.when(odd(b), F.array(b - 1)).otherwise(none))
+    asked = (ranges.withColumn("_a", _day_number(lo) + 1).withColumn("_b", _day_number(hi)).withColumn("_level", level)
+             .where(a < b).select(rid, *keys, "_level", hi, F.explode(
+                 F.when(F.col("_level") == top, F.sequence(a, b - 1)).otherwise(ends)).alias("_block")))
+    counts = count_before(blocks, asked, [*keys, "_level", "_block"], "_end", "_w", rid, hi, out="_c")
+    return counts.where("_c <> 0").groupBy(rid).agg(F.sum("_c").alias(out))
 
 
 def overlap_count(stays: DataFrame, requests: DataFrame, keys: Sequence[str], rid: str, ci: str, co: str,
-                  s_ci: str | None = None, s_co: str | None = None, calendar_keys: bool = False,
-                  out: str = "n") -> DataFrame:
-    """Per valid request (rid, keys, [ci, co)), the number of valid stays of
-    the same keys with ``s.ci < co AND s.co > ci``. Both sides must satisfy
-    co > ci. One path for every key: cumulative counts over day summaries, so
-    no key, however hot, produces pairs."""
-    return _overlap_count_prefix(stays, requests, list(keys), rid, ci, co, s_ci or ci, s_co or co, calendar_keys, out)
-
-
-def _overlap_count_prefix(stays: DataFrame, requests: DataFrame, keys: list, rid: str, ci: str, co: str,
-                          s_ci: str, s_co: str, calendar_keys: bool, out: str) -> DataFrame:
-    """#(s.ci < q.co) - #(s.co <= q.ci): one ``count_before`` pass over both
-    boundaries (tagged by kind)."""
-    ev = stays.select(*keys, F.explode(F.array(
-        F.struct(F.col(s_ci).alias("_ed"), F.lit(0).alias("_kind")),
-        F.struct(F.col(s_co).alias("_ed"), F.lit(1).alias("_kind")))).alias("_e")).select(
-        *keys, "_e._ed", "_e._kind", F.lit(1).alias("_one"))
-    pts = requests.select(rid, *keys, F.explode(F.array(
+                  out: str = "n", requests_valid: bool = False) -> DataFrame:
+    """Per request (rid, keys, ci, co), the number of stays of the same keys with
+    ``s.ci < co AND s.co > ci``, whatever the order of the dates on either side;
+    a NULL date overlaps nothing. No key, however hot, produces pairs:
+
+    * stays with s.co > s.ci: #(s.ci < co) - #(s.co <= ci), to which a turned
+      request (co <= ci) adds the stays inside it, subtracted twice;
+    * turned stays (s.co <= s.ci) overlap the requests that they lie inside.
+
+    ``requests_valid`` says that no request is turned."""
+    keys = list(keys)
+    req = requests.select(rid, *keys, ci, co).where(F.col(ci).isNotNull() & F.col(co).isNotNull())
+    right, turned = stays.where(F.col(co) > F.col(ci)), stays.where(F.col(co) <= F.col(ci))
+    one = F.lit(1).cast("bigint")
+    ev = right.select(*keys, F.explode(F.array(
+        F.struct(F.col(ci).alias("_ed"), F.lit(0).alias("_kind")),
+        F.struct(F.col(co).alias("_ed"), F.lit(1).alias("_kind")))).alias("_e")).select(
+        *keys, "_e._ed", "_e._kind", one.alias("_one"))
+    pts = req.select(rid, *keys, F.explode(F.array(
         F.struct(F.col(co).alias("_px"), F.lit(0).alias("_kind")),
         F.struct(F.date_add(F.col(ci), 1).alias("_px"), F.lit(1).alias("_kind")))).alias("_q")).select(
         rid, *keys, "_q._px", "_q._kind")
-    c = count_before(ev, pts, [*keys, "_kind"], "_ed", "_one", [rid], "_px", out="_c",
-                     calendar_keys=calendar_keys)
-    return c.groupBy(rid).agg(
-        (F.sum(F.when(F.col("_kind") == 0, F.col("_c"))) - F.sum(F.when(F.col("_kind") == 1, F.col("_c"))))
-        .cast("bigint").alias(out))
+    c = count_before(ev, pts, [*keys, "_kind"], "_ed", "_one", rid, "_px", out="_c")
+    parts = [c.select(rid, F.when(F.col("_kind") == 0, F.col("_c")).otherwise(-F.col("_c")).alias("_c"))]
+    before, after = F.date_sub(F.col(co), 1).alias("_lo"), F.date_add(F.col(ci), 1).alias("_hi")
+    parts.append(count_inside(turned.withColumn("_one", one), req, keys, co, ci, "_one", rid, ci, co, out="_c"))
+    if not requests_valid:
+        back = req.where(F.col(co) <= F.col(ci)).select(rid, *keys, before, after)
+        parts.append(count_inside(right.withColumn("_one", one), back, keys, ci, co, "_one", rid, "_lo", "_hi", out="_c"))
+    total = parts[0]
+    for p in parts[1:]:
+        total = total.unionByName(p)
+    return total.groupBy(rid).agg(F.sum("_c").cast("bigint").alias(out))
 
 
 def day_summary(stays: DataFrame, key: str, ci: str, co: str) -> DataFrame:
