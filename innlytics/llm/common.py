@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import gc
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,7 +15,7 @@ from innlytics.plans.checkpoint import cut, drop
 from innlytics.plans.joins import lookup
 from innlytics.session import checkpoint_dir
 
-__all__ = ["cut", "drop", "fresh", "mix64", "new_path", "numbered", "read", "release", "shingles", "small_batches", "text_bytes", "word_hashes"]
+__all__ = ["cut", "drop", "fresh", "mix64", "new_path", "numbered", "read", "release", "shingles", "short_plans", "small_batches", "text_bytes", "word_hashes"]
 
 # Words are runs of anything but ASCII white space. ``bytes.split()`` splits
 # exactly there (space, \t, \n, \v, \f, \r), so texts are handled as bytes.
@@ -29,6 +31,20 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
+@contextmanager
+def short_plans(spark: SparkSession, characters: int = 20_000) -> Iterator[None]:
+    """Within, Spark describes the plans of its jobs in at most so many characters.
+    The driver keeps the descriptions of its last thousand jobs; those of loops over
+    joins are long."""
+    name = "spark.sql.maxPlanStringLength"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, str(characters))
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
 def release(spark: SparkSession) -> None:
     """Let Spark delete the shuffle files of finished steps now: it does so when
     the driver's JVM collects their handles, which may be much later."""

@@ -49,7 +49,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from innlytics.llm.common import cut, drop, mix64, numbered, release, shingles, small_batches, text_bytes
+from innlytics.llm.common import cut, drop, mix64, numbered, release, shingles, short_plans, small_batches, text_bytes
 from innlytics.plans.components import components
 
 BAND_RATIO = 1.7
@@ -378,8 +378,13 @@ def family_links(members: DataFrame, pairs: DataFrame, roots: DataFrame, sets: D
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id."""
+    small_batches(docs.sparkSession)
+    with short_plans(docs.sparkSession):
+        return _near_duplicates(docs)
+
+
+def _near_duplicates(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
-    small_batches(spark)
     meta = cut(sizes(docs), "set-sizes")
     total = meta.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("n_shingles"), F.lit(0)).alias("s")).first()
     # equal sets are one: the smallest id stands for them
