@@ -6,7 +6,8 @@ job counts, for each group of linked documents, the members in each shard
 shards (those with most members and room, as many as the group needs) and
 lets the members elsewhere ask to move there. The flows between shards (at most
 shards**2 numbers) are held against the shards' capacity, and each flow is
-let through up to its quota. Rounds end when no member moves. At last the
+let through up to its quota. Rounds end when no member is left outside its
+group's target, or when several in a row brought none there. At last the
 counts are made at most one apart: each shard's rows are numbered with its
 unlinked rows last, those beyond its quota fill the shards that have room.
 The numbering runs in blocks, so no task sorts a whole shard.
@@ -26,7 +27,8 @@ from pyspark.sql import functions as F
 
 from innlytics.llm.common import cut, drop
 
-ROUNDS = 8
+#: Rounds in a row, each with other draws, that bring no group together, after which those left find no room.
+IDLE_ROUNDS = 4
 ROWS_PER_BLOCK = 20_000
 
 
@@ -55,7 +57,7 @@ def _allowed(flows: dict[tuple[int, int], int], sizes: list[int], cap: float) ->
     return {(f, t): share[t] for (f, t) in flows}
 
 
-def propagate(rows: DataFrame, n_shards: int, rounds: int = ROUNDS) -> DataFrame:
+def propagate(rows: DataFrame, n_shards: int, idle_rounds: int = IDLE_ROUNDS) -> DataFrame:
     """``rows`` has a unique column rid and a column link (documents with equal
     link are linked; NULL: none). Returns (rid, linked, shard, slot)."""
     start = F.pmod(F.xxhash64("rid", F.lit(17)), F.lit(n_shards)).cast("int")
@@ -67,7 +69,9 @@ def propagate(rows: DataFrame, n_shards: int, rounds: int = ROUNDS) -> DataFrame
     total = sum(_sizes(state, n_shards))
     cap = max(1, total // n_shards)  # of linked rows: the others make room for them at last
     sizes = _sizes(state.where("link IS NOT NULL"), n_shards)
-    for turn in range(rounds):
+    turn, fewest, idle = 0, total + 1, 0
+    while True:
+        turn += 1
         linked = state.where("link IS NOT NULL")
         held = linked.groupBy("link", "shard").agg(F.count(F.lit(1)).alias("c"), F.first("members").alias("members"))
         # a shard draws a group by its members there and by the room it has left
@@ -82,7 +86,9 @@ def propagate(rows: DataFrame, n_shards: int, rounds: int = ROUNDS) -> DataFrame
         wants = cut(linked.join(targets, "link").where(~F.array_contains("to", F.col("shard")))
                     .select("rid", "link", "members", F.col("shard").alias("f"), pick.alias("t")), "moves")
         flows = {(r["f"], r["t"]): r["c"] for r in wants.groupBy("f", "t").agg(F.count(F.lit(1)).alias("c")).collect()}
-        if not flows:
+        waiting = sum(flows.values())
+        fewest, idle = min(fewest, waiting), 0 if waiting < fewest else idle + 1
+        if not flows or idle == idle_rounds:
             break
         share = _allowed(flows, sizes, cap)
         quota = F.element_at(F.array(*[F.lit(share.get((f, t), 0.0)) for f in range(n_shards) for t in range(n_shards)]),
@@ -94,8 +100,6 @@ def propagate(rows: DataFrame, n_shards: int, rounds: int = ROUNDS) -> DataFrame
             "rid", "link", "members", F.coalesce("new", "shard").alias("shard")), "shards")
         drop(old)
         sizes = _sizes(state.where("link IS NOT NULL"), n_shards)
-        if not any(share.values()):
-            break
     return _even(state, n_shards, _sizes(state, n_shards))
 
 

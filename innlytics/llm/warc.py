@@ -30,7 +30,9 @@ from innlytics.llm.common import cut, drop, new_path
 
 MAGIC = b"WARC/1.0\r\n"
 MIN_REVISIT = 1000
-RECORDS_PER_FILE = 2048
+#: Payload bytes of the smallest class of records, and how many of these make a file (256 MB at most); a larger
+#: record is a file of its own.
+RECORD_BYTES, RECORDS_PER_FILE = 1 << 17, 2048
 BROADCAST_ROWS = 20_000
 ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
@@ -65,8 +67,12 @@ def write_warc(pages: DataFrame, path: str | None = None) -> str:
         line("X-Payload-Length", F.col("size").cast("string")), line("Content-Type", F.lit("text/html")),
         line("Content-Length", F.when(revisit, F.lit("0")).otherwise(F.col("size").cast("string"))), F.lit("\r\n"))
     record = F.concat(head, F.when(revisit, F.lit("")).otherwise(F.col("html")))
-    (rows.select(record.alias("value")).write.option("lineSep", "\r\n\r\n")
-     .option("maxRecordsPerFile", RECORDS_PER_FILE).text(path))
+    # records of about one size share files: each class doubles the size and halves the records of a file
+    kind = F.greatest(F.lit(0), F.ceil(F.log2(F.octet_length("html") / RECORD_BYTES))).cast("int")
+    rows = rows.withColumn("kind", F.coalesce(kind, F.lit(0)))
+    for (k,) in sorted(rows.select("kind").distinct().collect()):  # at most 32 for records below 2 GB
+        (rows.where(F.col("kind") == k).select(record.alias("value")).write.option("lineSep", "\r\n\r\n")
+         .option("maxRecordsPerFile", max(1, RECORDS_PER_FILE >> k)).text(f"{path}/size={k}"))
     return path
 
 
