@@ -12,6 +12,7 @@ each other and no group is materialised.
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 from bisect import bisect_right
 from dataclasses import dataclass, field
 
@@ -25,10 +26,11 @@ from innlytics.operators import changes as CH
 from innlytics.operators import load as LD
 from innlytics.operators import quality as Q
 from innlytics.plans import intervals as IV
-from innlytics.plans.checkpoint import cut
+from innlytics.plans.checkpoint import cut, drop
 from innlytics.plans.components import components
 from innlytics.plans.first_come import first_come
 from innlytics.plans.numbering import new_ids
+from innlytics.session import checkpoint_dir
 from innlytics.sources import catalog as C
 from innlytics.sources.tables import Tables
 
@@ -138,7 +140,47 @@ def _greedy_stream(batches):
         yield pd.DataFrame({"req_seq": pdf["req_seq"].to_numpy(), "_won": won})
 
 
-def arbitrate(requests: DataFrame) -> DataFrame:
+#: Overlap clusters of more requests than this are first thinned out in rounds.
+HOT_CLUSTER = 50_000
+#: A round that decides less than this share of its requests is the last.
+LEAST_SHARE = 0.1
+
+
+def _clusters(days: DataFrame) -> DataFrame:
+    """(kamar_id, _blk, req_seq, _ci, _co, _size) of requests with day numbers."""
+    dated = days.select("req_seq", "kamar_id", "_ci", "_co", F.date_from_unix_date("_ci").alias(CI),
+                        F.date_from_unix_date("_co").alias(CO))
+    clustered = (IV.block_of(dated, "kamar_id", CI, CO, merge_touching=False)
+                 .select("kamar_id", F.unix_date("block_start").alias("_blk"), "req_seq", "_ci", "_co"))
+    return cut(clustered.withColumn("_size", F.count(F.lit(1)).over(Window.partitionBy("kamar_id", "_blk"))), "clusters")
+
+
+def _thin_out(hot: DataFrame, path: str) -> DataFrame:
+    """Decide requests of hot clusters in rounds, spread over all tasks: those that
+    come before all pending requests that they overlap are accepted, and the pending
+    ones that overlap an accepted one are refused. Decisions are added to the table at
+    ``path``; what is left when rounds decide little is returned."""
+    pending = cut(hot.select("req_seq", "kamar_id", "_ci", "_co"), "pending")
+    n = pending.count()
+    while n:
+        first = IV.earliest_overlap(pending, pending, "kamar_id", "_ci", "_co", "req_seq", out="_first")
+        marked = cut(pending.join(first, "req_seq").withColumn("_won", F.col("_first") == F.col("req_seq")).drop("_first"), "pending")
+        rest = marked.where(~F.col("_won")).drop("_won")
+        hit = IV.earliest_overlap(marked.where("_won").drop("_won"), rest, "kamar_id", "_ci", "_co", "req_seq", out="_hit")
+        rest = cut(rest.join(hit, "req_seq", "left"), "pending")
+        (marked.where("_won").select("req_seq", "_won")
+         .unionByName(rest.where("_hit IS NOT NULL").select("req_seq", F.lit(False).alias("_won")))
+         .write.mode("append").parquet(path))
+        drop(pending)
+        drop(marked)
+        pending = rest.where("_hit IS NULL").drop("_hit")
+        before, n = n, pending.count()
+        if before - n < LEAST_SHARE * before:
+            break
+    return pending
+
+
+def arbitrate(requests: DataFrame, hot_cluster: int = HOT_CLUSTER) -> DataFrame:
     """In-batch conflicts: per room, requests in request order; a request is
     accepted iff it overlaps no earlier accepted request of that room.
 
@@ -146,19 +188,24 @@ def arbitrate(requests: DataFrame) -> DataFrame:
     of the same room) are hashed to different partitions; each partition is
     sorted by (room, cluster, req_seq) by Spark (external sort, spills) and
     streamed through ``mapInPandas``. A request alone in its cluster wins
-    without Python. Returns (req_seq, _won)."""
-    days = requests.select("req_seq", "kamar_id", CI, CO,
-                           F.datediff(CI, F.lit("1970-01-01")).alias("_ci"),
-                           F.datediff(CO, F.lit("1970-01-01")).alias("_co"))
-    clustered = (IV.block_of(days, "kamar_id", CI, CO, merge_touching=False)
-                 .select("kamar_id", F.datediff("block_start", F.lit("1970-01-01")).alias("_blk"),
-                         "req_seq", "_ci", "_co"))
-    n = int(requests.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    sized = cut(clustered.withColumn("_size", F.count(F.lit(1)).over(Window.partitionBy("kamar_id", "_blk"))), "clusters")
+    without Python. Clusters of more than ``hot_cluster`` requests are thinned out
+    in rounds before, which cuts them into small ones unless request order follows
+    the calendar all along; the outcome is the same. Returns (req_seq, _won)."""
+    spark = requests.sparkSession
+    days = requests.select("req_seq", "kamar_id", F.unix_date(CI).alias("_ci"), F.unix_date(CO).alias("_co"))
+    sized = _clusters(days)
+    hot, done = sized.where(F.col("_size") > hot_cluster), None
+    if not hot.isEmpty():
+        path = f"{checkpoint_dir(spark).rstrip('/')}/tables/decided-{uuid.uuid4().hex}"
+        left = _thin_out(hot, path)
+        done = spark.read.parquet(path)
+        sized = sized.where(F.col("_size") <= hot_cluster).unionByName(_clusters(left))
     alone = sized.where("_size = 1").select("req_seq", F.lit(True).alias("_won"))
-    return (sized.where("_size > 1").repartition(n, "kamar_id", "_blk")
-            .sortWithinPartitions("kamar_id", "_blk", "req_seq")
-            .mapInPandas(_greedy_stream, schema="req_seq long, _won boolean").unionByName(alone))
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    out = (sized.where("_size > 1").drop("_size").repartition(n, "kamar_id", "_blk")
+           .sortWithinPartitions("kamar_id", "_blk", "req_seq")
+           .mapInPandas(_greedy_stream, schema="req_seq long, _won boolean").unionByName(alone))
+    return out if done is None else out.unionByName(done)
 
 
 def apply_bookings(t: Tables, requests: DataFrame, as_of: str | dt.date, actor_id: int = 1,

@@ -45,6 +45,40 @@ def _day_number(day: str) -> Column:
     return F.datediff(F.col(day), F.lit("1970-01-01"))
 
 
+def _blocks_of(ranges: DataFrame, top: Column) -> DataFrame:
+    """The dyadic blocks (_level, _block) that make up the days [_a, _b) of each
+    row: at most two a level below the top, and all between at the top."""
+    a, b = F.expr("-shiftright(-_a, _level)"), F.expr("shiftright(_b, _level)")
+    odd = lambda c: F.pmod(c, F.lit(2)) == 1
+    none = F.array().cast("array<int>")
+    ends = F.concat(F.when(odd(a), F.array(a)).otherwise(none), F.when(odd(b), F.array(b - 1)).otherwise(none))
+    return (ranges.withColumn("_level", F.explode(F.sequence(F.lit(0), top))).where(a < b)
+            .withColumn("_block", F.explode(F.when(F.col("_level") == top, F.sequence(a, b - 1)).otherwise(ends))))
+
+
+def _blocks_around(rows: DataFrame, top: Column) -> DataFrame:
+    """The blocks (_level, _block) that hold the day _a of each row, one a level."""
+    return rows.withColumn("_level", F.explode(F.sequence(F.lit(0), top))).withColumn(
+        "_block", F.expr("shiftright(_a, _level)"))
+
+
+def earliest_overlap(items: DataFrame, asked: DataFrame, key: str, start: str, end: str, order: str,
+                     out: str = "first") -> DataFrame:
+    """Per row of ``asked`` (order, key, start, end) the smallest ``order`` of the items
+    of the same key that overlap it (both [start, end) in day numbers, never empty);
+    rows without any are absent. No pairs: an item that overlaps either begins
+    among the row's days, or holds the row's first day, and both are minima over
+    dyadic blocks of days."""
+    longest = items.unionByName(asked).agg(F.max(F.col(end) - F.col(start))).scalar()
+    top = F.least(F.lit(TOP_LEVEL), F.ceil(F.log2(longest)).cast("int"))
+    days = lambda df: df.select(order, key, F.col(start).alias("_a"), F.col(end).alias("_b"))
+    tag = lambda df, kind: df.select(order, key, F.lit(kind).alias("_kind"), "_level", "_block")
+    held = tag(_blocks_around(days(items), top), 0).unionByName(tag(_blocks_of(days(items), top), 1))
+    least = held.groupBy(key, "_kind", "_level", "_block").agg(F.min(order).alias("_least"))
+    probes = tag(_blocks_of(days(asked), top), 0).unionByName(tag(_blocks_around(days(asked), top), 1))
+    return probes.join(least, [key, "_kind", "_level", "_block"]).groupBy(order).agg(F.min("_least").alias(out))
+
+
 def count_inside(intervals: DataFrame, ranges: DataFrame, keys: Sequence[str], start: str, end: str, weight: str,
                  rid: str, lo: str, hi: str, out: str = "cnt") -> DataFrame:
     """Per range (rid, keys, lo, hi): sum of ``weight`` over intervals of the same
@@ -64,14 +98,8 @@ def count_inside(intervals: DataFrame, ranges: DataFrame, keys: Sequence[str], s
               .agg(F.sum(weight).alias("_w")).withColumn("_level", F.explode(F.sequence(F.lit(0), top)))
               .select(*keys, "_level", F.expr(f"shiftright(datediff({start}, '1970-01-01'), _level)").alias("_block"),
                       F.col(end).alias("_end"), "_w"))
-    level = F.explode(F.sequence(F.lit(0), top))
-    a, b = F.expr("-shiftright(-_a, _level)"), F.expr("shiftright(_b, _level)")
-    odd = lambda c: F.pmod(c, F.lit(2)) == 1
-    none = F.array().cast("array<int>")
-    ends = F.concat(F.when(odd(a), F.array(a)).otherwise(none), F.when(odd(b), F.array(b - 1)).otherwise(none))
-    asked = (ranges.withColumn("_a", _day_number(lo) + 1).withColumn("_b", _day_number(hi)).withColumn("_level", level)
-             .where(a < b).select(rid, *keys, "_level", hi, F.explode(
-                 F.when(F.col("_level") == top, F.sequence(a, b - 1)).otherwise(ends)).alias("_block")))
+    asked = _blocks_of(ranges.withColumn("_a", _day_number(lo) + 1).withColumn("_b", _day_number(hi)), top).select(
+        rid, *keys, "_level", "_block", hi)
     counts = count_before(blocks, asked, [*keys, "_level", "_block"], "_end", "_w", rid, hi, out="_c")
     return counts.where("_c <> 0").groupBy(rid).agg(F.sum("_c").alias(out))
 

@@ -62,3 +62,16 @@ def test_a_long_range_costs_few_rows(spark):
     assert out.collect()[0]["cnt"] == 858
     text = out._jdf.queryExecution().optimizedPlan().toString()
     assert "CartesianProduct" not in text and F.lit(1) is not None
+
+
+@pytest.mark.parametrize("seed, span", [(1, 30), (2, 9000)])
+def test_earliest_overlap_against_all_pairs(spark, seed, span):
+    r = random.Random(seed)
+    make = lambda n, base: [(base + i, r.choice([1, 1, 2]), a, a + r.choice([1, 2, 5, span // 2])) for i, a in
+                            enumerate(r.randrange(-span, span) for _ in range(n))]
+    items, asked = make(80, 0), make(60, 40)
+    schema = "n long, k int, a int, b int"
+    got = {x["n"]: x["first"] for x in IV.earliest_overlap(
+        spark.createDataFrame(items, schema), spark.createDataFrame(asked, schema), "k", "a", "b", "n").collect()}
+    for n, k, a, b in asked:
+        assert got.get(n) == min((m for m, s, c, d in items if s == k and c < b and d > a), default=None)
