@@ -415,13 +415,64 @@ def _number_stream(batches):
         yield pd.DataFrame({"req_seq": pd.Series(seqs, dtype="int64"), "_won": pd.Series(won, dtype=bool)})
 
 
-def arbitrate_numbers(kamar: DataFrame, patches: DataFrame) -> DataFrame:
+#: Components of more rows (patches and stored numbers) than this are first settled in rounds.
+HOT_COMPONENT = 50_000
+
+
+def _with_components(rows: DataFrame) -> DataFrame:
+    """The rows (req_seq, room, no) with comp, their component of the graph of rooms
+    and numbers."""
+    node = F.xxhash64(F.lit("room"), "room")
+    graph = rows.where(F.col("no").isNotNull()).select(node.alias("a"), F.xxhash64(F.lit("no"), "no").alias("b"))
+    comps = components(graph).withColumnRenamed("root", "comp")
+    return rows.withColumn("node", node).join(comps, "node", "left").select(
+        "req_seq", "room", "no", F.coalesce("comp", "node").alias("comp"))
+
+
+def _settle(rows: DataFrame, path: str) -> DataFrame:
+    """Decide patches of hot components in rounds, spread over all tasks. A patch is
+    decided when no pending one before it is of its room, of its number, or of the room
+    that holds its number; the numbers held then decide it, and all patches of a round
+    are independent. Decisions are added to the table at ``path``; what is left when
+    rounds decide little is returned, with the numbers held then."""
+    state = cut(rows.where("req_seq = -1").select("room", "no"), "state")
+    asks = rows.where("req_seq >= 0").select("req_seq", "room", "no")
+    known = state.select("room").distinct()
+    # an unknown room changes nothing, so it breaks no constraint
+    asks.join(known, "room", "left_anti").select("req_seq", F.lit(True).alias("_won")).write.mode("append").parquet(path)
+    pending = cut(asks.join(known, "room", "left_semi"), "pending")
+    n = pending.count()
+    while n:
+        of_room = pending.groupBy("room").agg(F.min("req_seq").alias("_r"))
+        of_no = pending.groupBy("no").agg(F.min("req_seq").alias("_n"))
+        holder = state.where("no IS NOT NULL").groupBy("no").agg(F.min("room").alias("_held"))
+        before_held = of_room.select(F.col("room").alias("_held"), F.col("_r").alias("_h"))
+        free = F.col("_held").isNull() | (F.col("_held") == F.col("room"))
+        ready = ((F.col("_r") == F.col("req_seq")) & (F.col("_n") == F.col("req_seq"))
+                 & (free | F.col("_h").isNull() | (F.col("_h") > F.col("req_seq"))))
+        marked = cut(pending.join(of_room, "room").join(of_no, "no").join(holder, "no", "left").join(before_held, "_held", "left")
+                     .select("req_seq", "room", "no", free.alias("_won"), ready.alias("_ready")), "pending")
+        marked.where("_ready").select("req_seq", "_won").write.mode("append").parquet(path)
+        taken = marked.where("_ready AND _won").select("room", F.col("no").alias("_new"))
+        old, state = state, cut(state.join(taken, "room", "left").select("room", F.coalesce("_new", "no").alias("no")), "state")
+        drop(old)
+        pending = marked.where("NOT _ready").select("req_seq", "room", "no")
+        before, n = n, pending.count()
+        if before - n < LEAST_SHARE * before:
+            break
+    return state.select(F.lit(-1).cast("bigint").alias("req_seq"), "room", "no").unionByName(pending)
+
+
+def arbitrate_numbers(kamar: DataFrame, patches: DataFrame, hot_component: int = HOT_COMPONENT) -> DataFrame:
     """(req_seq, _won): may a patch set its room number, given the numbers that
     the patches before it took and freed?
 
     Patches matter to each other only through a room or a number they share,
     so they are split into connected components of the room-number graph;
-    each is streamed in request order, different ones in parallel."""
+    each is streamed in request order, different ones in parallel. Components of more
+    than ``hot_component`` rows are settled in rounds before, which leaves small ones
+    unless their patches all wait for each other; the outcome is the same."""
+    spark = kamar.sparkSession
     asks = patches.select("req_seq", F.col("id_kamar").alias("room"), F.col("nomor_kamar").alias("no"))
     touched = asks.select("room").distinct()
     wanted = asks.select(E.text_key("no").alias("_w")).distinct()
@@ -433,13 +484,18 @@ def arbitrate_numbers(kamar: DataFrame, patches: DataFrame) -> DataFrame:
     spelt = rows.where(F.col("no").isNotNull()).groupBy(E.text_key("no").alias("_k")).agg(F.min("no").alias("_no"))
     rows = cut(rows.join(spelt, E.text_key("no") == F.col("_k"), "left").select("req_seq", "room", F.col("_no").alias("no")),
                "numbers")
-    node = F.xxhash64(F.lit("room"), "room")
-    graph = rows.where(F.col("no").isNotNull()).select(node.alias("a"), F.xxhash64(F.lit("no"), "no").alias("b"))
-    comps = components(graph).withColumnRenamed("root", "comp")
-    tagged = rows.withColumn("node", node).join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    n = int(kamar.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return (tagged.select("comp", "req_seq", "room", "no").repartition(n, "comp")
-            .sortWithinPartitions("comp", "req_seq").mapInPandas(_number_stream, "req_seq long, _won boolean"))
+    tagged, done = cut(_with_components(rows), "numbers"), None
+    sizes = tagged.groupBy("comp").agg(F.count(F.lit(1)).alias("_size"))
+    hot = cut(sizes.where(F.col("_size") > hot_component).select("comp"), "hot")
+    if not hot.isEmpty():
+        path = f"{checkpoint_dir(spark).rstrip('/')}/tables/decided-{uuid.uuid4().hex}"
+        left = _settle(tagged.join(hot, "comp", "left_semi"), path)
+        done = spark.read.parquet(path)
+        tagged = tagged.join(hot, "comp", "left_anti").unionByName(_with_components(left))
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    out = (tagged.select("comp", "req_seq", "room", "no").repartition(n, "comp")
+           .sortWithinPartitions("comp", "req_seq").mapInPandas(_number_stream, "req_seq long, _won boolean"))
+    return out if done is None else out.unionByName(done)
 
 
 def apply_room_updates(t: Tables, patches: DataFrame, actor_id: int = 1, as_of=None) -> Applied:

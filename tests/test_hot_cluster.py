@@ -46,3 +46,33 @@ def test_a_hot_room_needs_few_rounds(spark, monkeypatch):
     monkeypatch.setattr(A.IV, "earliest_overlap", lambda *a, **k: rounds.append(1) or once(*a, **k))
     got = {x["req_seq"]: x["_won"] for x in A.arbitrate(frame(spark, rows), hot_cluster=1000).collect()}
     assert got == one_by_one(rows) and len(rounds) / 2 <= 25
+
+
+@pytest.mark.parametrize("seed_no", [1, 2, 3])
+def test_b13_rounds_equal_one_by_one(spark, seed, seed_no):
+    r = random.Random(seed_no)
+    stored = {x["id_kamar"]: x["nomor_kamar"] for x in seed.kamar.collect()}
+    names = [*stored.values(), "X1", "X2", "x1"]
+    rows = [(i + 1, r.choice([*stored, 777]), r.choice(names)) for i in range(120)]
+    number, want = dict(stored), {}
+    for seq, room, no in rows:
+        want[seq] = room not in number or all(v.lower() != no.lower() or k == room for k, v in number.items())
+        if want[seq] and room in number:
+            number[room] = no
+    patches = spark.createDataFrame(rows, "req_seq long, id_kamar long, nomor_kamar string")
+    got = {x["req_seq"]: x["_won"] for x in A.arbitrate_numbers(seed.kamar, patches, hot_component=1).collect()}
+    assert got == want
+
+
+def test_b13_a_chain_is_left_to_the_stream(spark, seed):
+    """One room patched two hundred times: rounds decide too little, the rest is streamed."""
+    rows = [(i + 1, 1 + i % 2, f"N{i % 3}") for i in range(200)]
+    number = {x["id_kamar"]: x["nomor_kamar"] for x in seed.kamar.collect()}
+    want = {}
+    for seq, room, no in rows:
+        want[seq] = all(v != no or k == room for k, v in number.items())
+        if want[seq]:
+            number[room] = no
+    patches = spark.createDataFrame(rows, "req_seq long, id_kamar long, nomor_kamar string")
+    got = {x["req_seq"]: x["_won"] for x in A.arbitrate_numbers(seed.kamar, patches, hot_component=1).collect()}
+    assert got == want
