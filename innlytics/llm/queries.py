@@ -94,6 +94,36 @@ ORACLES: dict[str, str] = {
              g AS (SELECT h, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY h)
         SELECT d.doc_id, g.keep_id, g.group_size, d.doc_id = g.keep_id AS kept, d.h AS text_sha256
         FROM d JOIN g USING (h)""",
+    "op4_ngram_jaccard_join": r"""
+        WITH RECURSIVE
+         d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                 '[^\x20\x09-\x0D]+') AS w FROM documents),
+         s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS g
+               FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM d WHERE len(w) > 0)),
+         n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+         both_ AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+         links AS (SELECT a, b FROM both_ JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 80 * (x.n + y.n - c)),
+         edges AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+         reach AS (SELECT doc_id AS a, doc_id AS r FROM documents UNION SELECT edges.b, reach.r FROM reach JOIN edges ON edges.a = reach.a WHERE reach.r < edges.b)
+        SELECT doc_id, coalesce(n.n, 0) AS n_shingles, c.r AS component_id
+        FROM documents LEFT JOIN n USING (doc_id) JOIN (SELECT a AS doc_id, min(r) AS r FROM reach GROUP BY a) c USING (doc_id)""",
+    "op6_suffix_dedup": r"""
+        WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x, strlen(coalesce(text, '')) AS n FROM documents),
+         s AS (SELECT doc_id, i, md5(substr(x, 2 * i + 1, 800)) AS h FROM (SELECT doc_id, x, unnest(range(0, n - 399)) AS i FROM d WHERE n >= 400)),
+         again AS (SELECT h FROM s GROUP BY h HAVING count(*) > 1),
+         hit AS (SELECT doc_id, i, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS prv, max(i) OVER (PARTITION BY doc_id) AS top
+                 FROM s WHERE h IN (SELECT h FROM again)),
+         run AS (SELECT doc_id, i AS lo, coalesce(lead(prv_end) OVER (PARTITION BY doc_id ORDER BY i), last_end) AS hi FROM (
+                   SELECT doc_id, i, prv + 400 AS prv_end, top + 400 AS last_end FROM hit
+                   WHERE prv IS NULL OR i > prv + 400)),
+         keep AS (SELECT doc_id, from_, upto FROM (
+                    SELECT doc_id, coalesce(lag(hi) OVER (PARTITION BY doc_id ORDER BY lo), 0) AS from_, lo AS upto FROM run
+                    UNION ALL SELECT doc_id, max(hi), NULL FROM run GROUP BY doc_id)),
+         kept AS (SELECT doc_id, string_agg(substr(x, 2 * from_ + 1, 2 * (coalesce(upto, n) - from_)), '' ORDER BY from_) AS k
+                  FROM keep JOIN d USING (doc_id) GROUP BY doc_id),
+         tot AS (SELECT doc_id, CAST(sum(hi - lo) AS BIGINT) AS n_removed, count(*) AS n_spans FROM run GROUP BY doc_id)
+        SELECT d.doc_id, d.n AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(k, x))) AS kept_sha256
+        FROM d LEFT JOIN tot USING (doc_id) LEFT JOIN kept USING (doc_id)""",
     "op9_warc": """
         WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS n, sha1(coalesce(html, '')) AS h FROM pages),
              g AS (SELECT h, max(page_id) AS first_id FROM p WHERE n >= 1000 GROUP BY h)
