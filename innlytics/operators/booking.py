@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from innlytics.functions import scalar as E
 from innlytics.plans import intervals as IV
+from innlytics.plans.checkpoint import cut
 from innlytics.sources import catalog as C
 from innlytics.sources.tables import Tables
 
@@ -59,7 +60,8 @@ def booking_conflicts(t: Tables, requests: DataFrame, request_id: str = "request
     counts alone (``intervals.overlap_count``), turned dates included.
     ``requests_valid=True``: the caller already applied V1."""
     stays = active_stays(t).where(F.col("kamar_id").isNotNull()).select("kamar_id", CI, CO)
-    total = IV.overlap_count(stays, requests, ["kamar_id"], request_id, CI, CO, out="_n", requests_valid=requests_valid)
+    asked = cut(requests.select(request_id, "kamar_id", CI, CO), "asked")  # read by every count
+    total = IV.overlap_count(stays, asked, ["kamar_id"], request_id, CI, CO, out="_n", requests_valid=requests_valid)
     return (requests.join(total, request_id, "left")
             .withColumn("jumlah_konflik", F.coalesce("_n", F.lit(0)).cast("bigint")).drop("_n"))
 
@@ -90,7 +92,7 @@ def available_rooms(t: Tables, requests: DataFrame, request_id: str = "request_i
     # One aggregation of the gaps per (type, start, end) feeds both the
     # prefix counts and the exact inner-gap lookup (one shuffle of the gaps).
     gap_counts = gaps.groupBy("tipe_id", "gap_start", "gap_end").agg(F.count(F.lit(1)).alias("_g"))
-    req = requests.select(request_id, "tipe_id", CI, CO)
+    req = cut(requests.select(request_id, "tipe_id", CI, CO), "asked")  # read by every count
     good = _valid(req)
     # kind 0: gap starts <= ci (i.e. < ci + 1); kind 1: gap ends < co
     ev = gap_counts.select("tipe_id", "_g", F.explode(F.array(
