@@ -16,7 +16,7 @@ from __future__ import annotations
 
 from collections.abc import Collection
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -131,6 +131,12 @@ def write_documents(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     df.write.mode(mode).option("ignoreNullFields", "false").json(path)
 
 
+def _once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """``df`` with the column ``name``, computed once a row however many later columns
+    and filters read it: they are inlined into a projection, not into a generator."""
+    return df.select("*", F.explode_outer(F.array(value)).alias(name))
+
+
 # Reason of a field whose value is not of the column's type (the database's wording).
 MSG_TYPE = "Incorrect value for column '{}'"
 
@@ -145,20 +151,22 @@ def parse_requests(bodies: DataFrame, schema: T.StructType, body_col: str = "bod
     element, the body was one whole value."""
     body = F.col(body_col)
     mark = F.sha2(body, 256)
-    parsed = bodies.select("*", F.try_parse_json(F.concat(F.lit("["), body, F.lit(',"'), mark, F.lit('"]'))).alias("_all"))
+    parsed = _once(bodies, "_all", F.try_parse_json(F.concat(F.lit("["), body, F.lit(',"'), mark, F.lit('"]'))))
     first = F.try_variant_get("_all", "$[0]", "variant")
     whole = (F.try_variant_get("_all", "$[1]", "string") == mark) & F.schema_of_variant(first).startswith("OBJECT")
-    parsed = parsed.select(*bodies.columns, F.when(whole, first).alias("_doc"))
-    flat, wrong = [], []
-    for f in schema.fields:
+    parsed = _once(parsed, "_doc", F.when(whole, first)).drop("_all")
+    read = []
+    for i, f in enumerate(schema.fields):
         path = f"$['{f.name}']"
         text = F.try_variant_get("_doc", path, "string")
         if isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType)):
             value = F.try_variant_get("_doc", path, f.dataType.simpleString())
         else:
             value = text.try_cast(f.dataType)
-        flat.append(value.alias(f.name))
-        wrong.append((text.isNotNull() & value.isNull(), MSG_TYPE.format(f.name)))
+        read += [value.alias(f"v{i}"), text.isNotNull().alias(f"t{i}")]
+    parsed = _once(parsed, "_read", F.struct(*read)).drop("_doc")
+    flat = [F.col(f"_read.v{i}").alias(f.name) for i, f in enumerate(schema.fields)]
+    wrong = [(F.col(f"_read.t{i}") & F.col(f"_read.v{i}").isNull(), MSG_TYPE.format(f.name)) for i, f in enumerate(schema.fields)]
     faults = F.filter(F.array(*[F.when(c, F.lit(m)) for c, m in wrong]), lambda x: x.isNotNull())
     judged = parsed.select(*bodies.columns, *flat, faults.alias("reasons"))
     return Q.split(Q.required(judged, required_cols or []))

@@ -209,3 +209,10 @@ def test_request_bodies_of_wrong_types_and_repeated_keys(spark):
     assert rows(ok.where("i = 0"), "b", "d", "l") == [("x", dt.date(2026, 1, 2), [1, 2])]
     wrong = {r["i"]: r["reasons"] for r in bad.collect()}
     assert files.MSG_TYPE.format("d") in wrong[5] and files.MSG_TYPE.format("m") in wrong[6] and set(wrong) == {3, 4, 5, 6, 8, 9, 10, 11}
+
+
+def test_a_body_is_parsed_once_however_often_its_fields_are_read(spark):
+    schema = T._parse_datatype_string("a int, b string, d date")
+    for df in files.parse_requests(spark.createDataFrame([(1, "{}")], "i int, body string"), schema, required_cols=["a"]):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("parseJson") == 1 and plan.count("$['d']") <= 2
