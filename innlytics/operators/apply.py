@@ -104,6 +104,25 @@ def _key_flags(df: DataFrame, key: str, sources: list[tuple[DataFrame, str, str]
     return j
 
 
+def _key_facts(df: DataFrame, key: str, sources: list[tuple[DataFrame, str, str]], fine: F.Column) -> DataFrame:
+    """``_key_flags`` together with ``_first``, the smallest req_seq of a key's requests
+    that are ``fine`` (NULL for a key in none of the sources). The batch is grouped once, which also gives
+    the keys that it asks for, so the rows meet all facts of their key in one join."""
+    tags = [tag for _, _, tag in sources]
+    parts = [src.select(F.col(col).alias("_fk"), *[F.lit(t == tag).alias(t) for t in tags]) for src, col, tag in sources]
+    keys = parts[0]
+    for p in parts[1:]:
+        keys = keys.unionByName(p)
+    own = df.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("_ask")).agg(
+        F.min(F.when(fine, F.col("req_seq"))).alias("_first"))
+    facts = keys.join(own, F.col("_fk") == F.col("_ask")).groupBy("_ask").agg(
+        *[F.max(t).alias(t) for t in tags], F.max("_first").alias("_first"))
+    j = df.join(facts, F.col(key) == F.col("_ask"), "left").drop("_ask")
+    for t_ in tags:
+        j = j.withColumn(t_, F.coalesce(F.col(t_), F.lit(False)))
+    return j
+
+
 def _flag_existing(df: DataFrame, key, existing: DataFrame, ekey, reason: str) -> DataFrame:
     k = F.col(key) if isinstance(key, str) else key
     ek = F.col(ekey) if isinstance(ekey, str) else ekey
@@ -277,10 +296,17 @@ def apply_status_action(t: Tables, requests: DataFrame, kind: str, as_of, actor_
     r = r.withColumn("pegawai_id", F.coalesce(F.col("pegawai_id"), F.lit(1).cast("bigint")))
     r = Q.with_reasons(r, [(E.php_empty("reservasi_id", requests.schema["reservasi_id"].dataType),
                             MSG_ID_REQUIRED)])
-    r = Q.flag_missing_parent(r, "reservasi_id", t.reservasi, "id_reservasi", MSG_FK.format("reservasi"))
-    r = Q.flag_missing_parent(r, "pegawai_id", t.pegawai, "id_pegawai", MSG_FK.format("pegawai"), lookup=True)
-    r = _flag_existing(r, "reservasi_id", table, "reservasi_id", MSG_DUPLICATE)
-    r = _first_wins(r, ["reservasi_id"], MSG_DUPLICATE)
+    r = Q.flag_missing_parent(r, "pegawai_id", t.pegawai, "id_pegawai", MSG_FK.format("pegawai"), out="_clerk", lookup=True)
+    # One grouping and one join answer all questions of a reservation (exists, done
+    # before, which request is first); the judged batch is written once for the steps
+    # that read it.
+    r = _key_facts(r, "reservasi_id", [(t.reservasi, "id_reservasi", "_is_res"), (table, "reservasi_id", "_done")],
+                   (F.size("reasons") == 0) & (F.size("_clerk") == 0))
+    r = Q.with_reasons(r, [(F.col("reservasi_id").isNotNull() & ~F.col("_is_res"), MSG_FK.format("reservasi"))])
+    r = r.withColumn("reasons", F.concat("reasons", "_clerk"))
+    later = F.col("_is_res") & ~F.col("_done") & (F.col("req_seq") > F.col("_first"))
+    r = Q.with_reasons(r, [(F.col("_done"), MSG_DUPLICATE), (later, MSG_DUPLICATE)])
+    r = cut(r.drop("_is_res", "_done", "_first", "_clerk"), "judged")
     ok, rejected = Q.split(r)
     rows = _assign_ids(ok, {id_col: table})
     new_rows = rows.select(id_col, "reservasi_id", "pegawai_id", _ts(as_of).alias(time_col))

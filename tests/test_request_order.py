@@ -42,6 +42,19 @@ def test_b8_a_refused_checkin_blocks_nobody(spark, seed):
     assert outcome(res) == {1: [A.MSG_FK.format("pegawai")], 3: [A.MSG_DUPLICATE]}
 
 
+def test_b8_the_batch_is_judged_in_one_join_and_written_once(spark, seed):
+    known, done = (set(r[0] for r in rows(df, c)) for df, c in ((seed.reservasi, "id_reservasi"), (seed.checkin, "reservasi_id")))
+    free, taken = min(known - done), min(known & done)
+    req = spark.createDataFrame([(1, 777, 2), (2, 777, 99), (3, taken, 2), (4, taken, 99), (5, None, 2), (6, 0, 99), (7, free, 2)],
+                                "req_seq long, reservasi_id long, pegawai_id long")
+    res = A.apply_status_action(seed, req, "checkin", DAY)
+    no_res, no_clerk = A.MSG_FK.format("reservasi"), A.MSG_FK.format("pegawai")
+    assert outcome(res) == {1: [no_res], 2: [no_res, no_clerk], 3: [A.MSG_DUPLICATE], 4: [no_clerk, A.MSG_DUPLICATE],
+                            5: [A.MSG_ID_REQUIRED], 6: [A.MSG_ID_REQUIRED, no_res, no_clerk]}
+    assert rows(res.accepted, "reservasi_id") == [(free,)]
+    assert "Join" not in res.rejected._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_b12_a_refused_room_blocks_nobody(spark, seed):
     req = spark.createDataFrame([(1, "501", 99, None), (2, "501", 1, None), (3, "501", 1, None)],
                                 "req_seq long, nomor_kamar string, tipe_id long, status_id long")
