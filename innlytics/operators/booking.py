@@ -60,7 +60,8 @@ def booking_conflicts(t: Tables, requests: DataFrame, request_id: str = "request
     counts alone (``intervals.overlap_count``), turned dates included.
     ``requests_valid=True``: the caller already applied V1."""
     stays = active_stays(t).where(F.col("kamar_id").isNotNull()).select("kamar_id", CI, CO)
-    asked = cut(requests.select(request_id, "kamar_id", CI, CO), "asked")  # read by every count
+    requests = cut(requests, "asked")  # read by every count
+    asked = requests.select(request_id, "kamar_id", CI, CO)
     total = IV.overlap_count(stays, asked, ["kamar_id"], request_id, CI, CO, out="_n", requests_valid=requests_valid)
     return (requests.join(total, request_id, "left")
             .withColumn("jumlah_konflik", F.coalesce("_n", F.lit(0)).cast("bigint")).drop("_n"))
@@ -84,15 +85,16 @@ def available_rooms(t: Tables, requests: DataFrame, request_id: str = "request_i
     is the plain anti join."""
     rooms = t.kamar.where(F.col("status_id") == C.ROOM_FREE).where(F.col("tipe_id").isNotNull()) \
         .select("id_kamar", "tipe_id")
-    act = active_stays(t).select("kamar_id", CI, CO)
+    act = cut(active_stays(t).select("kamar_id", CI, CO), "active")  # the only reading of all stays
     room_stays = _valid(act.where(F.col("kamar_id").isNotNull())).join(
         rooms.select(F.col("id_kamar").alias("kamar_id")), "kamar_id", "left_semi")
     blocks = IV.busy_blocks(room_stays, "kamar_id", CI, CO)
     gaps = IV.free_gaps(blocks, rooms.select(F.col("id_kamar").alias("kamar_id"), "tipe_id"), "kamar_id")
-    # One aggregation of the gaps per (type, start, end) feeds both the
-    # prefix counts and the exact inner-gap lookup (one shuffle of the gaps).
-    gap_counts = gaps.groupBy("tipe_id", "gap_start", "gap_end").agg(F.count(F.lit(1)).alias("_g"))
-    req = cut(requests.select(request_id, "tipe_id", CI, CO), "asked")  # read by every count
+    # One aggregation of the gaps per (type, start, end), written once, feeds both
+    # the prefix counts and the exact inner-gap lookup (one shuffle of the gaps).
+    gap_counts = cut(gaps.groupBy("tipe_id", "gap_start", "gap_end").agg(F.count(F.lit(1)).alias("_g")), "gaps")
+    requests = cut(requests, "asked")  # read by every count
+    req = requests.select(request_id, "tipe_id", CI, CO)
     good = _valid(req)
     # kind 0: gap starts <= ci (i.e. < ci + 1); kind 1: gap ends < co
     ev = gap_counts.select("tipe_id", "_g", F.explode(F.array(
@@ -130,15 +132,15 @@ def available_rooms(t: Tables, requests: DataFrame, request_id: str = "request_i
     out = requests.join(free, request_id, "left").withColumn(
         "tersedia", F.coalesce("_free", F.lit(0)).cast("bigint")).drop("_free")
     if null_mode == "mysql":
-        out = _zero_on_null_room(t, out, requests, request_id)
+        out = _zero_on_null_room(act, out, requests)
     return out
 
 
-def _zero_on_null_room(t: Tables, out: DataFrame, requests: DataFrame, request_id: str) -> DataFrame:
+def _zero_on_null_room(active: DataFrame, out: DataFrame, requests: DataFrame) -> DataFrame:
     """Requests hit by an overlapping active stay whose room is NULL get 0. A
     range is asked once, however many requests share it; the days of the stays
     without a room, and of the ranges, are bounded by the calendar."""
-    null_stays = active_stays(t).where(F.col("kamar_id").isNull()).select(CI, CO)
+    null_stays = active.where(F.col("kamar_id").isNull()).select(CI, CO)
     ranges = requests.select(CI, CO).where(F.col(CI).isNotNull() & F.col(CO).isNotNull()).distinct()
     ranges = ranges.withColumn("_range", F.struct(CI, CO))
     hits = IV.overlap_count(null_stays, ranges, [], "_range", CI, CO, out="_h").where(F.col("_h") > 0)
