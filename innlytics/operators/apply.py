@@ -235,19 +235,23 @@ def apply_bookings(t: Tables, requests: DataFrame, as_of: str | dt.date, actor_i
     deterministic). ``check_conflicts=False`` is the SQL procedure's
     behaviour (no conflict check, NULL price).
 
-    With ``checkpoint`` (default) the checked batch and the id-stamped rows
-    are written to the shared checkpoint folder: later steps read them back
+    With ``checkpoint`` (default) the batch, the checked batch and the id-stamped
+    rows are written to the shared checkpoint folder: later steps read them back
     instead of re-running the whole check lineage once per consumer, and a
     lost executor does not send the job back to the start."""
     r = B.stay_defaults(requests, as_of)
     if "promo_id" not in r.columns:
         r = r.withColumn("promo_id", F.lit(None).cast("bigint"))
+    if checkpoint:
+        r = cut(r, "requests")  # every check reads it
     r = Q.required(r, ["tamu_id", "kamar_id"])
     r = Q.with_reasons(r, [(F.col(CO) <= F.col(CI), Q.MSG_CHECKOUT)])
     r = Q.flag_missing_parent(r, "tamu_id", t.tamu, "id_tamu", MSG_FK.format("tamu"))
     r = Q.flag_missing_parent(r, "kamar_id", t.kamar, "id_kamar", MSG_FK.format("kamar"))
     r = Q.flag_missing_parent(r, "promo_id", t.promo, "id_promo", MSG_FK.format("promo"), lookup=True)
     if check_conflicts:
+        if checkpoint:
+            r = cut(r, "checked")
         probe = r.where(F.size("reasons") == 0).select(F.col("req_seq").alias("request_id"), "kamar_id", CI, CO)
         # probe rows passed V1 above, so the invalid-request branch is skipped
         hits = B.booking_conflicts(t, probe, requests_valid=True).where(F.col("jumlah_konflik") > 0).select(
