@@ -86,19 +86,23 @@ def load_rows(t: Tables, table: str, batch: DataFrame) -> Loaded:
     rules = K.RULES[table]
     r = cut(faults(t, table, batch), "load")
     keys = ([rules.key] if rules.key else []) + list(rules.unique)
-    if keys:
-        good = r.where(F.size("reasons") == 0).select(
-            SEQ, *[unique_value(table, c).alias(f"_u{i}") for i, c in enumerate(keys)])
+    # Rows without any unique value compete for nothing.
+    held = [unique_value(table, c).alias(f"_u{i}") for i, c in enumerate(keys)]
+    some = F.lit(False)
+    for c in keys:
+        some = some | F.col(c).isNotNull()
+    good = r.where((F.size("reasons") == 0) & some).select(SEQ, *held)
+    if keys and not good.isEmpty():
         r = r.join(first_come(good, SEQ, [f"_u{i}" for i in range(len(keys))]), SEQ, "left")
-        r = Q.with_reasons(r, [(F.col("won") == F.lit(False), MSG_TWICE)]).drop("won")
-    ok, rejected = Q.split(cut(r, "load"))
+        r = cut(Q.with_reasons(r, [(F.col("won") == F.lit(False), MSG_TWICE)]).drop("won"), "load")
+    ok, rejected = Q.split(r)
+    new = ok.select(SEQ, *[F.col(f.name).cast(f.dataType) for f in C.SCHEMAS[table].fields])
     if rules.key:
-        stored = getattr(t, table)
-        given = ok.select(rules.key).unionByName(stored.select(rules.key))
-        top = given.agg(F.coalesce(F.max(rules.key), F.lit(0)).cast("bigint")).scalar()
-        numbered = new_ids(ok.where(F.col(rules.key).isNull()).select(SEQ), SEQ, {"_id": top})
-        ok = ok.join(numbered, SEQ, "left").withColumn(rules.key, F.coalesce(F.col(rules.key), F.col("_id"))).drop("_id")
-    new = cut(ok.select(SEQ, *[F.col(f.name).cast(f.dataType) for f in C.SCHEMAS[table].fields]), "load")
+        # whole rows are dealt out for their ids: no ids to join back
+        given = new.select(rules.key).unionByName(getattr(t, table).select(rules.key))
+        top = cut(given.agg(F.coalesce(F.max(rules.key), F.lit(0)).cast("bigint").alias("_top")), "top").scalar()
+        numbered = new_ids(new.where(F.col(rules.key).isNull()).drop(rules.key), SEQ, {rules.key: top})
+        new = numbered.select(*new.columns).unionByName(new.where(F.col(rules.key).isNotNull()))
     tables = t.with_(**{table: getattr(t, table).unionByName(new.drop(SEQ))})
     return Loaded({table: new}, {table: rejected}, tables)
 

@@ -48,20 +48,22 @@ def new_ids(df: DataFrame, order: str, starts: dict[str, Column], ranges: int |
     """Assign ``start + 1, start + 2, ...`` in ``order`` order to each column of
     ``starts`` (batch AUTO_INCREMENT; a start holds the current max id).
 
-    The batch is dealt once into ranges of the order key (sampled quantiles,
-    so sparse and dense keys give even ranges); the written table fixes each
-    row's range, rows are numbered inside their range, and the offsets are a
-    prefix over one count per range (a parameter, not a data size)."""
+    The batch is dealt once into ranges of the order key (sampled quantiles, so
+    sparse and dense keys give even ranges) and sorted inside them; the written
+    table fixes each row's range and place, and the offsets are a prefix over one
+    count per range (a parameter, not a data size)."""
     n = ranges or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = cut(df.repartitionByRange(n, order).withColumn("_rng", F.spark_partition_id()), "numbered")
-    counts = dealt.groupBy("_rng").agg(F.count(F.lit(1)).alias("_n"))
+    # range and place in one number: the range in the upper 31 bits, the place in the lower 33
+    dealt = cut(df.repartitionByRange(n, order).sortWithinPartitions(order).withColumn("_at", F.monotonically_increasing_id()),
+                "numbered")
+    rng, place = F.shiftright("_at", 33), F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    counts = dealt.groupBy(rng.alias("_rng")).agg(F.count(F.lit(1)).alias("_n"))
     before = Window.orderBy("_rng").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("_rng", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
-    local = F.row_number().over(Window.partitionBy("_rng").orderBy(order))
-    out = dealt.withColumn("_local", local).join(F.broadcast(offsets), "_rng")  # at most n rows
+    out = dealt.withColumn("_rng", rng).join(F.broadcast(offsets), "_rng")  # at most n rows
     for name, start in starts.items():
-        out = out.withColumn(name, (start + F.col("_off") + F.col("_local")).cast("bigint"))
-    return out.drop("_rng", "_local", "_off")
+        out = out.withColumn(name, (start + F.col("_off") + place + 1).cast("bigint"))
+    return out.drop("_rng", "_at", "_off")
 
 
 def top_k(df: DataFrame, group_cols: Sequence[str], order_cols: Sequence[Column], k: int) -> DataFrame:

@@ -216,3 +216,33 @@ def test_a_body_is_parsed_once_however_often_its_fields_are_read(spark):
     for df in files.parse_requests(spark.createDataFrame([(1, "{}")], "i int, body string"), schema, required_cols=["a"]):
         plan = df._jdf.queryExecution().optimizedPlan().toString()
         assert plan.count("parseJson") == 1 and plan.count("$['d']") <= 2
+
+
+SMOKE = "/root/testdata/sf0.001"
+
+
+@pytest.mark.parametrize("name", ["b2_available_rooms", "b7_outcomes"])
+def test_batch_and_stays_are_read_once_and_then_from_their_cuts(spark, name):
+    import __spark_entry__ as entry
+    assert not [f for f in entry.queries()[name](spark, SMOKE).inputFiles() if "lineitem" in f]
+
+
+def test_stays_without_ids_compete_for_nothing_and_get_ids_in_order(spark, seed, monkeypatch):
+    monkeypatch.setattr(LD, "first_come", None)
+    res, room = rows(seed.reservasi, "id_reservasi")[0][0], rows(seed.kamar, "id_kamar")[0][0]
+    batch = spark.createDataFrame([(i * i, None if i % 5 == 0 else res, room, DAY, DAY + dt.timedelta(1), 1) for i in range(40)],
+                                  "req_seq long, reservasi_id long, kamar_id long, tanggal_checkin date, tanggal_checkout date, harga int")
+    batch = batch.withColumn("reservasi_id", F.coalesce("reservasi_id", F.lit(-1)))
+    done = LD.load_rows(seed, "detail_reservasi", batch)
+    top = max(r[0] for r in rows(seed.detail_reservasi, "id_detail"))
+    assert sorted(rows(done.accepted["detail_reservasi"], "req_seq", "id_detail")) == [
+        (i * i, top + n) for n, i in enumerate([i for i in range(40) if i % 5], 1)]
+    assert set(reasons(done, "detail_reservasi")) == {i * i for i in range(0, 40, 5)}
+
+
+def test_new_ids_number_in_the_deal_itself(spark):
+    from innlytics.plans.numbering import new_ids
+    df = spark.range(1000).select((F.col("id") * F.col("id")).alias("k"))
+    out = new_ids(df, "k", {"no": F.lit(7)}, ranges=9)
+    assert sorted(rows(out, "k", "no")) == [(i * i, 8 + i) for i in range(1000)]
+    assert "row_number" not in out._jdf.queryExecution().optimizedPlan().toString()
