@@ -32,7 +32,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from innlytics.llm.common import cut, mix64, small_batches, text_bytes, word_hashes
+from innlytics.llm.common import cut, mix64, small_batches, text_bytes, trimmed, word_hashes
 
 TOKENS = 1 << 14
 DIM = 64
@@ -91,6 +91,7 @@ def context_counts(texts: list, at: np.ndarray, sign: np.ndarray) -> np.ndarray:
 
 def context_table(sample: DataFrame) -> np.ndarray:
     """Context vectors from the sampled texts, summed over the tasks."""
+    @trimmed
     def step(batches):
         at, sign = index_parts()
         into = np.zeros((TOKENS, DIM))
@@ -128,6 +129,7 @@ def pooled(docs: DataFrame, table: np.ndarray) -> DataFrame:
     """doc_id and the pooled vector; ``docs`` is (doc_id, b)."""
     small_batches(docs.sparkSession)
 
+    @trimmed
     def step(batches):
         index = index_vectors()
         for pdf in batches:

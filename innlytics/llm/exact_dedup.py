@@ -181,7 +181,10 @@ class DigestIndex:
 
     @staticmethod
     def empty(spark, n_docs: int) -> DigestIndex:
-        return DigestIndex(spark.createDataFrame([], INDEX_SCHEMA), max(MIN_BUCKETS, -(-n_docs // KEYS_PER_BUCKET)))
+        # no rows by Spark itself: an empty list would be serialised by Python workers of their own, kept beside those of the operators
+        table = spark.range(0).selectExpr(*[f"CAST(NULL AS {kind}) AS {name}" for name, kind in
+                                            (field.split() for field in INDEX_SCHEMA.split(", "))])
+        return DigestIndex(table, max(MIN_BUCKETS, -(-n_docs // KEYS_PER_BUCKET)))
 
     def _update(self, changes: DataFrame) -> DigestIndex:
         def step(key, held, new):

@@ -49,7 +49,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from innlytics.llm.common import cut, drop, mix64, numbered, release, shingles, short_plans, small_batches, text_bytes
+from innlytics.llm.common import cut, drop, mix64, numbered, release, shingles, short_plans, small_batches, text_bytes, trimmed
 from innlytics.plans.components import components
 
 BAND_RATIO = 1.7
@@ -131,6 +131,7 @@ def _texts(docs: DataFrame) -> DataFrame:
 
 def sizes(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, digest of the shingle set."""
+    @trimmed
     def step(batches):
         import xxhash
         for pdf in batches:
@@ -146,6 +147,7 @@ def common_shingles(docs: DataFrame, n_docs: int) -> np.ndarray:
     hash of their id). They only steer the choice of signatures."""
     every = max(1, n_docs // SAMPLE_DOCS)
 
+    @trimmed
     def step(batches):
         sets = [shingle_set(b) for pdf in batches for b in pdf["b"]]
         if sets:
@@ -183,6 +185,7 @@ def _packed(docs: DataFrame, common: np.ndarray, n_buckets: int) -> DataFrame:
             "lhub": [lh[i:j].tobytes() for i, j in zip(share, share[1:])],
             "ldoc": [ld[i:j].tobytes() for i, j in zip(share, share[1:])]})
 
+    @trimmed
     def step(batches):
         sigs, ids, held, turn = [], [], 0, 0
         for pdf in batches:
@@ -213,6 +216,7 @@ def _hub_links(packed: DataFrame, n_parts: int) -> DataFrame:
         more = ~head & (doc != hub)
         return pd.DataFrame({"sig": sig[more].view(np.int64), "hub": hub[more], "doc": doc[more]})
 
+    @trimmed
     def step(batches):
         bucket, sig, doc = None, [], []
         for pdf in batches:
@@ -242,6 +246,7 @@ def _bounded(df: DataFrame) -> DataFrame:
 def shared_at_least(docs: DataFrame, ids: DataFrame, common: np.ndarray) -> DataFrame:
     """(node, code, least): schemes of the given documents in which a linked
     partner shares more than one signature, and how many it shares."""
+    @trimmed
     def step(batches):
         for pdf in batches:
             rows = [(d, code, least) for d, b in zip(pdf["doc_id"], pdf["b"])
@@ -282,6 +287,7 @@ def links(x: np.ndarray, y: np.ndarray) -> bool:
 
 def verified(sets: DataFrame, pairs: DataFrame) -> DataFrame:
     """(a, b, ok): the exact test of each pair on the whole shingle sets."""
+    @trimmed
     def test(batches):
         for pdf in batches:
             yield pdf[["a", "b"]].assign(ok=[links(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64))
@@ -411,6 +417,7 @@ def _near_duplicates(docs: DataFrame) -> DataFrame:
     release(spark)
     ids = cut(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "nodes")
 
+    @trimmed
     def as_sets(batches):
         for pdf in batches:
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "s": [shingle_set(b).tobytes() for b in pdf["b"]]})

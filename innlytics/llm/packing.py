@@ -31,10 +31,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from innlytics.llm.common import cut, mix64, small_batches, text_bytes
+from innlytics.llm.common import cut, mix64, small_batches, text_bytes, trimmed
 
 DIMS, BITS, HASHED = 4, 7, 1024
-TABLE_SIZE = 600_000
+TABLE_SIZE = 150_000  # words in each of two dicts, about 30 MB each
 LONG_WORD = 64
 DOCS_PER_RANGE = 20_000
 MIN_RANGES = 256
@@ -153,6 +153,7 @@ def tokenised(docs: DataFrame, tokenizer_file: str, end_id: int) -> DataFrame:
     n (ids with the end id), ids (packed, native width of the vocabulary)."""
     small_batches(docs.sparkSession)
 
+    @trimmed
     def step(batches):
         t = table(tokenizer_file)
         for pdf in batches:
@@ -201,6 +202,7 @@ def pack(docs: DataFrame, tokenizer_file: str, seq_len: int = 4096, end_id: int
     n_docs = rows.count()
     places = layout(rows.select("rid", "key", "n"), max(MIN_RANGES, -(-n_docs // DOCS_PER_RANGE)))
 
+    @trimmed
     def step(batches):
         for pdf in batches:
             out = []
