@@ -32,7 +32,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from innlytics.llm.common import cut, mix64, small_batches, text_bytes, trimmed, word_hashes
+from innlytics.llm.common import cut, give_back, mix64, small_batches, text_bytes, trimmed, word_hashes
 
 TOKENS = 1 << 14
 DIM = 64
@@ -254,5 +254,6 @@ def classify(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) ->
 def keep_good(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> DataFrame:
     """The documents predicted 1, with all their columns."""
     model = QualityModel(docs, labels, max_train)
+    give_back()  # the driver's training rows
     small_batches(docs.sparkSession)
     return docs.where(model.scores() >= 0.5)
