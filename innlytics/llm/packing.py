@@ -15,7 +15,8 @@ Then one join by row number brings ids and places together.
 
 Words are tokenised through a bounded table of distinct words in the Python
 worker: the tokenizer drops white space, so the ids of a text are those of
-its words in order.
+its words in order. Words that the table lacks are merged together, those of
+about a megabyte of texts at once.
 
 Defined edge results: NULL text counts as empty and holds the end id alone;
 repeated rows are packed each; NULL ids are packed under NULL; an empty table
@@ -24,6 +25,8 @@ gives no pieces; other columns are ignored; long texts span sequences.
 
 from __future__ import annotations
 
+import json
+import re
 import zlib
 
 import numpy as np
@@ -36,6 +39,10 @@ from innlytics.llm.common import cut, mix64, small_batches, text_bytes, trimmed
 DIMS, BITS, HASHED = 4, 7, 1024
 TABLE_SIZE = 150_000  # words in each of two dicts, about 30 MB each
 LONG_WORD = 64
+GROUP_BYTES = 1 << 20
+RUNS, NO_MERGE = 8192, np.int64(1 << 30)
+MARKS = bytes(c for c in range(0x21, 0x7F) if not chr(c).isalnum())
+LETTERS = re.compile(rb"(?:[a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+")  # those of Latin-1 too
 DOCS_PER_RANGE = 20_000
 MIN_RANGES = 256
 _LOADED: dict[str, WordTable] = {}
@@ -49,6 +56,74 @@ def byte_letters() -> list[str]:
     return [chr(b if b in plain else next(others)) for b in range(256)]
 
 
+class Merges:
+    """A byte-level BPE model for many runs of letters at once: every run has its places in one array, and each round
+    does the next merge (lowest rank, leftmost) of all runs."""
+
+    def __init__(self, tk):
+        model = json.loads(tk.to_str())["model"]
+        if model["type"] != "BPE" or any(model.get(k) for k in ("dropout", "ignore_merges", "continuing_subword_prefix")):
+            raise ValueError("not plain merges")
+        vocab, end, self.size = model["vocab"], model["end_of_word_suffix"] or "", tk.get_vocab_size() + 1
+        pairs = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+        code = np.array([vocab[a] * self.size + vocab[b] for a, b in pairs], np.int64)
+        self.made = np.array([vocab[a + b] for a, b in pairs], np.int32)
+        self.rank = np.argsort(code, kind="stable")
+        self.code = code[self.rank]
+        letters = byte_letters()
+        self.inner = np.array([vocab[c] for c in letters], np.int32)
+        self.last = np.array([vocab[c + end] for c in letters], np.int32)
+        # of two letters, by their bytes; the second one may be the last
+        pair = np.repeat(self.inner, 512), np.tile(np.r_[self.inner, self.last], 256)
+        self.pairs = self._keys(np.int64(0), *pair) >> 32
+
+    def _keys(self, at: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Rank of the merge of each pair (NO_MERGE if there is none), then its place."""
+        code = left.astype(np.int64) * self.size + right
+        i = np.minimum(np.searchsorted(self.code, code), len(self.code) - 1)
+        return np.where(self.code[i] == code, self.rank[i], NO_MERGE) << 32 | at
+
+    def ids(self, runs: list[bytes], kind: type) -> dict[bytes, bytes]:
+        """The packed ids of each run."""
+        out, runs = {}, sorted(runs, key=len)
+        for i in range(0, len(runs), RUNS):
+            self._add(runs[i:i + RUNS], kind, out)
+        return out
+
+    def _add(self, runs: list, kind: type, out: dict) -> None:
+        text = np.frombuffer(b" ".join(runs) + b" ", np.uint8)  # a place between two runs merges with nothing
+        stop = np.cumsum([len(r) + 1 for r in runs]) - 1
+        first = np.r_[0, stop[:-1] + 1]
+        sym = self.inner[text]
+        sym[stop - 1] = self.last[text[stop - 1]]
+        sym[stop] = self.size - 1
+        place = np.arange(len(sym))
+        after, before = place + 1, place - 1
+        pair = text[1:].astype(np.int64)
+        pair[stop - 2] += 256  # its second letter is the last (a run of one letter sets a pair that the next line clears)
+        key = self.pairs[(text[:-1].astype(np.int64) << 9) + pair] << 32 | place[:-1]
+        key = np.append(key, NO_MERGE << 32)
+        key[stop] = key[stop - 1] = NO_MERGE << 32
+        alive = np.ones(len(sym), bool)
+        alive[stop] = False
+        while True:
+            low = np.minimum.reduceat(key, first)
+            low = low[low < NO_MERGE << 32]
+            if not len(low):
+                break
+            at = low & 0xFFFFFFFF
+            gone = after[at]
+            sym[at], alive[gone], key[gone] = self.made[low >> 32], False, NO_MERGE << 32
+            after[at], before[after[gone]] = after[gone], at
+            key[at] = self._keys(at, sym[at], sym[after[at]])
+            prior = before[at[before[at] >= 0]]
+            key[prior] = self._keys(prior, sym[prior], sym[after[prior]])
+        n = np.add.reduceat(alive, first, dtype=np.int64)
+        packed, end = sym[alive].astype(kind).tobytes(), (np.cumsum(n) * kind().itemsize).tolist()
+        for run, lo, hi in zip(runs, [0, *end], end):
+            out[run] = packed[lo:hi]
+
+
 class WordTable:
     """Ids of texts by a tokenizer that drops white space, word by word."""
 
@@ -58,51 +133,82 @@ class WordTable:
         from tokenizers import Tokenizer
         self.tk = Tokenizer.from_file(tokenizer_file)
         self.kind = np.uint16 if self.tk.get_vocab_size() <= 1 << 16 else np.uint32
-        self.letters = byte_letters()
-        self.model = self.tk.model
         self.young: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
-        # one run of plain letters is one piece: its letters go to the model directly
-        self.direct = all(self._by_model(w) == self._whole(w) for w in ("a", "the", "éàü", "straße", "abcdefghij"))
-
-    def _pack(self, ids: list) -> bytes:
+        self.merges = self._merges()
+
+    def _merges(self) -> Merges | None:
+        """The model's merges, if a run of letters and the marks after it are a piece each and they give its ids."""
+        try:
+            merges = Merges(self.tk)
+        except (KeyError, TypeError, ValueError):  # another kind of model
+            return None
+        runs = [w.encode() for w in ("a", "the", "éàü", "straße", "abcdefghij", "internationalisation", "qxzzkw")]
+        ids = merges.ids(runs, self.kind)
+        fits = all(ids[r] + (self._whole(m) if m else b"") == self._whole(r + m)
+                   for r in runs for m in (b"", b".", b",", b"'", b"***", b"$$$", b"-_!"))
+        return merges if fits else None
+
+    def _whole(self, word: bytes) -> bytes:
+        ids = self.tk.encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids
         return np.array(ids, self.kind).tobytes()
 
-    def _whole(self, word: str) -> list:
-        return self.tk.encode(word, add_special_tokens=False).ids
-
-    def _by_model(self, word: str) -> list:
-        return [t.id for t in self.model.tokenize("".join([self.letters[c] for c in word.encode()]))]
-
-    def _ids(self, word: bytes) -> bytes:
-        hit = self.old.get(word)
-        if hit is None:
-            text = word.decode("utf-8", "replace")
-            if len(word) > 1 and word[-1:] in b".," and 97 <= word[-2] <= 122:
-                hit = self[word[:-1]] + self[word[-1:]]  # a mark after a letter is a piece of its own
-            elif self.direct and all("a" <= c <= "z" or ("ß" <= c <= "ÿ" and c != "÷") for c in text):
-                hit = self._pack(self._by_model(text))
+    def _learn(self, words: set) -> None:
+        """Put words that the young table lacks into it. Letters with marks after them are two pieces, and the letters
+        of all such words are merged together."""
+        young, old = self.young, self.old
+        again = words & old.keys()
+        young.update(zip(again, map(old.__getitem__, again)))
+        runs, marked = set(), []
+        for w in words - again:
+            run = w.rstrip(MARKS)
+            if self.merges and len(w) <= LONG_WORD and (run.isalpha() and run.islower() or LETTERS.fullmatch(run)):
+                if not run.isascii():
+                    run = run.decode().lower().encode()
+                runs.add(run)
+                if run != w:
+                    marked.append((w, run))
             else:
-                hit = self._pack(self._whole(text))
-        if len(word) <= LONG_WORD:
-            self.young[word] = hit
-        return hit
-
-    def __getitem__(self, word: bytes) -> bytes:
-        hit = self.young.get(word)
-        return self._ids(word) if hit is None else hit
+                young[w] = self._whole(w)
+        runs = [r for r in runs if r not in young]
+        again = old.keys() & runs
+        young.update(zip(again, map(old.__getitem__, again)))
+        if runs:
+            young.update(self.merges.ids([r for r in runs if r not in again], self.kind))
+        for w, run in marked:
+            marks = w[len(w.rstrip(MARKS)):]
+            if marks and marks not in young:
+                young[marks] = self._whole(marks)
+            young[w] = young[run] + young[marks] if marks else young[run]
+
+    def encode_all(self, texts: list) -> list[bytes]:
+        """The ids of each text, packed; about ``GROUP_BYTES`` of texts are looked up at once."""
+        out, group, size = [], [], 0
+        for b in texts:
+            group.append(b)
+            size += len(b)
+            if size >= GROUP_BYTES:
+                out += self._group(group)
+                group, size = [], 0
+        return out + self._group(group)
+
+    def _group(self, texts: list) -> list[bytes]:
+        if len(self.young) > TABLE_SIZE:
+            self.old, self.young = self.young, {}
+        # special tokens are told by case; all else is lower-cased anyway
+        split = [(b if b"<|" in b else b.lower()).split() for b in texts]
+        new = set().union(*split).difference(self.young)
+        if new:
+            self._learn(new)
+        out = [b"".join(map(self.young.__getitem__, words)) for words in split]
+        for w in new:
+            if len(w) > LONG_WORD:
+                del self.young[w]
+        return out
 
     def encode(self, b: bytes) -> bytes:
         """The ids of a text, packed."""
-        if len(self.young) > TABLE_SIZE:
-            self.old, self.young = self.young, {}
-        if b"<|" not in b:  # special tokens are told by case; all else is lower-cased anyway
-            b = b.lower()
-        words = b.split()
-        found = list(map(self.young.get, words))
-        if None in found:
-            found = [self[w] if f is None else f for w, f in zip(words, found)]
-        return b"".join(found)
+        return self.encode_all([b])[0]
 
 
 def table(tokenizer_file: str) -> WordTable:
@@ -160,7 +266,7 @@ def tokenised(docs: DataFrame, tokenizer_file: str, end_id: int) -> DataFrame:
             if not len(pdf):
                 continue
             end = t.kind(end_id).tobytes()
-            packed = [t.encode(b) for b in pdf["b"]]
+            packed = t.encode_all(pdf["b"].tolist())
             counts = np.array([np.bincount(np.frombuffer(x, t.kind) % HASHED, minlength=HASHED) for x in packed])
             width = t.kind().itemsize
             out = pd.DataFrame({"curve": curve_keys(counts), "n": [len(x) // width + 1 for x in packed],
